@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import toxicity
+from quire.llm.common import held_out
+from quire.llm.language_id import predict_languages
+from quire.llm.mixing import mix_sources
+from quire.llm.pii import find_personal_data
 from quire.llm.quality import judge_documents
+from quire.llm.sentencepiece_codec import decode_documents, encode_documents, load_model
 from quire.llm.sharding import shard_documents
 from quire.llm.url_filter import filter_urls
 
@@ -48,6 +56,66 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def tokenizer_path() -> str:
+    """The model file: ``QUIRE_PIECE_MODEL``, else that of the installed public tokenizers."""
+    if path := os.environ.get("QUIRE_PIECE_MODEL"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text (U+2581 aside, which stands for a blank)."""
+    model = load_model(tokenizer_path())
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode_documents(encode_documents(docs, model), model)
+    same = F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " "))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents")).drop("all_spans")
+
+
+@_query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh the square root of their sizes; as many documents come out as go in, on average."""
+    out = mix_sources(_table(spark, sf_dir, "documents"), temperature=0.5)
+    return out.select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
+
+
+ORACLES["op7_source_mixing"] = r"""
+WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+t AS (SELECT sum(n) AS docs, sum(sqrt(n)) AS weights FROM s),
+r AS (SELECT source, sqrt(n) * docs / weights / n AS rate FROM s, t),
+p(source, rate, k, lp, below) AS (
+  SELECT source, rate, 0, -rate, exp(-rate) FROM r
+  UNION ALL SELECT source, rate, k + 1, lp + ln(rate) - ln(k + 1), below + exp(lp + ln(rate) - ln(k + 1)) FROM p WHERE k < 200),
+steps AS (SELECT source, list(least(below, 1.0)) AS steps FROM p GROUP BY source),
+u AS (SELECT d.*, '0' || chr(31) || coalesce(doc_id::VARCHAR, '') AS key FROM documents d),
+c AS (
+  SELECT u.doc_id, u.source, u.text, u.key, r.rate, len(list_filter(steps, lambda x: x <= ('0x' || substr(md5(key), 1, 13))::BIGINT / 4503599627370496.0)) AS n
+  FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source JOIN steps ON u.source IS NOT DISTINCT FROM steps.source)
+SELECT doc_id, source, text, round(rate, 6) AS rate, n::INT AS n_copies, copy::INT AS copy, md5(key || chr(31) || copy || chr(31) || 'place') AS shuffle_key
+FROM (SELECT *, unnest(range(n)) AS copy FROM c)
+"""
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @_query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_documents(_table(spark, sf_dir, "documents"))
