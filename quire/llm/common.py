@@ -53,7 +53,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
         yield rest.combine_chunks(), np.zeros(1, int)
 
 
-def cells(df: DataFrame, size: str, row_id: str, cap: int) -> DataFrame:
+def cells(df: DataFrame, size: str, row_id: str, cap: Column) -> DataFrame:
     """Add ``cell_i, cell_j, chunk``: a group of more than ``cap`` rows is dealt into chunks by its rows'
     ids, and each pair of chunks becomes a cell, so that all pairs of rows meet in one cell each and no
     cell holds much more than ``2 * cap`` rows. Groups up to ``cap`` are one cell and aren't copied."""

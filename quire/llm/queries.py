@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import toxicity
 from quire.llm.common import held_out
+from quire.llm.jaccard_join import link_documents
 from quire.llm.language_id import predict_languages
 from quire.llm.mixing import mix_sources
 from quire.llm.pii import find_personal_data
@@ -142,3 +143,8 @@ v AS (SELECT source, (bad + mean * size) / (n + size) AS failure FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failure <= 0.5 AS kept
 FROM r LEFT JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_table(spark, sf_dir, "documents"), k=4, percent=85)
