@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import toxicity
 from quire.llm.common import held_out
+from quire.llm.embedding_dedup import dedup_embeddings
 from quire.llm.jaccard_join import link_documents
 from quire.llm.language_id import predict_languages
 from quire.llm.mixing import mix_sources
@@ -148,3 +149,8 @@ FROM r LEFT JOIN v ON r.source IS NOT DISTINCT FROM v.source
 @_query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@_query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.93)
