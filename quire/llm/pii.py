@@ -200,3 +200,47 @@ def _mask_batch(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def mask(text, spans):
     """The text with each span replaced by its kind in brackets; overlapping spans are one."""
     return F.arrow_udf(_mask_batch, "string")(text, spans)
+
+
+def find_personal_data_in_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_broadcast: int = 50_000, **settings) -> DataFrame:
+    """``docs`` with every span in ``text`` masked; all rows and other columns stay. A null text stays null.
+
+    Patterns are learned from all mentions, then each text is masked where it is: base spans are found
+    again and spans of patterns are looked up among ``max_broadcast`` patterns at a time, so texts never move.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "pii")
+    found = F.arrow_udf(_find_batch, _FOUND)(F.col(text).cast("string"))
+    near = scratch.keep(docs.select(F.explode(found["mentions"]).alias("m")).select("m.kind", "m.surface", "m.before", "m.after"))
+    patterns = scratch.keep(learn_patterns(near, scratch, **settings))
+    scratch.drop(near)
+    n = patterns.count()
+    ranked = patterns.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-n // max_broadcast)))))
+    added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    for part in range(-(-n // max_broadcast)):
+        rows = ranked.where(F.col("part") == part).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")).toArrow()
+        shared = spark.sparkContext.broadcast(dict(zip(rows["pattern"].to_pylist(), rows["kind"].to_pylist(), strict=True)))
+        added = F.concat(added, _matcher(shared)(F.col(text).cast("string")))
+    base = F.arrow_udf(_base_batch, "array<struct<kind:string,start:int,end:int>>")(F.col(text).cast("string"))
+    return docs.withColumn(text, mask(F.col(text).cast("string"), F.concat(base, added)))
+
+
+def _base_batch(texts: pa.Array) -> pa.Array:
+    return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(t or "")] for t in texts.to_pylist()], pa.list_(_SPAN))
+
+
+def _matcher(shared):
+    @F.arrow_udf("array<struct<kind:string,start:int,end:int>>")
+    def match(texts: pa.Array) -> pa.Array:
+        kinds, out = shared.value, []
+        for t in texts.to_pylist():
+            own = []
+            for a, b, kind, _, before, after in mentions(t or "", base_spans(t or "")) if t else ():
+                if kind is None and before:
+                    hit = kinds.get(f"L:{before}") or kinds.get(f"B:{before.split(' ')[-1]} _ {after}")
+                    if hit:
+                        own.append({"kind": hit, "start": a, "end": b})
+            out.append(own)
+        return pa.array(out, pa.list_(_SPAN))
+
+    return match
