@@ -5,6 +5,329 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import color, geometry, text
+from quire.operators import charts, dedup, graph, intervals, layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _since(unit: str):
+    """Whole units of ``ts`` since 1970, for timestamps of either kind."""
+    return F.expr(f"timestampdiff({unit}, cast(TIMESTAMP_NTZ'1970-01-01 00:00:00' as timestamp), cast(ts as timestamp))")
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(r"""SELECT doc_id, i::INT - 1 AS line_ix, lines[i] AS line FROM (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS lines FROM documents))""")
+def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.posexplode(F.split(text.normalize_newlines(F.col("text")), "\n", -1)).alias("line_ix", "line")
+    return table(spark, sf_dir, "documents").select("doc_id", lines)
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\r\n'))::BIGINT AS n_crlf, (len(text) - len(replace(text, chr(13), '')) - len(regexp_extract_all(text, '\r\n')))::BIGINT AS n_cr,
+  (len(text) - len(replace(text, chr(10), '')) - len(regexp_extract_all(text, '\r\n')))::BIGINT AS n_lf FROM documents""")
+def newline_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text.newline_counts(F.col("text")).items()])
+
+
+_TYPOGRAPHY = "text || ' “x” — …'"
+
+
+@query(rf"""SELECT doc_id, sha256(replace(translate({_TYPOGRAPHY}, '—–‘’“”«»', '--' || repeat(chr(39), 2) || repeat(chr(34), 4)), '…', '...')) AS fixed,
+  (len({_TYPOGRAPHY}) - len(translate({_TYPOGRAPHY}, '—–‘’“”«»…', '')))::BIGINT AS n_replaced FROM documents""")
+def typography_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed, n = text.fix_typography(F.concat("text", F.lit(" “x” — …")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fixed, 256).alias("fixed"), n.alias("n_replaced"))
+
+
+_ESCAPED = "t"
+for _a, _b in (("\\", "chr(1)"), *text.LATEX_SPECIALS):
+    _ESCAPED = f"replace({_ESCAPED}, '{_a}', {_b if _b == 'chr(1)' else chr(39) + _b + chr(39)})"
+_ESCAPED = f"replace(replace({_ESCAPED}, chr(1), '\\textbackslash{{}}'), '…', '\\dots{{}}')"
+
+
+@query(rf"""SELECT id, kind, sha256({_ESCAPED}) AS escaped, length({_ESCAPED})::BIGINT AS n FROM (
+  SELECT doc_id AS id, 'documents' AS kind, text || ' {{\x}} 50% a_b ~[c]^…' AS t FROM documents UNION ALL SELECT item_id, 'benchmark', text FROM benchmark)""")
+def latex_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("kind"), F.concat("text", F.lit(" {\\x} 50% a_b ~[c]^…")).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), F.col("text").alias("t"))
+    out = docs.unionByName(items).withColumn("e", text.escape_latex(F.col("t")))
+    return out.select("id", "kind", F.sha2("e", 256).alias("escaped"), F.length("e").cast("long").alias("n"))
+
+
+@query(r"""SELECT id, trim(regexp_replace(translate(name, '<>:"/\|?*', '_________'), '_+', '_', 'g'), '_ ') AS safe FROM (
+  SELECT page_id AS id, url AS name FROM pages UNION ALL SELECT p_partkey, p_name || ': ' || p_brand || '?' FROM part)""")
+def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(": "), "p_brand", F.lit("?")).alias("name"))
+    return urls.unionByName(parts).select("id", text.sanitize_filename(F.col("name")).alias("safe"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t]+', ' ', 'g')) AS line FROM documents),
+k AS (SELECT doc_id, regexp_replace(lower(line), '\b[0-9]+\b', '#', 'g') AS key FROM l WHERE line <> '')
+SELECT key, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_lines FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 3""")
+def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more share, numbers aside."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    keyed = lines.withColumn("key", text.repeat_key(F.col("line"))).where("key <> ''")
+    per_doc = keyed.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines")).where("n_docs >= 3")
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(t, '\\(?:part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s*[\[{]'))::BIGINT AS n_headings,
+  len(regexp_extract_all(t, '\\includegraphics\b'))::BIGINT AS n_images, len(regexp_extract_all(t, '\\cite[a-z]*\b'))::BIGINT AS n_citations, len(regexp_extract_all(t, '\\item\b'))::BIGINT AS n_items,
+  len(regexp_extract_all(t, '\\(?:ref|eqref|pageref|autoref)\b'))::BIGINT AS n_refs
+FROM (SELECT doc_id, regexp_replace('\section{A} \cite{x} \item ' || lang || chr(10) || '% \item' || chr(10) || '\ref{y} ' || replace(replace(substr(text, 1, 500), '%', ''), '\', ''), '(^|[^\\])%[^\n]*', '\1', 'g') AS t FROM documents)""")
+def latex_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a small LaTeX source made of each document's start."""
+    plain = F.replace(F.replace(F.substring("text", 1, 500), F.lit("%"), F.lit("")), F.lit("\\"), F.lit(""))
+    source = F.concat(F.lit("\\section{A} \\cite{x} \\item "), "lang", F.lit("\n% \\item\n\\ref{y} "), plain)
+    m = text.latex_metrics(F.col("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", source.alias("t")).select("doc_id", *[m[n].alias(n) for n in ("n_headings", "n_images", "n_citations", "n_items", "n_refs")])
+
+
+@query(r"""SELECT doc_id, i::INT - 1 AS row_ix, len(string_split(lines[i], ' | '))::INT AS n_cells, array_to_string(string_split(lines[i], ' | '), chr(9)) AS line FROM (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)) WHERE contains(lines[i], ' | ')""")
+def table_rows_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are table rows, as tab-joined cells."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row_ix", "l")).where(F.contains("l", F.lit(" | ")))
+    cells = F.split("l", "\\Q | \\E", -1)
+    return lines.select("doc_id", "row_ix", F.size(cells).alias("n_cells"), F.array_join(cells, "\t").alias("line"))
+
+
+@query(r"""SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS plain FROM conversations GROUP BY conv_id""")
+def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("l"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(turns, lambda s: s["l"]), "\n").alias("plain"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '^(http|https|mailto):') OR starts_with(url, '#') THEN url END AS kept, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'mailto:a' || page_id || '@x.example' END AS other,
+  regexp_extract(url, '^([A-Za-z]+):', 1) AS scheme FROM pages""")
+def url_scheme_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("javascript:a"), "page_id")).otherwise(F.concat(F.lit("mailto:a"), "page_id", F.lit("@x.example")))
+    return table(spark, sf_dir, "pages").select("page_id", text.allowed_link(F.col("url")).alias("kept"), text.allowed_link(other).alias("other"), F.regexp_extract("url", "^([A-Za-z]+):", 1).alias("scheme"))
+
+
+# ---------------------------------------------------------------- duplicates and comparisons
+
+
+@query(r"""SELECT sha256(text) AS sha256, count(*)::BIGINT AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1""")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup.duplicate_groups(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return out.select("sha256", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(r"""SELECT doc_id, c AS canonical_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS c FROM documents WHERE text IS NOT NULL) WHERE c <> doc_id""")
+def duplicate_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.canonical_rows(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query(r"""WITH b AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id % 7 <> 0),
+a AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.text IS DISTINCT FROM b.text THEN 'content_changed' ELSE 'storage_changed' END AS status
+FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.text IS DISTINCT FROM b.text OR a.n_chars IS DISTINCT FROM b.n_chars""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots made of the documents: some missing on either side, some with another text or size."""
+    docs = table(spark, sf_dir, "documents")
+    item = lambda t, n: ("doc_id", dedup.content_hash(t).alias("sha256"), n.alias("stored"))
+    before = docs.where("doc_id % 7 <> 0").select(*item(F.col("text"), F.col("n_chars")))
+    other = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    after = docs.where("doc_id % 5 <> 0").select(*item(other, F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("n_chars"))))
+    return dedup.diff_snapshots(before, after, "doc_id", "sha256", "stored")
+
+
+@query(r"""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, ts DESC, event_id) AS r FROM events) WHERE r = 1""")
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "error", 1).otherwise(2)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return dedup.first_wins(events, ["user_id"], [rank, -_since("MICROSECOND"), F.col("event_id")]).drop("ts")
+
+
+@query(r"""SELECT coalesce(c, s) AS nation, CASE WHEN c IS NULL THEN 'right' WHEN s IS NULL THEN 'left' ELSE 'both' END AS side
+FROM (SELECT DISTINCT c_nationkey AS c FROM customer WHERE c_acctbal > 9000) FULL JOIN (SELECT DISTINCT s_nationkey AS s FROM supplier) ON c = s""")
+def key_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return dedup.set_algebra(c, s, ["nation"])
+
+
+@query(r"""WITH h AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey),
+w AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_returnflag = 'A')
+SELECT l_orderkey, l_linenumber, coalesce(r <= n, false) AS matched FROM w LEFT JOIN h USING (l_partkey)""")
+def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    out = dedup.consume_as_multiset(items.where("l_returnflag = 'A'"), items.where("l_returnflag = 'R'"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", "matched")
+
+
+# ---------------------------------------------------------------- charts
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly order totals by status, less a constant so that signs differ."""
+    orders = table(spark, sf_dir, "orders")
+    month = F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM").alias("month")
+    return orders.groupBy(F.col("o_orderstatus").alias("status"), month).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")) - 500000).cast("double").alias("value"))
+
+
+_SERIES = "s AS (SELECT o_orderstatus AS status, strftime(o_orderdate, '%Y-%m') AS month, (sum(o_totalprice::DECIMAL(18,2)) - 500000)::DOUBLE AS value FROM orders GROUP BY 1, 2)"
+
+
+@query(f"WITH {_SERIES} SELECT status, least(0.0, min(value)) AS low, CASE WHEN least(0.0, min(value)) = greatest(0.0, max(value)) THEN least(0.0, min(value)) + 1 ELSE greatest(0.0, max(value)) END AS high FROM s GROUP BY status")
+def chart_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.chart_range(_series(spark, sf_dir), ["status"])
+
+
+@query(rf"""WITH {_SERIES}, t AS (SELECT *, sum(value) OVER w AS total, sum(CASE WHEN value > 0 THEN value ELSE 0 END) OVER w AS up, sum(CASE WHEN value < 0 THEN -value ELSE 0 END) OVER w AS down FROM s WINDOW w AS (PARTITION BY month))
+SELECT status, month, round(total, 2) AS total, round(100 * value / CASE WHEN (CASE WHEN value < 0 THEN down ELSE up END) = 0 THEN 1 WHEN value < 0 THEN down ELSE up END, 6) AS percent FROM t""")
+def stack_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = charts.stack_percent(_series(spark, sf_dir), ["month"])
+    return out.select("status", "month", F.round("total", 2).alias("total"), F.round("percent", 6).alias("percent"))
+
+
+@query(rf"""WITH {_SERIES} SELECT status, month, round(1.5 * stddev_pop(value) OVER w, 3) AS by_deviation, round(stddev_pop(value) OVER w / sqrt(count(*) OVER w), 3) AS by_error, round(abs(value) * 0.05, 4) AS by_percent, 3.0 AS fixed
+FROM s WINDOW w AS (PARTITION BY status)""")
+def error_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _series(spark, sf_dir)
+    for kind, amount, name, places in (("stddev", 1.5, "by_deviation", 3), ("stderr", 1, "by_error", 3), ("percentage", 5, "by_percent", 4), ("fixed", 3, "fixed", 1)):
+        out = charts.error_bars(out, ["status"], kind, amount).withColumn(name, F.round("error", places)).drop("error")
+    return out.drop("value")
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    x = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return orders.groupBy(F.col("o_orderpriority").alias("priority"), x.alias("x")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("y"))
+
+
+_DAILY = "d AS (SELECT o_orderpriority AS priority, datediff('day', DATE '1992-01-01', o_orderdate::DATE) AS x, (sum(o_totalprice::DECIMAL(18,2)))::DOUBLE / 1000 AS y FROM orders GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DAILY} SELECT priority, round(coalesce(regr_slope(y, x), 0), 6) AS slope, round(coalesce(regr_intercept(y, x), avg(y), 0), 4) AS intercept FROM d GROUP BY priority")
+def ols_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.linear_trend(_daily(spark, sf_dir), ["priority"]).select("priority", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query(f"WITH {_DAILY} SELECT priority, round(exp(regr_intercept(ln(y), x)), 4) AS factor, round(regr_slope(ln(y), x), 9) AS rate FROM d WHERE y > 0 GROUP BY priority HAVING count(*) >= 2")
+def exp_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.exponential_trend(_daily(spark, sf_dir), ["priority"]).select("priority", F.round("factor", 4).alias("factor"), F.round("rate", 9).alias("rate"))
+
+
+@query(r"""WITH p AS (SELECT l_returnflag AS flag, l_linenumber::DOUBLE AS x, l_quantity AS y FROM lineitem),
+s AS (SELECT flag, count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x*x) AS s2, sum(x*x*x) AS s3, sum(x*x*x*x) AS s4, sum(y) AS t0, sum(x*y) AS t1, sum(x*x*y) AS t2 FROM p GROUP BY flag),
+d AS (SELECT *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) AS det FROM s)
+SELECT flag, round((t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)) / det, 6) AS c0, round((s0*(t1*s4-t2*s3) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2)) / det, 6) AS c1, round((s0*(s2*t2-s3*t1) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2)) / det, 6) AS c2 FROM d""")
+def poly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
+    return charts.polynomial_trend(points, ["flag"], 2).select("flag", *[F.round(F.col("coefficients")[i], 6).alias(f"c{i}") for i in range(3)])
+
+
+@query(r"""WITH d AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,2))::DOUBLE AS value FROM events GROUP BY 1, 2)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(avg(value) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS moving_avg FROM d""")
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
+    return charts.moving_average(days, ["event_type"], ["day"], 5).select("event_type", "day", F.round("moving_avg", 6).alias("moving_avg"))
+
+
+@query(rf"""WITH {_SERIES}, r AS (SELECT status, least(0.0, min(value)) AS low, greatest(0.0, max(value)) AS high FROM s GROUP BY status),
+six AS (SELECT status, 'six' AS kind, i::INT AS tick_ix, high - (high - low) * i / 5 AS tick FROM r, range(6) t(i)),
+u AS (SELECT status, 'unit' AS kind, (row_number() OVER (PARTITION BY status ORDER BY i) - 1)::INT AS tick_ix, low + 1000000 * i AS tick FROM r, range(1000) t(i) WHERE i <= round_even((high - low) / 1000000, 0) AND low + 1000000 * i <= high)
+SELECT status, kind, tick_ix, round(tick, 3) AS tick FROM (SELECT * FROM six UNION ALL SELECT * FROM u)""")
+def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = charts.chart_range(_series(spark, sf_dir), ["status"])
+    six = charts.axis_ticks(ranges, ["status"]).withColumn("kind", F.lit("six"))
+    unit = charts.axis_ticks(ranges, ["status"], F.lit(1000000.0)).withColumn("kind", F.lit("unit"))
+    return six.unionByName(unit).select("status", "kind", "tick_ix", F.round("tick", 3).alias("tick"))
+
+
+@query(r"""WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+SELECT user_id, event_id, (sum(CASE WHEN p IS NOT NULL AND p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS run FROM e""")
+def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return charts.runs_of(events, ["user_id"], ["event_id"], ["event_type"]).select("user_id", "event_id", "run")
+
+
+@query(r"""SELECT l_orderkey, string_agg(coalesce(v, '-'), ' ' ORDER BY i) AS dense FROM (
+  SELECT o.l_orderkey, i, (SELECT max(l_suppkey)::VARCHAR FROM lineitem x WHERE x.l_orderkey = o.l_orderkey AND x.l_linenumber = i) AS v FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0) o, range(8) t(i)) GROUP BY l_orderkey""")
+def dense_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by line number as a dense array of eight with gaps."""
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_suppkey").cast("string").alias("value"))
+    out = charts.dense_cache(items.withColumn("length", F.lit(8)), ["l_orderkey"])
+    return out.select("l_orderkey", F.array_join("values", " ", "-").alias("dense"))
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN format('{:,.2f}', l_extendedprice) WHEN l_linenumber % 3 = 1 THEN format('{:.1f}%', l_discount * 100) ELSE format('{:g}', l_quantity) END AS shown FROM lineitem""")
+def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("l_linenumber") % 3
+    value = F.when(kind == 0, F.col("l_extendedprice")).when(kind == 1, F.col("l_discount")).otherwise(F.col("l_quantity"))
+    code = F.when(kind == 0, "#,##0.00").when(kind == 1, "0.0%").otherwise("General")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", charts.format_number(value, code).alias("shown"))
+
+
+# ---------------------------------------------------------------- intervals
+
+
+def _stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _since("SECOND")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", s.alias("start"), (s + (F.col("event_id") % 40) * 3600).alias("end"))
+
+
+_STAYS = "e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + (event_id % 40) * 3600 AS e FROM events)"
+
+
+@query(rf"""WITH {_STAYS}, m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(s) AS start, max(e) AS "end" FROM i GROUP BY user_id, k""")
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_intervals(_stays(spark, sf_dir), ["user_id"])
+
+
+@query(rf"""WITH {_STAYS}, b AS (SELECT *, 1704067200 + 86400 * 10 AS low, 1704067200 + 86400 * 12 AS high FROM e),
+m AS (SELECT *, greatest(coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low), low) AS reach FROM b)
+SELECT user_id, bool_and(s <= reach + 0.001 OR reach >= high - 0.001) AND max(e) >= max(high) - 0.001 AS covered FROM m GROUP BY user_id""")
+def interval_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = 1704067200
+    rows = _stays(spark, sf_dir).withColumns({"low": F.lit(day + 86400 * 10), "high": F.lit(day + 86400 * 12)})
+    return intervals.covers(rows, ["user_id"], "low", "high")
+
+
+@query(rf"""WITH {_STAYS}, n AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS nx FROM e)
+SELECT user_id, s AS gap_start, nx AS gap_end, nx - s AS gap FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY nx - s DESC, s) AS r FROM n WHERE nx IS NOT NULL) WHERE r = 1""")
+def gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.largest_gap(_stays(spark, sf_dir), ["user_id"], "start")
+
+
+@query(rf"""WITH {_STAYS}, m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+u AS (SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, k),
+g AS (SELECT user_id, greatest(coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY s), 1704067200), 1704067200) AS a, least(s, 1706659200) AS b FROM u UNION ALL SELECT user_id, greatest(max(e), 1704067200), 1706659200 FROM u GROUP BY user_id)
+SELECT user_id, a AS start, b AS "end" FROM g WHERE a < b""")
+def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stays(spark, sf_dir).withColumns({"low": F.lit(1704067200).cast("long"), "high": F.lit(1706659200).cast("long")})
+    return intervals.complement(rows, ["user_id"], "low", "high")
+
+
+@query(rf"""WITH {_STAYS} SELECT user_id, event_id, coalesce(s < max(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM e""")
+def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlapping_spans(_stays(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "overlaps")
