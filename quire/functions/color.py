@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import colorsys
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,24 +22,42 @@ def _pair(hexes: Column, i: int) -> Column:
 
 
 def parse_color(token: Column) -> Column:
-    """struct(r, g, b, alpha) of ``#rgb``, ``#rgba``, ``#rrggbb``, ``#rrggbbaa``, a basic name,
-    ``rgb(r, g, b)``, ``rgba(r, g, b, a)`` with numbers up to 255 or percentages, or ``hsl(h, s%, l%)``;
-    null for anything else."""
+    """struct(r, g, b, alpha) of ``#rgb``, ``#rgba``, ``#rrggbb``, ``#rrggbbaa`` or a basic name; null for
+    anything else. For functional notations see ``parse_css_color``."""
     t = F.lower(F.trim(token))
     names = F.create_map(*[x for k, v in NAMED.items() for x in (F.lit(k), F.lit(v))])
     short = F.regexp_replace(F.substring(t, 2, 4), "(.)", "$1$1")
     hexes = F.when(t.rlike("^#[0-9a-f]{3,4}$"), short).when(t.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.substring(t, 2, 8)).otherwise(F.try_element_at(names, t))
-    by_hex = F.struct(_pair(hexes, 0).alias("r"), _pair(hexes, 1).alias("g"), _pair(hexes, 2).alias("b"), F.when(F.length(hexes) == 8, _pair(hexes, 3)).otherwise(1.0).alias("alpha"))
-    number = r"\s*([0-9.]+%?)\s*"
-    pattern = rf"^rgba?\({number},{number},{number}(?:,{number})?\)$"
-    part = lambda i, full: F.when(F.endswith(F.regexp_extract(t, pattern, i), F.lit("%")), F.regexp_replace(F.regexp_extract(t, pattern, i), "%", "").try_cast("double") / 100).otherwise(F.regexp_extract(t, pattern, i).try_cast("double") / full)
-    clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    by_rgb = F.struct(*[clip(part(i + 1, 255)).alias(c) for i, c in enumerate("rgb")], F.coalesce(clip(part(4, 1)), F.lit(1.0)).alias("alpha"))
-    hsl = r"^hsla?\(\s*([0-9.]+)(?:deg)?\s*,\s*([0-9.]+)%\s*,\s*([0-9.]+)%\s*(?:,\s*([0-9.]+)\s*)?\)$"
-    h, s, light = (F.regexp_extract(t, hsl, i).try_cast("double") for i in (1, 2, 3))
-    rgb = hls_to_rgb(F.pmod(h, F.lit(360.0)) / 360, clip(light / 100), clip(s / 100))
-    by_hsl = F.struct(*[v.alias(c) for v, c in zip(rgb, "rgb", strict=True)], F.coalesce(clip(F.regexp_extract(t, hsl, 4).try_cast("double")), F.lit(1.0)).alias("alpha"))
-    return F.when(hexes.isNotNull(), by_hex).when(t.rlike(pattern), by_rgb).when(t.rlike(hsl), by_hsl)
+    made = lambda h: F.when(h.isNotNull(), F.struct(_pair(h, 0).alias("r"), _pair(h, 1).alias("g"), _pair(h, 2).alias("b"), F.when(F.length(h) == 8, _pair(h, 3)).otherwise(1.0).alias("alpha")))
+    return F.get(F.transform(F.array(hexes), made), F.lit(0))
+
+
+_NUMBER = r"\s*([+-]?[0-9]*\.?[0-9]+)(%|deg)?\s*"
+_FUNCTION = re.compile(rf"(rgba?|hsla?)\({_NUMBER}[,\s]{_NUMBER}[,\s]{_NUMBER}(?:[,/]{_NUMBER})?\)")
+
+
+def _functional(token: str | None) -> dict[str, float] | None:
+    m = _FUNCTION.fullmatch((token or "").strip().lower())
+    if not m:
+        return None
+    number = lambda i, full: float(m[i]) / (100 if m[i + 1] == "%" else full)
+    clip = lambda v: min(max(v, 0.0), 1.0)
+    alpha = clip(number(8, 1)) if m[8] else 1.0
+    if m[1].startswith("rgb"):
+        r, g, b = (clip(number(i, 255)) for i in (2, 4, 6))
+    else:
+        r, g, b = colorsys.hls_to_rgb(float(m[2]) % 360 / 360, clip(number(6, 100)), clip(number(4, 100)))
+    return {"r": r, "g": g, "b": b, "alpha": alpha}
+
+
+def parse_css_color(token: Column) -> Column:
+    """As ``parse_color``, and ``rgb()``, ``rgba()``, ``hsl()``, ``hsla()`` by an Arrow kernel."""
+    kind = pa.struct([(c, pa.float64()) for c in ("r", "g", "b", "alpha")])
+
+    def run(tokens: pa.Array) -> pa.Array:
+        return pa.array([_functional(t) for t in tokens.to_pylist()], kind)
+
+    return F.coalesce(parse_color(token), F.arrow_udf(run, "struct<r: double, g: double, b: double, alpha: double>")(token))
 
 
 def to_hex(r: Column, g: Column, b: Column) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import color, geometry, text
-from quire.operators import charts, dedup, graph, intervals, layout
+from quire.operators import charts, dedup, fonts, graph, intervals, layout, pages, tables
+from quire.plans.components import connected_components
+from quire.plans.scratch import Scratch
+from quire.sources.html import html_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -331,3 +334,278 @@ def interval_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {_STAYS} SELECT user_id, event_id, coalesce(s < max(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM e""")
 def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlapping_spans(_stays(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "overlaps")
+
+
+# ---------------------------------------------------------------- pages
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "html")
+
+
+@query()
+def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's text without blocks that half of all pages have, numbers aside."""
+    found = Scratch(spark, "pages").keep(pages.blocks(_pages(spark, sf_dir), "page_id").select("page_id", "pos", "text"))
+    return pages.plain_text(pages.without_boilerplate(found, pages.boilerplate(found, "page_id")), "page_id")
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.blocks(_pages(spark, sf_dir), "page_id")
+
+
+@query()
+def html_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_table(_pages(spark, sf_dir), "runs", "page_id")
+
+
+@query()
+def html_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.ledger(html_table(_pages(spark, sf_dir), "issues", "page_id"), "page_id")
+
+
+@query(r"""SELECT page_id, (unnest(range(1, len(h) + 1)) - 1)::INT AS ix, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_table(_pages(spark, sf_dir), "links", "page_id").select("page_id", "ix", "href")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<h[1-6][ >]'))::BIGINT AS n_headings, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS n_paragraphs,
+  len(regexp_extract_all(html, '<ul[ >]'))::BIGINT AS n_lists, len(regexp_extract_all(html, '<li[ >]'))::BIGINT AS n_items, len(regexp_extract_all(html, '<a href="[^#]'))::BIGINT AS n_hyperlinks,
+  len(regexp_extract_all(html, '<table[ >]'))::BIGINT AS n_tables, len(regexp_extract_all(html, '<img[ >]'))::BIGINT AS n_images FROM pages""")
+def html_tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.inspection(_pages(spark, sf_dir), "page_id").select("page_id", "lang", "n_headings", "n_paragraphs", "n_lists", "n_items", "n_hyperlinks", "n_tables", "n_images")
+
+
+@query(r"""WITH l AS (SELECT page_id, (page_id % 7)::VARCHAR AS target FROM pages UNION ALL SELECT page_id, 'top' FROM pages WHERE page_id % 2 = 0),
+i AS (SELECT page_id, (k % 5)::VARCHAR AS id FROM pages, range(7) t(k) WHERE (page_id + k) % 3 <> 0)
+SELECT l.page_id, '#' || target AS href, CASE WHEN count(i.id) = 1 OR (count(i.id) = 0 AND target = 'top') THEN 'ok' WHEN count(i.id) = 0 THEN 'missing' ELSE 'ambiguous' END AS status
+FROM l LEFT JOIN i ON i.page_id = l.page_id AND i.id = l.target GROUP BY l.page_id, target""")
+def link_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with planted fragment links and ids, parsed from HTML."""
+    k = F.sequence(F.lit(0), F.lit(6))
+    ids = F.transform(F.filter(k, lambda i: (F.col("page_id") + i) % 3 != 0), lambda i: F.concat(F.lit('<i id="'), (i % 5).cast("string"), F.lit('"></i>')))
+    top = F.when(F.col("page_id") % 2 == 0, '<a href="#top">t</a>').otherwise("")
+    html = F.concat(F.lit("<body><p>"), F.array_join(ids, ""), F.lit('<a href="#'), (F.col("page_id") % 7).cast("string"), F.lit('">x</a>'), top)
+    made = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return pages.link_integrity(html_table(made, "links", "page_id"), html_table(made, "ids", "page_id"), "page_id").drop("ix")
+
+
+@query(r"""WITH i AS (SELECT page_id, (k % 5)::VARCHAR AS ids FROM pages, range(7) t(k) WHERE (page_id + k) % 3 <> 0) SELECT page_id, ids, count(*)::BIGINT AS n FROM i GROUP BY page_id, ids HAVING count(*) > 1""")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.sequence(F.lit(0), F.lit(6))
+    ids = F.transform(F.filter(k, lambda i: (F.col("page_id") + i) % 3 != 0), lambda i: F.concat(F.lit('<i id="'), (i % 5).cast("string"), F.lit('"></i>')))
+    made = table(spark, sf_dir, "pages").select("page_id", F.array_join(ids, "").alias("html"))
+    return pages.repeated_ids(html_table(made, "ids", "page_id"), "page_id")
+
+
+@query(r"""SELECT o_orderkey AS page_id, (i * 3)::INT AS pos, level, 'h' || i AS text, (SELECT max(j * 3)::INT FROM (SELECT j, (o_orderkey * 7 + j * j * 3 + j) % 4 + 1 AS lj FROM range(8) u(j)) WHERE j < i AND lj < level) AS parent_pos
+FROM (SELECT o_orderkey, i, ((o_orderkey * 7 + i * i * 3 + i) % 4 + 1)::INT AS level FROM orders, range(8) t(i) WHERE o_orderkey % 50 = 0)""")
+def toc_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    level = (F.col("page_id") * 7 + F.col("i") * F.col("i") * 3 + F.col("i")) % 4 + 1
+    heads = heads.select("page_id", (F.col("i") * 3).cast("int").alias("pos"), level.cast("int").alias("level"), F.concat(F.lit("h"), F.col("i").cast("string")).alias("text"))
+    return pages.toc(heads, "page_id")
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 + coalesce(CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey % 10 END, 1))::BIGINT AS list_value FROM lineitem""")
+def list_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey") % 10)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("start"))
+    return tables.number_items(items, ["l_orderkey"], ["l_linenumber"], "start").select("l_orderkey", "l_linenumber", F.col("list_value").cast("long").alias("list_value"))
+
+
+@query(r"""WITH r AS (SELECT page_id, 'c' || page_id % 4 AS code, 'm' || page_id % 3 AS message, ['SEMANTIC', 'LOST', 'REJECTED', 'OPAQUE'][page_id % 4 + 1] AS state, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id % 5 END AS path FROM pages),
+w AS (SELECT page_id, 'w' AS code, 'm' || k % 3 AS message, 'p' || page_id % 5 AS path FROM pages, range(4) t(k))
+SELECT DISTINCT page_id, 'record' AS source, code, message, CASE WHEN state = 'REJECTED' THEN 'ERROR' ELSE 'LOSS' END AS severity FROM r WHERE state <> 'SEMANTIC'
+UNION ALL SELECT DISTINCT page_id, 'warning', code, message, 'WARNING' FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.page_id = w.page_id AND r.path = w.path AND r.message = w.message)""")
+def issue_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id")
+    name = lambda a, n: F.concat(F.lit(a), (F.col("page_id") % n).cast("string"))
+    states = F.array(*map(F.lit, ("SEMANTIC", "LOST", "REJECTED", "OPAQUE")))
+    records = p.select("page_id", name("c", 4).alias("code"), name("m", 3).alias("message"), F.element_at(states, (F.col("page_id") % 4 + 1).cast("int")).alias("state"), F.when(F.col("page_id") % 2 == 0, name("p", 5)).alias("path"))
+    warnings = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("page_id", F.lit("w").alias("code"), F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("message"), name("p", 5).alias("path"))
+    return pages.union_issues(records, warnings, "page_id")
+
+
+# ---------------------------------------------------------------- layout over boxes made of the parts
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks on pages of 300 by 400 points, ten a page and four pages a document."""
+    k = F.col("p_partkey")
+    b = table(spark, sf_dir, "part").select((k / 40).cast("long").alias("doc_id"), ((k / 10).cast("long") % 4).cast("int").alias("page"), (k % 10).cast("int").alias("number"), F.col("p_name").alias("text"), (k * 37 % 200).cast("double").alias("x0"), (k * 53 % 360).cast("double").alias("y0"), (40 + k * 29 % 160).cast("double").alias("w"), (8 + k * 11 % 40).cast("double").alias("h"))
+    return b.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("h")}).drop("w", "h")
+
+
+_BOXES = """b AS (SELECT p_partkey // 40 AS doc_id, (p_partkey // 10 % 4)::INT AS page, (p_partkey % 10)::INT AS number, p_name AS text, (p_partkey * 37 % 200)::DOUBLE AS x0, (p_partkey * 53 % 360)::DOUBLE AS y0,
+  (p_partkey * 37 % 200 + 40 + p_partkey * 29 % 160)::DOUBLE AS x1, (p_partkey * 53 % 360 + 8 + p_partkey * 11 % 40)::DOUBLE AS y1 FROM part)"""
+
+
+def _sheets(boxes: DataFrame) -> DataFrame:
+    return boxes.select("doc_id", "page").distinct().withColumns({"width": F.lit(300.0), "height": F.lit(400.0)})
+
+
+@query(rf"""WITH {_BOXES}, m AS (SELECT *, CASE WHEN y1 <= 48 THEN 'header' WHEN y0 >= 352 THEN 'footer' END AS role, lower(text) AS k FROM b),
+n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM b GROUP BY doc_id),
+s AS (SELECT doc_id, role, k FROM m JOIN n USING (doc_id) WHERE role IS NOT NULL GROUP BY doc_id, role, k, pages HAVING pages > 1 AND count(DISTINCT page) >= greatest(2, ceil(pages / 2)))
+SELECT doc_id, page, number, role FROM m JOIN s USING (doc_id, role, k)""")
+def margin_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return layout.running_content(boxes, _sheets(boxes))
+
+
+@query(rf"""WITH {_BOXES}, c AS (SELECT *, (x0 + x1) / 2 AS c, row_number() OVER (PARTITION BY doc_id, page ORDER BY (x0 + x1) / 2, number) AS r FROM b WHERE x1 - x0 <= 0.62 * 300),
+g AS (SELECT *, lead(c) OVER (PARTITION BY doc_id, page ORDER BY c, number) - c AS gap FROM c),
+w AS (SELECT doc_id, page, gap AS wide, r AS cut FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap DESC, r) AS k FROM g WHERE gap IS NOT NULL) WHERE k = 1 AND gap >= 24),
+s AS (SELECT doc_id, page, max(x1) FILTER (r <= cut) AS gl, min(x0) FILTER (r > cut) AS gr, min(y0) FILTER (r <= cut) AS l0, max(y1) FILTER (r <= cut) AS l1, min(y0) FILTER (r > cut) AS r0, max(y1) FILTER (r > cut) AS r1 FROM c JOIN w USING (doc_id, page) GROUP BY doc_id, page)
+SELECT doc_id, page, gl AS gutter_left, gr AS gutter_right FROM s WHERE least(l1, r1) > greatest(l0, r0) AND gr - gl >= 8""")
+def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return layout.gutters(boxes, _sheets(boxes))
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-column pages: every seventh block runs across."""
+    k = F.col("p_partkey")
+    left = k % 2 == 0
+    wide = k % 7 == 3
+    b = table(spark, sf_dir, "part").select((k / 40).cast("long").alias("doc_id"), ((k / 10).cast("long") % 4).cast("int").alias("page"), (k % 10).cast("int").alias("number"), F.col("p_name").alias("text"), F.when(wide, 20.0).when(left, 20.0).otherwise(170.0).alias("x0"), (k * 53 % 360).cast("double").alias("y0"), F.when(wide, 280.0).when(left, 130.0).otherwise(280.0).alias("x1"))
+    return b.withColumn("y1", F.col("y0") + 10.0)
+
+
+@query(r"""WITH b AS (SELECT p_partkey // 40 AS doc_id, (p_partkey // 10 % 4)::INT AS page, (p_partkey % 10)::INT AS number, CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE (p_partkey % 2)::INT END AS col, CASE WHEN p_partkey % 7 = 3 OR p_partkey % 2 = 0 THEN 20 ELSE 170 END AS x0, p_partkey * 53 % 360 AS y0 FROM part),
+n AS (SELECT *, (SELECT count(*) FROM b s WHERE s.doc_id = b.doc_id AND s.page = b.page AND s.col IS NULL AND (s.y0 < b.y0 OR s.y0 = b.y0 AND (s.x0, s.number) < (b.x0, b.number))) AS before, (SELECT count(*) FROM b s WHERE s.doc_id = b.doc_id AND s.page = b.page AND s.col IS NULL AND s.y0 <= b.y0) AS upto FROM b)
+SELECT doc_id, page, number, col AS "column", row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN col IS NULL THEN before + 1 ELSE upto + 0.5 END, coalesce(col, -1), y0, x0, number)::INT AS position FROM n""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _columns(spark, sf_dir)
+    return layout.reading_order(boxes, _sheets(boxes)).select("doc_id", "page", "number", "column", "position")
+
+
+@query(rf"""WITH {_BOXES} SELECT doc_id, page, number FROM b WHERE number >= 3 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.doc_id = b.doc_id AND t.page = b.page AND t.number < 3
+  AND greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) * greatest(least(b.y1, t.y1) - greatest(b.y0, t.y0), 0) >= 0.5 * (b.x1 - b.x0) * (b.y1 - b.y0))""")
+def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    return layout.outside_tables(boxes.where("number >= 3"), boxes.where("number < 3")).select("doc_id", "page", "number")
+
+
+@query(rf"""WITH {_BOXES}, p AS (SELECT a.doc_id, a.page, a.number, t.number AS tn, CASE WHEN t.number < 5 THEN 'image' ELSE 'table' END AS kind, greatest(0, a.y0 - t.y1, t.y0 - a.y1) AS d,
+  greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) / least(a.x1 - a.x0, t.x1 - t.x0) AS o FROM b a JOIN b t USING (doc_id, page) WHERE a.number < 3 AND t.number >= 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, number ORDER BY round(d, 6), kind <> 'image', tn) AS r FROM p WHERE o >= 0.25 AND d <= 72)
+SELECT b.doc_id, b.page, b.number, kind || '-' || tn AS target FROM b LEFT JOIN best ON best.doc_id = b.doc_id AND best.page = b.page AND best.number = b.number AND r = 1 WHERE b.number < 3""")
+def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _boxes(spark, sf_dir)
+    targets = boxes.where("number >= 3").withColumn("kind", F.when(F.col("number") < 5, "image").otherwise("table"))
+    return layout.caption_targets(boxes.where("number < 3"), targets).select("doc_id", "page", "number", "target")
+
+
+@query(rf"""WITH {_BOXES}, p AS (SELECT a.doc_id, a.page, a.number AS na, t.number AS nb, greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) * greatest(least(a.y1, t.y1) - greatest(a.y0, t.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (t.x1 - t.x0) * (t.y1 - t.y0) AS ta FROM b a JOIN b t USING (doc_id, page) WHERE a.number < t.number)
+SELECT doc_id, page, na, nb, round(i / (aa + ta - i), 9) AS iou FROM p WHERE i > 0""")
+def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _boxes(spark, sf_dir).drop("text")
+    b = a.select("doc_id", "page", F.col("number").alias("nb"), *[F.col(c).alias(f"b_{c}") for c in geometry.Box._fields])
+    pairs = a.withColumnRenamed("number", "na").join(b, ["doc_id", "page"]).where("na < nb")
+    return pairs.withColumn("iou", F.round(geometry.iou(geometry.Box.of(), geometry.Box.of("b_")), 9)).where("iou > 0").select("doc_id", "page", "na", "nb", "iou")
+
+
+@query()
+def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even blocks as the text layer, odd ones as recognised, the last as a table."""
+    boxes = _boxes(spark, sf_dir)
+    ocr = boxes.where("number % 2 = 1 AND number < 9").withColumns({"ix": F.col("number"), "confidence": F.col("x0") / 200})
+    return layout.merge_ocr(boxes.where("number % 2 = 0"), ocr, boxes.where("number = 9"), _sheets(boxes))
+
+
+@query(r"""WITH c AS (SELECT l_orderkey AS doc_id, (l_linenumber % 2)::INT AS page, l_suppkey % 3 AS row_ix, l_partkey % 4 AS cell_ix, CASE WHEN l_quantity > 25 THEN 'x' ELSE ' ' END AS t, CASE WHEN l_orderkey % 2 = 0 THEN 'text' ELSE 'lines' END AS s FROM lineitem),
+r AS (SELECT doc_id, page, s, row_ix, count(*) AS n, count(*) FILTER (trim(t) <> '') AS f, count(DISTINCT cell_ix) AS w FROM c GROUP BY ALL),
+t AS (SELECT doc_id, page, s, count(*) AS rows, max(w) AS cols, sum(f) AS filled, sum(n) AS cells, count(*) FILTER (f >= 0.75 * n) AS dense FROM r GROUP BY ALL)
+SELECT doc_id, page, rows >= 2 AND cols >= 2 AND filled >= 4 AND filled >= 0.5 * cells AND (s <> 'text' OR (dense >= 2 AND dense >= 0.75 * rows)) AS accepted FROM t""")
+def table_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = table(spark, sf_dir, "lineitem")
+    cells = i.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("int").alias("page"), F.lit(0).alias("number"), (F.col("l_suppkey") % 3).alias("row_ix"), (F.col("l_partkey") % 4).alias("cell_ix"), F.when(F.col("l_quantity") > 25, "x").otherwise(" ").alias("text"), F.when(F.col("l_orderkey") % 2 == 0, "text").otherwise("lines").alias("strategy"))
+    return layout.accept_tables(cells).drop("number")
+
+
+@query(r"""WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, 8 + (l_partkey % 9)::DOUBLE AS size, l_suppkey % 4 = 0 AS bold, repeat('x', (l_quantity * 4)::INT) AS text FROM lineitem),
+b AS (SELECT doc_id, list_sort(list(size)) AS s FROM p GROUP BY doc_id), q AS (SELECT p.*, s[len(s) // 2 + 1] AS base FROM p JOIN b USING (doc_id)),
+h AS (SELECT *, size >= base + 1.5 OR (bold AND length(text) <= 90) AS is_h FROM q), r AS (SELECT doc_id, min(size) AS lo, max(size) AS hi FROM h WHERE is_h GROUP BY doc_id)
+SELECT doc_id, n, CASE WHEN NOT is_h THEN 0 WHEN hi > lo THEN CASE WHEN (size - lo) / (hi - lo) >= 0.66 THEN 1 WHEN (size - lo) / (hi - lo) >= 0.33 THEN 2 ELSE 3 END WHEN size - base >= 6 THEN 1 WHEN size - base >= 3 THEN 2 ELSE 3 END AS level FROM h LEFT JOIN r USING (doc_id)""")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = table(spark, sf_dir, "lineitem")
+    p = i.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), (8 + F.col("l_partkey") % 9).cast("double").alias("size"), (F.col("l_suppkey") % 4 == 0).alias("bold"), F.repeat(F.lit("x"), (F.col("l_quantity") * 4).cast("int")).alias("text"))
+    return layout.infer_headings(p).select("doc_id", "n", "level")
+
+
+@query(r"""WITH f AS (SELECT p_partkey AS usage_id, p_brand AS family, p_size % 2 = 0 AS bold, p_size % 3 = 0 AS italic, [65, 66, 65 + p_size % 30] AS chars FROM part WHERE p_partkey % 4 = 0),
+faces AS (SELECT 'Brand#' || i AS family, '/f/' || i || '-' || j || '.ttf' AS path, 300 + j * 200 AS weight, j % 2 = 1 AS italic, 3 + i % 5 AS width, 60 + i AS last, 'brand' || i AS key FROM range(1, 20) a(i), range(3) b(j)),
+p AS (SELECT usage_id, f.family, faces.family AS ff, path, faces.family = f.family AS exact, key, len(list_filter(list_distinct(chars), lambda c: c > last)) AS missing,
+  round(abs(weight - CASE WHEN bold THEN 700 ELSE 400 END) / 500 + abs(width - 5) / 8 + CASE WHEN f.italic <> faces.italic THEN 0.35 ELSE 0 END + least(2.0, len(list_filter(list_distinct(chars), lambda c: c > last)) / len(list_distinct(chars))), 9) AS distance
+  FROM f JOIN faces ON faces.family = f.family OR NOT EXISTS (SELECT 1 FROM faces x WHERE x.family = f.family))
+SELECT usage_id, ff AS face_family, path AS face_path, exact, distance, missing::INT AS n_missing FROM (SELECT *, row_number() OVER (PARTITION BY usage_id ORDER BY distance, key, lower(path)) AS r FROM p) WHERE r = 1""")
+def font_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    usages = p.select(F.col("p_partkey").alias("usage_id"), F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_size") % 3 == 0).alias("italic"), F.array(F.lit(65), F.lit(66), 65 + F.col("p_size") % 30).alias("characters"))
+    faces = spark.range(1, 20).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    faces = faces.select(F.concat(F.lit("Brand#"), F.col("i").cast("string")).alias("family"), F.concat(F.lit("/f/"), "i", F.lit("-"), "j", F.lit(".ttf")).alias("path"), (300 + F.col("j") * 200).alias("weight"), (F.col("j") % 2 == 1).alias("italic"), (3 + F.col("i") % 5).alias("width_class"), F.sequence(F.lit(0), (60 + F.col("i")).cast("int")).alias("glyphs"))
+    return fonts.resolve_fonts(usages, faces).select("usage_id", "face_family", "face_path", "exact", "distance", "n_missing")
+
+
+# ---------------------------------------------------------------- graphs
+
+
+@query(r"""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, (c_custkey * 7 + 3) % 1500 AS dst FROM customer WHERE c_custkey % 3 <> 0 UNION SELECT c_custkey, (c_custkey * 5 + 11) % 1500 FROM customer WHERE c_custkey % 4 = 0),
+r(node, depth) AS (SELECT 1, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 40)
+SELECT node::BIGINT AS node, min(depth)::INT AS depth FROM r GROUP BY node""")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    a = c.where("k % 3 <> 0").select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 1500).alias("dst"))
+    b = c.where("k % 4 = 0").select(F.col("k").alias("src"), ((F.col("k") * 5 + 11) % 1500).alias("dst"))
+    return graph.reachable(a.unionByName(b), spark.createDataFrame([(1,)], "node long"))
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT p_partkey // 50 AS doc_id, p_partkey % 50 AS id, CASE WHEN p_partkey % 50 > 0 THEN (p_partkey % 50) // 3 END AS base, CASE WHEN p_size % 3 = 0 THEN p_brand END AS family, CASE WHEN p_size % 4 = 0 THEN p_size::DOUBLE END AS size FROM part),
+c(doc_id, node, anc, depth) AS (SELECT doc_id, id, id, 0 FROM s UNION ALL SELECT c.doc_id, c.node, s.base, c.depth + 1 FROM c JOIN s ON s.doc_id = c.doc_id AND s.id = c.anc WHERE s.base IS NOT NULL)
+SELECT c.doc_id, c.node, arg_min(family, depth) FILTER (family IS NOT NULL) AS family, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM c JOIN s ON s.doc_id = c.doc_id AND s.id = c.anc GROUP BY c.doc_id, c.node""")
+def inheritance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select((k / 50).cast("long").alias("doc_id"), (k % 50).alias("style"), F.when(k % 50 > 0, ((k % 50) / 3).cast("long")).alias("base"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("family"), F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("double")).alias("size"))
+    return graph.inherited(s, "style", "base", ["doc_id"], ["family", "size"])
+
+
+@query(r"""WITH RECURSIVE e AS (SELECT o_orderkey % 700 AS a, o_custkey % 700 AS b FROM orders WHERE o_orderkey % 9 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node WHERE r.label < u.b)
+SELECT node, least(min(label), node) AS component FROM r GROUP BY node HAVING node IN (SELECT a FROM e WHERE a <> b UNION SELECT b FROM e WHERE a <> b)""")
+def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select((F.col("o_orderkey") % 700).alias("a"), (F.col("o_custkey") % 700).alias("b"))
+    return connected_components(spark, e)
+
+
+@query(r"""WITH p AS (SELECT p_partkey // 20 AS pkg_id, '/part' || p_partkey % 20 || '.xml' AS name, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'application/xml' END AS ct FROM part),
+r AS (SELECT pkg_id, CASE WHEN k = 0 THEN '/' ELSE '/part' || k || '.xml' END AS owner, '/part' || ((k * 2 + pkg_id) % 23) || '.xml' AS target FROM (SELECT DISTINCT pkg_id FROM p), range(12) t(k))
+SELECT pkg_id, 'missing-content-type' AS code, name AS subject FROM p WHERE ct = '' UNION ALL
+SELECT pkg_id, 'missing-target', owner || '#r' FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pkg_id = r.pkg_id AND p.name = r.target)""")
+def package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings other than reachability over packages made of the parts."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select((k / 20).cast("long").alias("pkg_id"), F.concat(F.lit("/part"), (k % 20).cast("string"), F.lit(".xml")).alias("name"), F.when(k % 13 == 0, "").otherwise("application/xml").alias("content_type"))
+    name = lambda n: F.concat(F.lit("/part"), n.cast("string"), F.lit(".xml"))
+    rel = parts.select("pkg_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("pkg_id", F.when(F.col("k") == 0, "/").otherwise(name(F.col("k"))).alias("owner"), F.lit("r").alias("id"), F.lit("t").alias("type"), name((F.col("k") * 2 + F.col("pkg_id")) % 23).alias("target"), F.lit("Internal").alias("mode"))
+    return graph.audit_package(parts, rel).where("code NOT IN ('unreachable', 'unreached')")
+
+
+# ---------------------------------------------------------------- colors
+
+
+@query(r"""SELECT p_partkey, round(('0x' || substr(h, 1, 2))::INT / 255.0, 6) AS r, round(('0x' || substr(h, 3, 2))::INT / 255.0, 6) AS g, round(('0x' || substr(h, 5, 2))::INT / 255.0, 6) AS b, '#' || h AS back FROM (SELECT p_partkey, substr(md5(p_name || p_partkey), 1, 6) AS h FROM part)""")
+def color_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.concat(F.lit("#"), F.substring(F.md5(F.concat("p_name", "p_partkey").cast("binary")), 1, 6))
+    p = table(spark, sf_dir, "part").select("p_partkey", color.parse_color(c).alias("c"))
+    return p.select("p_partkey", *[F.round(F.col("c")[n], 6).alias(n) for n in "rgb"], color.to_hex(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("back"))
+
+
+@query(r"""SELECT p_partkey, round(b * s, 9) AS multiply, round(b + s - b * s, 9) AS screen, round(least(b, s), 9) AS darken, round(abs(b - s), 9) AS difference, round(b + s - 2 * b * s, 9) AS exclusion,
+  round(CASE WHEN b <= 0.5 THEN s * 2 * b ELSE s + (2 * b - 1) - s * (2 * b - 1) END, 9) AS overlay FROM (SELECT p_partkey, (p_partkey % 101) / 100.0 AS b, (p_size * 7 % 101) / 100.0 AS s FROM part)""")
+def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 101 / 100.0).alias("b"), (F.col("p_size") * 7 % 101 / 100.0).alias("s"))
+    modes = ("multiply", "screen", "darken", "difference", "exclusion", "overlay")
+    return p.select("p_partkey", *[F.round(color.blend(F.lit(m), F.col("b"), F.col("s")), 9).alias(m) for m in modes])
