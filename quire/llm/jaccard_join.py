@@ -3,12 +3,13 @@
 A document is its set of distinct word shingles. Shingles are hashed into groups, and a document's group
 counts are a point; for two documents the sum of the smaller coordinates bounds the shingles they share.
 
-1. *Routing.* Under one global order of shingles (frequent ones last) two linked documents share one of
+1. *Routing.* Under one global order of shingles (frequent ones last) two linked documents share some of
    their leading shingles: the bound over the rest is too small. A document goes to the tile of each.
    Exact copies go as one.
 2. *Search.* In a tile, an R-tree over the points finds the pairs whose bound admits a link; a node holds
    the largest coordinates below it, so a pair of nodes is left as soon as its summed minima are too small.
-   A spanning forest of the surviving pairs joins documents into blocks.
+   A short tile gives its pairs of like size; those that meet in as many tiles as linked documents must
+   (or that meet in a long one) are bounded once each. A spanning forest of the surviving pairs joins documents into blocks.
 3. *Verification.* Only documents in blocks are shingled again; the R-tree of a block gives the pairs, and
    those whose documents aren't connected yet are compared exactly.
 
@@ -35,8 +36,11 @@ FEW, MANY, LARGE = 64, 512, 1024
 #: Beyond this, a 16-bit coordinate could overflow; such points aren't bounded.
 UNBOUNDED = 65_535
 LEAF = 16
+#: Leading shingles that linked documents must share, where they have as many, and the longest tile whose
+#: pairs are counted.
+SHARED, SHORT = 3, 48
 #: The most shingles that are known to be frequent. Only the order of shingles depends on them.
-FREQUENT = 65_536
+FREQUENT = 500_000
 #: Rows of a chunk in a tile; shingles of a chunk in a block.
 TILE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 512, 1024, 2_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,8 +69,10 @@ def point(hashes: np.ndarray) -> bytes:
 
 
 def _prefixes(n: int, percent: int) -> tuple[int, int]:
-    """How many leading shingles a set of n is routed by, and how many as the smaller set of a pair."""
-    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    """How many leading shingles a set of n is routed by, and how many as the smaller set of a pair: of two
+    linked sets, these hold SHARED common ones, or all that are common."""
+    most = lambda least: min(n, n - least + SHARED)
+    return most(-(-percent * n // 100)), most(-(-2 * percent * n // (100 + percent)))
 
 
 class Points:
@@ -147,10 +153,10 @@ def tree_pairs(points: Points, rows: np.ndarray, percent: int) -> Iterator[tuple
 
 
 def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs in many runs of at most LEAF rows: each such run is a leaf of its own."""
+    """All pairs in many runs of at most SHORT rows."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for m in np.unique(sizes):
-        if 1 < m <= LEAF:
+        if 1 < m <= SHORT:
             s = starts[sizes == m][:, None]
             i, j = np.triu_indices(m, 1)
             a.append((s + i).ravel())
@@ -192,6 +198,66 @@ def _allowed(ids, chunk, ci, cj, a, b):
     return (ids[a] != ids[b]) & ((ci[a] == cj[a]) | (chunk[a] != chunk[b]))
 
 
+def _pair_up(percent: int):
+    """Counted pairs of like size from short runs of a key; of a long run only the key, however long it is."""
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.int64)
+        held = {c: empty for c in ("key", "uid", "n", "lead")}  # the run at the end, up to SHORT + 1 rows of it
+
+        def emit(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = np.diff([*starts, len(rows["key"])])
+            a, b = _small_pairs(starts, sizes)
+            n, lead, uid = rows["n"], rows["lead"].astype(bool), rows["uid"]
+            near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[near], b[near]
+            # the smaller set of a pair leads by fewer shingles
+            ok = np.where(n[a] < n[b], lead[a], np.where(n[b] < n[a], lead[b], lead[a] & lead[b]))
+            a, b = a[ok], b[ok]
+            need = np.minimum(SHARED, -(-percent * (n[a] + n[b]) // (100 + percent)))
+            found = np.stack([np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b]), need], 1)
+            pairs, counts = np.unique(found, axis=0, return_counts=True)
+            large = rows["key"][starts[sizes > SHORT]]
+            m, k = len(pairs), len(large)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(v), pa.nulls(k, pa.int64())]) for v in (pairs[:, 0], pairs[:, 1], pairs[:, 2], counts)] + [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(large)])], ["a", "b", "need", "met", "key"]
+            )
+
+        for batch in batches:
+            new = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in held}
+            rows = {c: np.concatenate([held[c], new[c]]) for c in held}
+            if not len(rows["key"]):
+                continue
+            starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+            last = starts[-1]
+            if last:
+                yield from emit({c: v[:last] for c, v in rows.items()}, starts[:-1])
+            held = {c: v[last : last + SHORT + 1] for c, v in rows.items()}
+        if len(held["key"]):
+            yield from emit(held, np.zeros(1, np.int64))
+
+    return pair_up
+
+
+def _admit(percent: int):
+    """Of pairs with both points, those that the bound admits and that connect something new to the task."""
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                m = part.num_rows
+                sizes = np.concatenate([part["n"].to_numpy(), part["m"].to_numpy()])
+                points = Points(binary_rows(part["point"]) + binary_rows(part["other"]), sizes)
+                ok = points.admit(np.arange(m), np.arange(m) + m, percent)
+                for x, y in zip(part["a"].to_numpy()[ok].tolist(), part["b"].to_numpy()[ok].tolist(), strict=True):
+                    links.join(x, y)
+            yield from links.flush()
+
+    return admit
+
+
 def _search(percent: int):
     keys = ["key", "cell_i", "cell_j"]
 
@@ -201,22 +267,11 @@ def _search(percent: int):
             ids, n, lead = (table[c].to_numpy() for c in ("uid", "n", "lead"))
             chunk, ci, cj = (table[c].to_numpy() for c in ("chunk", "cell_i", "cell_j"))
             points = Points(binary_rows(table["point"]), n)
-            sizes = np.diff([*starts, len(ids)])
-
-            def take(a, b):
-                # the smaller set of a pair leads by fewer shingles
-                ok = np.where(n[a] < n[b], lead[a], np.where(n[b] < n[a], lead[b], lead[a] & lead[b])) & _allowed(ids, chunk, ci, cj, a, b)
-                return a[ok], b[ok]
-
-            a, b = take(*_small_pairs(starts, sizes))
-            ok = points.admit(a, b, percent)
-            pairs = np.unique(np.stack([np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])], 1), axis=0)
-            for x, y in pairs.tolist():
-                links.join(x, y)
-            for s, m in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-                for a, b in tree_pairs(points, np.arange(s, s + m), percent):
-                    a, b = take(a, b)
-                    for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                for a, b in tree_pairs(points, np.arange(s, e), percent):
+                    # the smaller set of a pair leads by fewer shingles
+                    ok = np.where(n[a] < n[b], lead[a], np.where(n[b] < n[a], lead[b], lead[a] & lead[b])) & _allowed(ids, chunk, ci, cj, a, b)
+                    for x, y in zip(ids[a[ok]].tolist(), ids[b[ok]].tolist(), strict=True):
                         links.join(x, y)
             yield from links.flush()
 
@@ -261,14 +316,14 @@ def frequent_shingles(texts: DataFrame, k: int, least: int = 64) -> np.ndarray:
 
         def report() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = c >= max(4, len(held) // 400)
+            often = c >= 3
             return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
         for batch in batches:
             for t in binary_rows(batch["t"]):
                 held.append(shingles(t, k))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 3_000_000:
                     yield report()
                     held, size = [], 0
         yield report()
@@ -333,13 +388,22 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "
     routed = texts.mapInArrow(_route(k, percent, frequent), "doc_id long, n long, sig binary, keys array<long>, leads int, point binary")
     routed = scratch.keep(routed.withColumn("uid", F.monotonically_increasing_id()))
     classes = scratch.keep(routed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("uid").alias("uid")))
-    ones = scratch.keep(routed.join(classes.select("uid"), "uid").select("uid", "n", "keys", "leads", "point"))
+    firsts = classes.select("uid")
+    firsts = F.broadcast(firsts) if classes.count() <= broadcast_ids else firsts
+    ones = scratch.keep(routed.join(firsts, "uid").select("uid", "n", "keys", "leads", "point"))
     keyed = ones.select("uid", "n", "leads", F.posexplode("keys").alias("pos", "key")).select("key", "uid", "n", (F.col("pos") < F.col("leads")).alias("lead"))
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("lead").alias("led")).where("rows > 1 AND led").select("key", "rows"))
-    tiles = keyed.join(shared, "key").join(ones.select("uid", "point"), "uid")
+    met = scratch.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(percent), "a long, b long, need long, met long, key long"))
+    point = lambda n, p, u: ones.select(F.col("uid").alias(u), F.col("n").alias(n), F.col("point").alias(p))
+    often = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+    few = often.join(point("n", "point", "a"), "a").join(point("m", "other", "b"), "b")
+    near = few.mapInArrow(_admit(percent), "a long, b long")
+    large = scratch.keep(met.where("key IS NOT NULL").select("key"))
+    side = F.broadcast(large) if large.count() <= broadcast_ids else large
+    busy = scratch.keep(keyed.join(side, "key"))
+    tiles = busy.join(scratch.keep(busy.groupBy("key").agg(F.count("*").alias("rows"))), "key").join(ones.select("uid", "point"), "uid")
     tiles = cells(tiles, "rows", "uid", F.lit(TILE_ROWS)).select("key", "cell_i", "cell_j", "chunk", "uid", "n", "lead", "point")
     tiles = tiles.repartition("key", "cell_i", "cell_j").sortWithinPartitions("key", "cell_i", "cell_j", "n")
-    near = scratch.keep(tiles.mapInArrow(_search(percent), "a long, b long"))
+    near = scratch.keep(near.unionByName(tiles.mapInArrow(_search(percent), "a long, b long")))
     blocks = scratch.keep(connected_components(spark, near, scratch).select(F.col("node").alias("uid"), F.col("component").alias("block")))
     active = scratch.keep(blocks.join(classes, "uid"))
     n_active = active.count()
