@@ -11,7 +11,11 @@ from quire.functions import color, geometry, text
 from quire.operators import charts, dedup, fonts, graph, intervals, layout, pages, tables
 from quire.plans.components import connected_components
 from quire.plans.scratch import Scratch
+from quire.sources import sinks
+from quire.sources.epub import read_epub
 from quire.sources.html import html_table
+from quire.sources.tex import read_tex
+from quire.sources.text import decode_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -609,3 +613,219 @@ def blend_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 101 / 100.0).alias("b"), (F.col("p_size") * 7 % 101 / 100.0).alias("s"))
     modes = ("multiply", "screen", "darken", "difference", "exclusion", "overlay")
     return p.select("p_partkey", *[F.round(color.blend(F.lit(m), F.col("b"), F.col("s")), 9).alias(m) for m in modes])
+
+
+# ---------------------------------------------------------------- tables, packages, mappings
+
+
+@query(r"""WITH c AS (SELECT l_orderkey AS t, l_suppkey % 3 AS grid_col, l_linenumber AS row_ix, CASE WHEN l_partkey % 3 = 0 THEN 'continue' ELSE 'restart' END AS merge FROM lineitem),
+s AS (SELECT *, sum(CASE WHEN merge <> 'continue' OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY t, grid_col ORDER BY row_ix) AS run FROM (SELECT *, row_number() OVER (PARTITION BY t, grid_col ORDER BY row_ix) AS n FROM c))
+SELECT t, grid_col, min(row_ix)::INT AS row_ix, count(*)::INT AS row_span FROM s GROUP BY t, grid_col, run""")
+def vertical_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = table(spark, sf_dir, "lineitem")
+    cells = i.select(F.col("l_orderkey").alias("t"), (F.col("l_suppkey") % 3).alias("grid_col"), F.col("l_linenumber").alias("row_ix"), F.when(F.col("l_partkey") % 3 == 0, "continue").otherwise("restart").alias("merge"))
+    return tables.merge_down(cells, ["t"])
+
+
+@query(r"""SELECT l_orderkey AS t, string_agg(l_linenumber || ':' || l_returnflag || ' | ' || l_linestatus, chr(10) ORDER BY l_linenumber) AS text FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey""")
+def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("b"))
+    i = one.select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("row_ix"), F.concat_ws(":", F.col("l_linenumber").cast("string"), "f").alias("a"), "b")
+    cells = i.select("t", "row_ix", F.posexplode(F.array("a", "b")).alias("cell_ix", "text"))
+    return tables.table_text(cells, ["t"])
+
+
+@query()
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    cells = i.select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") / 2).cast("int").alias("row_ix"), (F.col("l_linenumber") % 2).cast("int").alias("cell_ix"), (1 + F.col("l_partkey") % 3).cast("int").alias("row_span"), (1 + F.col("l_suppkey") % 2).cast("int").alias("col_span"))
+    return tables.place_cells(cells, ["t"])
+
+
+@query(r"""WITH c AS (SELECT p_partkey AS id, p_partkey // 10 AS t, CASE WHEN p_size % 2 = 0 THEN p_brand END AS "top", CASE WHEN p_size % 3 = 0 THEN p_type END AS "left" FROM part),
+b AS (SELECT t, 'T' || t AS "top", CASE WHEN t % 2 = 0 THEN 'L' || t END AS "left" FROM (SELECT DISTINCT p_partkey // 10 AS t FROM part) WHERE t % 5 <> 0)
+SELECT c.id, c.t, coalesce(c."top", b."top") AS "top", coalesce(c."left", b."left") AS "left" FROM c LEFT JOIN b ON b.t = c.t""")
+def merged_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    p = table(spark, sf_dir, "part").withColumn("t", (F.col("p_partkey") / 10).cast("long"))
+    cells = p.select(F.col("p_partkey").alias("id"), "t", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("top"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("left"), none.alias("bottom"), none.alias("right"))
+    name = lambda a: F.concat(F.lit(a), F.col("t").cast("string"))
+    borders = p.select("t").distinct().where("t % 5 <> 0").select("t", name("T").alias("top"), F.when(F.col("t") % 2 == 0, name("L")).alias("left"), none.alias("bottom"), none.alias("right"))
+    return tables.merge_borders(cells, borders, ["t"]).select("id", "t", "top", "left")
+
+
+def _package(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("/p"), n.cast("string"))
+    parts = table(spark, sf_dir, "part").select((k / 20).cast("long").alias("pkg_id"), name(k % 20).alias("name"))
+    rel = parts.select("pkg_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    rel = rel.select("pkg_id", F.when(F.col("k") < 3, "/").otherwise(name(F.col("k"))).alias("owner"), F.when((F.col("k") + F.col("pkg_id")) % 3 == 0, "style").otherwise("image").alias("type"), name((F.col("k") * 2 + F.col("pkg_id")) % 20).alias("target"), F.when(F.col("k") % 7 == 6, "External").otherwise("Internal").alias("mode"))
+    return parts, rel
+
+
+_PACKAGE = """rel AS (SELECT pkg_id, CASE WHEN k < 3 THEN '/' ELSE '/p' || k END AS owner, CASE WHEN (k + pkg_id) % 3 = 0 THEN 'style' ELSE 'image' END AS type, '/p' || ((k * 2 + pkg_id) % 20) AS target, k % 7 <> 6 AS inner_ FROM (SELECT DISTINCT p_partkey // 20 AS pkg_id FROM part), range(18) t(k))"""
+
+
+@query(rf"""WITH RECURSIVE {_PACKAGE}, r(pkg_id, node, depth) AS (SELECT pkg_id, target, 0 FROM rel WHERE owner = '/' AND inner_ UNION SELECT r.pkg_id, rel.target, r.depth + 1 FROM r JOIN rel ON rel.pkg_id = r.pkg_id AND rel.owner = r.node AND rel.type = 'image' AND inner_ WHERE r.depth < 25)
+SELECT pkg_id, node, min(depth)::INT AS depth FROM r GROUP BY pkg_id, node""")
+def package_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, rel = _package(spark, sf_dir)
+    return graph.package_closure(parts, rel, ["style", "image"], ["image"])
+
+
+@query(rf"""WITH RECURSIVE {_PACKAGE}, seed AS (SELECT p_partkey // 20 AS pkg_id, '/p' || p_partkey % 20 AS node FROM part WHERE p_partkey % 20 >= 15),
+r(pkg_id, node) AS (SELECT * FROM seed UNION SELECT r.pkg_id, rel.target FROM r JOIN rel ON rel.pkg_id = r.pkg_id AND rel.owner = r.node AND inner_) SELECT DISTINCT pkg_id, node AS name FROM r""")
+def orphan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, rel = _package(spark, sf_dir)
+    loaded = parts.where(F.substring("name", 3, 9).cast("int") < 15)
+    return graph.orphan_parts(parts, loaded, rel)
+
+
+@query(r"""WITH RECURSIVE a AS (SELECT o_orderkey % 300 AS s, 1000 + o_custkey % 200 AS t, ['REJECTED', 'LOST', 'OPAQUE', 'VISUAL', 'SEMANTIC'][o_orderkey % 5 + 1] AS state FROM orders WHERE o_orderkey % 41 = 0),
+b AS (SELECT 1000 + o_custkey % 200 AS s, 2000 + o_orderkey % 250 AS t, 'SEMANTIC' AS state FROM orders WHERE o_orderkey % 83 = 0),
+e AS (SELECT * FROM a UNION ALL SELECT * FROM b), u AS (SELECT s AS x, t AS y FROM e UNION SELECT t, s FROM e), r(n, g) AS (SELECT x, x FROM u UNION SELECT u.y, r.g FROM r JOIN u ON u.x = r.n WHERE r.g < u.y),
+c AS (SELECT n, least(min(g), n) AS g FROM r GROUP BY n)
+SELECT c.g AS group_id, (SELECT string_agg(DISTINCT s::VARCHAR, ',' ORDER BY s::VARCHAR) FROM a JOIN c d ON d.n = a.s WHERE d.g = c.g) AS sources, min(list_position(['REJECTED', 'LOST', 'OPAQUE', 'VISUAL', 'SEMANTIC'], e.state))::INT AS rank
+FROM e JOIN c ON c.n = e.s GROUP BY c.g""")
+def mapping_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    states = F.array(*map(F.lit, graph.STATES))
+    a = o.where("o_orderkey % 41 = 0").select((F.col("o_orderkey") % 300).alias("source"), (1000 + F.col("o_custkey") % 200).alias("target"), F.element_at(states, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("state"))
+    b = o.where("o_orderkey % 83 = 0").select((1000 + F.col("o_custkey") % 200).alias("source"), (2000 + F.col("o_orderkey") % 250).alias("target"), F.lit("SEMANTIC").alias("state"))
+    out = graph.compose_mappings(a, b)
+    joined = F.array_join(F.array_sort(F.transform("sources", lambda x: x.cast("string"))), ",")
+    return out.select("group_id", F.when(F.size("sources") > 0, joined).alias("sources"), graph.state_rank(F.col("state")).cast("int").alias("rank"))
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT p_partkey // 50 AS doc_id, p_partkey % 50 AS id, CASE WHEN p_partkey % 50 > 0 THEN (p_partkey % 50) // 3 END AS base, CASE WHEN p_size % 4 = 0 THEN p_size END AS v, p_size % 7 = 0 AS bad FROM part),
+c(doc_id, node, anc, depth) AS (SELECT doc_id, id, id, 0 FROM s UNION ALL SELECT c.doc_id, c.node, s.base, c.depth + 1 FROM c JOIN s ON s.doc_id = c.doc_id AND s.id = c.anc WHERE s.base IS NOT NULL),
+d AS (SELECT c.*, v, bad FROM c JOIN s ON s.doc_id = c.doc_id AND s.id = c.anc WHERE v IS NOT NULL OR bad), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, node ORDER BY depth) AS r FROM d)
+SELECT s.doc_id, s.id AS node, CASE WHEN NOT coalesce(f.bad, false) THEN f.v END AS v FROM s LEFT JOIN f ON f.doc_id = s.doc_id AND f.node = s.id AND r = 1""")
+def effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select((k / 50).cast("long").alias("doc_id"), (k % 50).alias("style"), F.when(k % 50 > 0, ((k % 50) / 3).cast("long")).alias("base"), F.when(F.col("p_size") % 4 == 0, F.col("p_size")).alias("v"), (F.col("p_size") % 7 == 0).alias("bad"))
+    return graph.effective_or_unresolved(s, "style", "base", ["doc_id"], "v", "bad")
+
+
+@query(r"""WITH RECURSIVE n AS (SELECT 0 AS doc_id, c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE (c_custkey * 3 + 25) % 1500 END AS up FROM customer), k AS (SELECT n.doc_id, n.id, n.up FROM n),
+root AS (SELECT doc_id, id FROM k WHERE NOT EXISTS (SELECT 1 FROM k p WHERE p.doc_id = k.doc_id AND p.id = k.up)), r(doc_id, id) AS (SELECT * FROM root UNION SELECT k.doc_id, k.id FROM r JOIN k ON k.doc_id = r.doc_id AND k.up = r.id)
+SELECT doc_id::INT AS doc_id, id AS node FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = k.doc_id AND r.id = k.id)""")
+def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(F.lit(0).alias("doc_id"), k.alias("id"), F.when(k % 9 != 0, (k * 3 + 25) % 1500).alias("up"))
+    return graph.cyclic_nodes(nodes, "id", "up", ["doc_id"])
+
+
+# ---------------------------------------------------------------- more geometry, fonts, text
+
+
+@query(r"""SELECT p_partkey, round(least(-y0, -y1) + 100, 6) AS x0, round(least(2 * x0, 2 * x1) + 5, 6) AS y0, round(greatest(-y0, -y1) + 100, 6) AS x1, round(greatest(2 * x0, 2 * x1) + 5, 6) AS y1
+FROM (SELECT p_partkey, (p_partkey * 37 % 200)::DOUBLE AS x0, (p_partkey * 53 % 360)::DOUBLE AS y0, (p_partkey * 37 % 200 + 40)::DOUBLE AS x1, (p_partkey * 53 % 360 + 8)::DOUBLE AS y1 FROM part)""")
+def matrix_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes turned by a quarter, stretched, and moved: two matrices composed."""
+    k = F.col("p_partkey")
+    x, y = (k * 37 % 200).cast("double"), (k * 53 % 360).cast("double")
+    turn = geometry.Matrix(*map(F.lit, (0.0, 1.0, -1.0, 0.0, 0.0, 0.0)))
+    move = geometry.Matrix(*map(F.lit, (1.0, 0.0, 0.0, 2.0, 100.0, 5.0)))
+    b = turn.then(move).bounds(geometry.Box(x, y, x + 40, y + 8))
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.round(v, 6).alias(n) for n, v in zip(geometry.Box._fields, b, strict=True)])
+
+
+@query(r"""SELECT p_partkey, CASE WHEN k = 0 THEN 'pt' WHEN k = 1 THEN 'ratio' WHEN k = 2 THEN 'auto' ELSE 'nil' END AS unit, CASE WHEN k = 0 THEN p_size / 20.0 WHEN k = 1 THEN p_size / 5000.0 END AS value FROM (SELECT *, p_partkey % 4 AS k FROM part)""")
+def native_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    kind = F.when(k == 0, "dxa").when(k == 1, "pct").when(k == 2, "auto").otherwise("nil")
+    w = geometry.native_width(kind, F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", w["unit"].alias("unit"), w["value"].alias("value"))
+
+
+@query(rf"""WITH {_BOXES}, s AS (SELECT *, lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, y1) AS before FROM b)
+SELECT doc_id, page, number, sum(CASE WHEN y0 - before > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y0, y1)::BIGINT AS stack FROM s""")
+def touching_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.touching_stacks(_boxes(spark, sf_dir), ["doc_id", "page"], gap=20.0).select("doc_id", "page", "number", "stack")
+
+
+@query(rf"""WITH {_BOXES}, g AS (SELECT doc_id, page, y1 - y0 AS h, lead(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, y1) - y1 AS gap FROM b)
+SELECT doc_id, page, coalesce(max(gap), 0) <= greatest(36, 2.5 * median(greatest(h, 1))) AS regular FROM g GROUP BY doc_id, page""")
+def row_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.regular_row_spacing(_boxes(spark, sf_dir).withColumn("number", F.lit(0))).drop("number")
+
+
+@query(r"""WITH s AS (SELECT p_partkey // 10 AS doc_id, (p_partkey % 2)::INT AS page, CASE WHEN p_size % 2 = 0 THEN 'h' ELSE 'v' END AS axis, (p_partkey * 7 % 5)::DOUBLE AS pl, (p_partkey * 11 % 40)::DOUBLE AS s0, (p_partkey * 11 % 40 + 30)::DOUBLE AS s1, p_type AS style FROM part),
+d AS (SELECT doc_id, page, axis, k::DOUBLE AS pl, axis || k AS side_id, 20.0 AS a, 40.0 AS b FROM (SELECT DISTINCT doc_id, page FROM s), (VALUES ('h'), ('v')) x(axis), range(5) t(k)),
+m AS (SELECT d.*, s0, s1, style, greatest(coalesce(max(s1) OVER (PARTITION BY d.doc_id, d.page, side_id ORDER BY s0, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a), a) AS reach FROM d JOIN s ON s.doc_id = d.doc_id AND s.page = d.page AND s.axis = d.axis AND s.pl = d.pl AND s0 < b AND s1 > a)
+SELECT doc_id, page, side_id, min(style) AS style FROM m GROUP BY doc_id, page, side_id HAVING count(DISTINCT style) = 1 AND sum(greatest(least(s0, b) - reach, 0)) + greatest(max(b) - max(s1), 0) <= 0.0001""")
+def stroke_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select((k / 10).cast("long").alias("doc_id"), (k % 2).cast("int").alias("page"), F.when(F.col("p_size") % 2 == 0, "h").otherwise("v").alias("axis"), (k * 7 % 5).cast("double").alias("at"), (k * 11 % 40).cast("double").alias("start"), (k * 11 % 40 + 30).cast("double").alias("end"), F.col("p_type").alias("style"))
+    d = s.select("doc_id", "page").distinct().withColumn("axis", F.explode(F.array(F.lit("h"), F.lit("v")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    d = d.select("doc_id", "page", "axis", F.col("i").cast("double").alias("at"), F.concat("axis", F.col("i").cast("string")).alias("side_id"), F.lit(20.0).alias("start"), F.lit(40.0).alias("end"))
+    return layout.match_strokes(s, d)
+
+
+@query(r"""SELECT p_brand AS family, p_type AS kind, string_agg(DISTINCT c, '' ORDER BY c) AS characters FROM (SELECT p_brand, p_type, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_brand, p_type""")
+def characters_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.col("p_type").alias("kind"), F.col("p_name").alias("text"))
+    return pages.characters_used(runs, ["family", "kind"])
+
+
+@query(r"""SELECT p_partkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS key, regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9_]', '_', 'g') AS safe, replace(replace(p_name || '<' || p_brand || '>', '<', '&lt;'), '>', '&gt;') AS html, 'b' || substr(sha256(p_name), 1, 20) AS bookmark FROM part""")
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, brand = F.col("p_name"), F.col("p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", text.font_family_key(brand).alias("key"), text.safe_id(F.concat_ws(" ", name, brand)).alias("safe"), text.escape_html(F.concat(name, F.lit("<"), brand, F.lit(">"))).alias("html"), text.bookmark_name(name).alias("bookmark"))
+
+
+@query(r"""WITH i AS (SELECT page_id, ['ERROR', 'LOSS', 'WARNING', 'INFO'][page_id % 4 + 1] AS severity FROM pages WHERE page_id % 3 <> 0) SELECT p.page_id, NOT EXISTS (SELECT 1 FROM i WHERE i.page_id = p.page_id AND severity <> 'INFO') AS lossless FROM pages p""")
+def lossless_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id")
+    issues = p.where("page_id % 3 <> 0").withColumn("severity", F.element_at(F.array(*map(F.lit, pages.SEVERITIES)), (F.col("page_id") % 4 + 1).cast("int")))
+    return pages.lossless(issues, p, "page_id")
+
+
+@query(r"""SELECT o_orderpriority AS chart, string_agg(series, '; ' ORDER BY o_orderstatus) AS description FROM (
+  SELECT o_orderpriority, o_orderstatus, o_orderstatus || ': ' || string_agg(y || ' ' || n, ', ' ORDER BY y) AS series FROM (SELECT o_orderpriority, o_orderstatus, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderpriority, o_orderstatus) GROUP BY o_orderpriority""")
+def chart_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.year("o_orderdate")
+    points = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("chart"), F.col("o_orderstatus").alias("series_ix"), y.alias("idx")).agg(F.count("*").alias("value"))
+    points = points.withColumns({"series_name": F.col("series_ix"), "category": F.col("idx").cast("string")})
+    return charts.describe_chart(points, ["chart"])
+
+
+# ---------------------------------------------------------------- files made of the documents
+
+
+@query(r"""SELECT doc_id, sha256(replace(text, chr(13), '')) AS text_hash, CASE WHEN doc_id % 3 = 0 THEN 'utf-16-le' ELSE 'utf-8' END AS encoding, doc_id % 3 = 0 AS bom FROM documents WHERE doc_id % 7 <> 0""")
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded in two ways and read back by detection."""
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    content = F.when(F.col("doc_id") % 3 == 0, wide).otherwise(F.encode("text", "UTF-8"))
+    d = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id", decode_text(content).alias("d"))
+    return d.select("doc_id", F.sha2("d.text", 256).alias("text_hash"), "d.encoding", "d.bom")
+
+
+@query(r"""SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND doc_id % 10 = 0""")
+def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as HTML and read again without a loss: their lengths."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    blocks = lines.withColumns({"level": F.lit(0), "list_level": F.lit(None).cast("int"), "lang": F.lit(None).cast("string")})
+    faults = sinks.verify_html(sinks.to_html(blocks, "doc_id"), "doc_id", blocks)
+    return docs.join(faults.where("fault IS NULL"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query()
+def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents published as EPUB and read back as chapters."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumns({"level": F.when(F.col("pos") % 5 == 0, 1).otherwise(0), "list_level": F.lit(None).cast("int"), "lang": F.lit("en")})
+    back = sinks.to_epub(lines, "doc_id").select("doc_id", read_epub(F.col("content")).alias("e"))
+    return back.select("doc_id", F.posexplode("e.blocks").alias("ix", "b")).select("doc_id", "ix", "b.*")
+
+
+@query()
+def tex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as LaTeX sources, read back by the lexer and reader."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    source = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\section{"), "lang", F.lit("}\n"), text.escape_latex(F.col("text")), F.lit("\n\\end{document}\n"))
+    read = docs.select("doc_id", read_tex(source).alias("t"))
+    return read.select("doc_id", F.explode("t.blocks").alias("b")).select("doc_id", "b.*")
