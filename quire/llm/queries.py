@@ -16,7 +16,7 @@ from quire.llm.language_id import predict_languages
 from quire.llm.mixing import mix_sources
 from quire.llm.pii import find_personal_data
 from quire.llm.quality import judge_documents
-from quire.llm.sentencepiece_codec import decode_documents, encode_documents, load_model
+from quire.llm.sentencepiece_codec import load_model, recode_documents
 from quire.llm.sharding import shard_documents
 from quire.llm.url_filter import filter_urls
 
@@ -72,7 +72,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text (U+2581 aside, which stands for a blank)."""
     model = load_model(tokenizer_path())
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode_documents(encode_documents(docs, model), model)
+    back = recode_documents(docs, model)
     same = F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " "))
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -58,6 +59,27 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class _Memory(dict):
+    """Results of ``make`` by key. Two generations of at most ``most`` each: what is used again moves to
+    the younger one, and the older one is dropped when that is full. Very long strings aren't kept."""
+
+    def __init__(self, make, most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if key.__class__ is str and len(key) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class PieceModel:
     """A SentencePiece model file: unigram or BPE, with the identity normaliser."""
 
@@ -87,17 +109,17 @@ class PieceModel:
         self.unk = self.kinds.index(UNKNOWN)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        self._cache: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "_texts", "bridges", "_floor")} | {"_cache": {}, "_pairs": {}}
+        """What a worker can't or needn't be sent is built there on first use."""
+        made = {k for k, v in vars(type(self)).items() if isinstance(v, cached_property)}
+        return {k: v for k, v in self.__dict__.items() if k not in made}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            out.add_word(p, (len(p), i, p))
+            out.add_word(p, (len(p), i))
         out.make_automaton()
         return out
 
@@ -128,35 +150,29 @@ class PieceModel:
 
         for end, match in self.automaton.iter(s):
             settle(end)  # positions before this end are final, and so what starts there
-            size, i, _ = match
+            size, i = match
             score = best[end + 1 - size] + self.scores[i]
             if score > best[end + 1]:
-                best[end + 1], last[end + 1] = score, match
+                best[end + 1], last[end + 1] = score, (size, i, self.pieces[i])
         settle(n)
         return self._back(last, n)
 
-    def _bpe(self, s: str) -> list[tuple[str, int]]:
-        n = len(s)
-        last: list = [None] * (n + 1)
-        stands, at = self._stands, 0
-
-        def settle(upto: int) -> None:
-            nonlocal at
-            while at < upto:
-                at += 1
-                c = s[at - 1]
-                if last[at] is None and c not in self.ids and (at == 1 or last[at - 1]):
-                    last[at] = (1, -1, c)
-
-        for end, match in self.automaton.iter(s):
-            settle(end)
-            if last[end + 1] is not None:
-                continue
-            start = end + 1 - match[0]
-            if start == 0 or ((before := last[start]) is not None and stands(before[2], match[2])):
-                last[end + 1] = match if start or self._whole(match[2]) else None
-        settle(n)
-        return self._back(last, n)
+    def _bpe(self, s: str) -> list[int]:
+        """Every position has one path, so the first admissible match at an end settles it."""
+        n, size_of, pieces = len(s), len(self.pieces), self.pieces
+        last = [-1] * (n + 1)
+        last[0] = size_of  # stands for the beginning
+        stands = self._pairs
+        for end, (size, i) in self.automaton.iter(s):
+            end += 1
+            if last[end] < 0 and stands[last[end - size] * size_of + i]:
+                last[end] = i
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(pieces[last[n]])
+        out.reverse()
+        return out
 
     @staticmethod
     def _back(last: list, n: int) -> list[tuple[str, int]]:
@@ -182,24 +198,31 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _whole(self, piece: str) -> bool:
-        return self._stands("", piece)
-
-    def _stands(self, left: str, right: str) -> bool:
-        """Whether merging the two by themselves gives the two."""
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) >= 500_000:
-                self._pairs.clear()
-            found = self._pairs[left, right] = self._merge(left + right) == ([left, right] if left else [right])
-        return found
+    def _stands(self, key: int) -> bool:
+        """Whether merging two pieces by themselves gives the two; at a beginning, whether merging gives the
+        piece. ``key`` is the left id (the number of pieces at a beginning) times that number plus the right one."""
+        before, i = divmod(key, len(self.pieces))
+        want = [self.pieces[i]] if before == len(self.pieces) else [self.pieces[before], self.pieces[i]]
+        return self._merge("".join(want)) == want
 
     def _ids(self, s: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for p, i in (self._bpe if self.kind == BPE else self._unigram)(s):
+        """A character that no piece has is a part of its own; nothing merges with it."""
+        if self.kind == BPE:
+            if self._known.issuperset(s):
+                return tuple(self._bpe(s))
+            out: list[int] = []
+            for known, part in groupby(s, self._known.__contains__):
+                if known:
+                    out += self._bpe("".join(part))
+                    continue
+                for c in part:
+                    out += self._spell(c) if self.byte_fallback or out[-1:] != [self.unk] else []
+            return tuple(out)
+        out = []
+        for p, i in self._unigram(s):
             if i >= 0:
                 out.append(i)
-            elif self.byte_fallback or not out or out[-1] != self.unk:  # a run of unknown characters is one
+            elif self.byte_fallback or out[-1:] != [self.unk]:  # a run of unknown characters is one
                 out += self._spell(p)
         return tuple(out)
 
@@ -208,33 +231,65 @@ class PieceModel:
         independent, and each distinct one is searched once (the memory of them is bounded)."""
         if not text:
             return []
-        s = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        text = text.replace(SPACE, " ")
         if self.bridges or not self.byte_fallback:
-            return list(self._ids(s))
-        out: list[int] = []
-        cache, extend = self._cache, out.extend
-        if len(cache) > 300_000:
-            cache.clear()
-        head, *words = s.split(SPACE)
+            return list(self._ids((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)))
+        head, *words = text.split(" ")
+        if self.dummy_prefix:
+            words.insert(0, head)
+        out = [] if self.dummy_prefix else list(self._segments(head))
+        if "" not in words:
+            out.extend(chain.from_iterable(map(self._words.__getitem__, words)))
+            return out
         blanks = 0
-        if head:
-            extend(self._ids(head))
         for w in words:
-            blanks += 1
             if not w:
+                blanks += 1
                 continue
-            key = SPACE * blanks + w
+            out += self._segments(SPACE * (blanks + 1) + w) if blanks else self._words[w]
             blanks = 0
-            ids = cache.get(key)
-            if ids is None:
-                ids = self._ids(key)
-                if len(key) <= 64:
-                    cache[key] = ids
-            extend(ids)
         if blanks:
-            extend(self._ids(SPACE * blanks))
+            out += self._segments(SPACE * blanks)
         return out
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        return self._segments(SPACE + word)
+
+    def _segments(self, s: str) -> tuple[int, ...]:
+        """Ids of a string, cut where no piece has the two characters beside each other."""
+        if s.isalpha() or s[1:].isalpha():  # letters are rarely parted, and cutting isn't needed
+            return self._ids(s)
+        joined, cut, out = self._joined, 0, ()
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in joined:
+                out += self._part(s[cut:i])
+                cut = i
+        return out + self._part(s[cut:]) if s else ()
+
+    def _part(self, s: str) -> tuple[int, ...]:
+        """A part that is a word by itself is remembered as one."""
+        return self._words[s[1:]] if s[0] == SPACE and s[1:].isalpha() else self._parts[s]
+
+    @cached_property
+    def _joined(self) -> frozenset[str]:
+        return frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
+
+    @cached_property
+    def _known(self) -> frozenset[str]:
+        return frozenset(p for p in self.ids if len(p) == 1)
+
+    @cached_property
+    def _pairs(self) -> _Memory:
+        return _Memory(self._stands, 200_000)
+
+    @cached_property
+    def _words(self) -> _Memory:
+        return _Memory(self._word, 200_000)
+
+    @cached_property
+    def _parts(self) -> _Memory:
+        return _Memory(self._ids, 40_000)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined and read as UTF-8 (bad ones become U+FFFD), control pieces
         vanish, and the prefix that encoding added is taken off."""
@@ -265,23 +320,21 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
+def _int_lists(rows: list[list[int] | None]) -> pa.Array:
+    own = [np.array(r or (), np.int32) for r in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+    values = np.concatenate(own) if own else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def encode_documents(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` (replaced if there). A null text gets null, an empty one no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        flat, offsets, run = [], [0], shared.value.encode
-        missing = texts.is_null().to_numpy(zero_copy_only=False)
-        size = 0
-        for t in texts:
-            if t.is_valid:
-                own = np.array(run(t.as_py()), np.int32)
-                flat.append(own)
-                size += len(own)
-            offsets.append(size)
-        values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(missing))
+        run = shared.value.encode
+        return _int_lists([run(t.as_py()) if t.is_valid else None for t in texts])
 
     return docs.withColumn("ids", encode(F.col(text).cast("string")))
 
@@ -296,3 +349,19 @@ def decode_documents(docs: DataFrame, model: PieceModel, ids: str = "ids", into:
         return pa.array([run(r.values.to_numpy().tolist()) if r.is_valid else None for r in rows], pa.string())
 
     return docs.withColumn(into, decode(F.col(ids)))
+
+
+def recode_documents(docs: DataFrame, model: PieceModel, text: str = "text", into: str = "decoded") -> DataFrame:
+    """Both in one pass: ``docs`` with ``ids``, and their text again in ``into``. Chained, Spark would encode
+    once for the ids and again for the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def recode(texts: pa.Array) -> pa.Array:
+        m = shared.value
+        ids = [m.encode(t.as_py()) if t.is_valid else None for t in texts]
+        back = [None if i is None else m.decode(i) for i in ids]
+        return pa.StructArray.from_arrays([_int_lists(ids), pa.array(back, pa.string())], ["ids", "decoded"])
+
+    both = docs.withColumn("_r", recode(F.col(text).cast("string")))
+    return both.withColumns({"ids": F.col("_r.ids"), into: F.col("_r.decoded")}).drop("_r")

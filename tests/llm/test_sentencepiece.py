@@ -1,7 +1,7 @@
 import pytest
 
 from quire.llm.queries import tokenizer_path
-from quire.llm.sentencepiece_codec import BPE, UNIGRAM, PieceModel, decode_documents, encode_documents, load_model
+from quire.llm.sentencepiece_codec import BPE, UNIGRAM, PieceModel, decode_documents, encode_documents, load_model, recode_documents
 
 sentencepiece = pytest.importorskip("sentencepiece")
 TEXTS = ["", " ", "  ", " a", "a b  c\n\n d\t e ", "日本語テキスト 123 4567", "<s> </s> <unk> <0x41>", "\x00 é́ ß İ 🤯👨‍👩‍👧", "a" * 500, "   " * 40 + "x", "Hello   world. (x), y-z/w " * 20, "Straße étoile mañana", "The the\nThe.Then,so", "￿ \ud7ff\U0010ffff"]
@@ -57,6 +57,8 @@ def test_documents(spark, model):
     out = decode_documents(encode_documents(spark.createDataFrame(rows, "doc_id long, text string, ids string"), model), model).collect()
     for r in out:
         assert r.decoded == r.text and (r.ids is None) == (r.text is None)
+    again = recode_documents(spark.createDataFrame(rows, "doc_id long, text string, ids string"), model).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
