@@ -56,8 +56,8 @@ def classify_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     running = running_content(blocks, pages).withColumnRenamed("role", "_role")
     score = formula_score(F.col("text"), F.col("fonts") if "fonts" in blocks.columns else None, F.col("n_lines") if "n_lines" in blocks.columns else None)
     out = blocks.join(running, [*PAGE, "number"], "left").withColumn("_f", score).withColumn("_c", F.col("text").rlike(CAPTION))
-    role = F.when(F.col("_role").isNotNull(), F.col("_role")).when("_c", "caption").when(F.col("_f") >= 0.65, "equation").otherwise("paragraph")
-    sure = F.when(F.col("_role").isNotNull(), 0.98).when("_c", 0.96).when(F.col("_f") >= 0.65, F.col("_f")).otherwise(0.5)
+    role = F.when(F.col("_role").isNotNull(), F.col("_role")).when(F.col("_c"), "caption").when(F.col("_f") >= 0.65, "equation").otherwise("paragraph")
+    sure = F.when(F.col("_role").isNotNull(), 0.98).when(F.col("_c"), 0.96).when(F.col("_f") >= 0.65, F.col("_f")).otherwise(0.5)
     return out.withColumns({"role": role, "confidence": sure}).drop("_role", "_f", "_c")
 
 

@@ -91,7 +91,7 @@ def test_epub():
 def test_tex():
     src = r"""\documentclass{article}% note
 \begin{document}
-\section{Ti\"tle}
+\section{T\"itle}
 Hello \textbf{bold} \'e~x % gone
 and more.
 
