@@ -213,7 +213,7 @@ def stack_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("status", "month", F.round("total", 2).alias("total"), F.round("percent", 6).alias("percent"))
 
 
-@query(rf"""WITH {_SERIES} SELECT status, month, round(1.5 * stddev_pop(value) OVER w, 3) AS by_deviation, round(stddev_pop(value) OVER w / sqrt(count(*) OVER w), 3) AS by_error, round(abs(value) * 0.05, 4) AS by_percent, 3.0 AS fixed
+@query(rf"""WITH {_SERIES} SELECT status, month, round(1.5 * stddev_pop(value) OVER w, 3) AS by_deviation, round(stddev_pop(value) OVER w / sqrt(count(*) OVER w), 3) AS by_error, round(abs(value) * 0.05, 4) AS by_percent, 3.0::DOUBLE AS fixed
 FROM s WINDOW w AS (PARTITION BY status)""")
 def error_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _series(spark, sf_dir)
