@@ -36,7 +36,7 @@ def _grams(texts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tup
             yield bucket, ends - lengths
 
 
-def _chunks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str], most: int = 250_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):

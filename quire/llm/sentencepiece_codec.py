@@ -12,7 +12,8 @@ automaton's output links, longest first) relax the best path up to it. What "bes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain, groupby
 
@@ -81,9 +82,11 @@ class _Memory(dict):
 
 
 class PieceModel:
-    """A SentencePiece model file: unigram or BPE, with the identity normaliser."""
+    """A SentencePiece model file: unigram or BPE, with the identity normaliser. A process remembers the ids of
+    at most twice ``memory`` words, and as many pairs."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, memory: int = 200_000):
+        self.memory = memory
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -280,15 +283,15 @@ class PieceModel:
 
     @cached_property
     def _pairs(self) -> _Memory:
-        return _Memory(self._stands, 200_000)
+        return _Memory(self._stands, self.memory)
 
     @cached_property
     def _words(self) -> _Memory:
-        return _Memory(self._word, 200_000)
+        return _Memory(self._word, self.memory)
 
     @cached_property
     def _parts(self) -> _Memory:
-        return _Memory(self._ids, 40_000)
+        return _Memory(self._ids, self.memory // 5)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined and read as UTF-8 (bad ones become U+FFFD), control pieces
@@ -314,17 +317,21 @@ class PieceModel:
         return [shown.get(k, lambda p: p.replace(SPACE, " "))(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
 
-def load_model(path: str) -> PieceModel:
+def load_model(path: str, memory: int = 200_000) -> PieceModel:
     """Read a model file on the driver; it reaches the executors by broadcast (its size is the vocabulary's)."""
     with open(path, "rb") as f:
-        return PieceModel(f.read())
+        return PieceModel(f.read(), memory)
 
 
-def _int_lists(rows: list[list[int] | None]) -> pa.Array:
-    own = [np.array(r or (), np.int32) for r in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-    values = np.concatenate(own) if own else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_()))
+def _int_lists(rows: Iterable[list[int] | None]) -> pa.Array:
+    """A list array whose values go into one buffer row by row."""
+    values, offsets, missing = array("i"), array("i", [0]), []
+    for r in rows:
+        missing.append(r is None)
+        values.extend(r or ())
+        offsets.append(len(values))
+    as_ints = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)])
+    return pa.ListArray.from_arrays(as_ints(offsets), as_ints(values), mask=pa.array(missing, pa.bool_()))
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
@@ -334,7 +341,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, text: str = "text") ->
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         run = shared.value.encode
-        return _int_lists([run(t.as_py()) if t.is_valid else None for t in texts])
+        return _int_lists(run(t.as_py()) if t.is_valid else None for t in texts)
 
     return docs.withColumn("ids", encode(F.col(text).cast("string")))
 
@@ -359,9 +366,16 @@ def recode_documents(docs: DataFrame, model: PieceModel, text: str = "text", int
     @F.arrow_udf("ids array<int>, decoded string")
     def recode(texts: pa.Array) -> pa.Array:
         m = shared.value
-        ids = [m.encode(t.as_py()) if t.is_valid else None for t in texts]
-        back = [None if i is None else m.decode(i) for i in ids]
-        return pa.StructArray.from_arrays([_int_lists(ids), pa.array(back, pa.string())], ["ids", "decoded"])
+        back: list[str | None] = []
+
+        def rows() -> Iterator[list[int] | None]:
+            for t in texts:
+                ids = m.encode(t.as_py()) if t.is_valid else None
+                back.append(None if ids is None else m.decode(ids))
+                yield ids
+
+        lists = _int_lists(rows())
+        return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded"])
 
     both = docs.withColumn("_r", recode(F.col(text).cast("string")))
     return both.withColumns({"ids": F.col("_r.ids"), into: F.col("_r.decoded")}).drop("_r")
