@@ -12,6 +12,8 @@ Stages 1 to 4 return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,29 +27,50 @@ from quire.plans.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_POSTERIOR = 0.5
+#: Rows that an Arrow batch holds at most in every stage, and words that an encoder remembers: stages share
+#: the executors' memory with what Spark keeps of the earlier ones.
+BATCH_ROWS, ENCODER_MEMORY = 2_000, 50_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bounded(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name, score = identify(docs, fit(docs))
-    judged = docs.withColumn("_l", F.struct(name.alias("lang"), score.alias("score")))
-    judged = judged.where((F.col("_l.lang") != UNKNOWN) & (F.col("_l.score") >= LEAST_POSTERIOR))
+    found = F.struct(name.alias("lang"), score.alias("score"))
+    # kept rows come out of a generator: a filter on them would be pushed down, and classify a second time
+    sure = F.filter(F.array(found), lambda x: (x["lang"] != UNKNOWN) & (x["score"] >= LEAST_POSTERIOR))
+    judged = docs.select("*", F.explode(sure).alias("_l"))
     return judged.withColumn("lang", F.col("_l.lang")).select(*COLUMNS)
 
 
+@_bounded
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs, k=5, percent=80).select(*COLUMNS)
 
 
+@_bounded
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return find_personal_data_in_rows(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_bounded
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs, temperature=0.5).select(*COLUMNS)
 
 
+@_bounded
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = encode_documents(docs, load_model(tokenizer_path()))
+    out = encode_documents(docs, load_model(tokenizer_path(), ENCODER_MEMORY))
     return out.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
 
 

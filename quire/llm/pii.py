@@ -215,11 +215,13 @@ def find_personal_data_in_rows(docs: DataFrame, text: str = "text", doc_id: str
     patterns = scratch.keep(learn_patterns(near, scratch, **settings))
     scratch.drop(near)
     n = patterns.count()
+    if n <= max_broadcast:
+        shared = spark.sparkContext.broadcast(_by_pattern(patterns))
+        return docs.withColumn(text, _masker(shared)(F.col(text).cast("string")))
     ranked = patterns.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-n // max_broadcast)))))
     added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     for part in range(-(-n // max_broadcast)):
-        rows = ranked.where(F.col("part") == part).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")).toArrow()
-        shared = spark.sparkContext.broadcast(dict(zip(rows["pattern"].to_pylist(), rows["kind"].to_pylist(), strict=True)))
+        shared = spark.sparkContext.broadcast(_by_pattern(ranked.where(F.col("part") == part)))
         added = F.concat(added, _matcher(shared)(F.col(text).cast("string")))
     base = F.arrow_udf(_base_batch, "array<struct<kind:string,start:int,end:int>>")(F.col(text).cast("string"))
     return docs.withColumn(text, mask(F.col(text).cast("string"), F.concat(base, added)))
@@ -229,18 +231,44 @@ def _base_batch(texts: pa.Array) -> pa.Array:
     return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(t or "")] for t in texts.to_pylist()], pa.list_(_SPAN))
 
 
+def _by_pattern(patterns: DataFrame) -> dict[str, str]:
+    """The likeliest kind of each pattern; the caller bounds their number."""
+    rows = patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")).toArrow()
+    return dict(zip(rows["pattern"].to_pylist(), rows["kind"].to_pylist(), strict=True))
+
+
+def _matches(text: str, spans: list[Span], kinds: dict[str, str]) -> list[Span]:
+    """Spans that patterns add to the base spans of a text."""
+    out: list[Span] = []
+    for a, b, kind, _, before, after in mentions(text, spans):
+        if kind is None and before:
+            hit = kinds.get(f"L:{before}") or kinds.get(f"B:{before.split(' ')[-1]} _ {after}")
+            if hit:
+                out.append((hit, a, b))
+    return out
+
+
+def _dicts(spans: list[Span]) -> list[dict]:
+    return [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
+
+
 def _matcher(shared):
     @F.arrow_udf("array<struct<kind:string,start:int,end:int>>")
     def match(texts: pa.Array) -> pa.Array:
-        kinds, out = shared.value, []
-        for t in texts.to_pylist():
-            own = []
-            for a, b, kind, _, before, after in mentions(t or "", base_spans(t or "")) if t else ():
-                if kind is None and before:
-                    hit = kinds.get(f"L:{before}") or kinds.get(f"B:{before.split(' ')[-1]} _ {after}")
-                    if hit:
-                        own.append({"kind": hit, "start": a, "end": b})
-            out.append(own)
-        return pa.array(out, pa.list_(_SPAN))
+        return pa.array([_dicts(_matches(t, base_spans(t), shared.value)) if t else [] for t in texts.to_pylist()], pa.list_(_SPAN))
 
     return match
+
+
+def _masker(shared):
+    """Finding and masking in one pass."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            own = base_spans(t) if t else []
+            rows.append(_dicts(own + _matches(t, own, shared.value)) if t else [])
+        return _mask_batch(texts, pa.array(rows, pa.list_(_SPAN)))
+
+    return run
