@@ -51,6 +51,8 @@ def test_contexts_find_unseen_identifiers(spark):
         assert out[rows[0][0]].n_card == 1
     masked = {r.doc_id: r.text for r in find_personal_data_in_rows(docs).collect()}
     assert masked[1000] == "please call account number [CARD] today" and masked[1001] == rows[n + 1][1] and masked[1002] is None
+    parts = {r.doc_id: r.text for r in find_personal_data_in_rows(docs, max_broadcast=1).collect()}
+    assert parts == masked
     assert find_personal_data(docs.limit(0)).count() == 0 == find_personal_data_in_rows(docs.limit(0)).count()
 
 
