@@ -107,8 +107,8 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
   len(regexp_extract_all(t, '\\(?:ref|eqref|pageref|autoref)\b'))::BIGINT AS n_refs
 FROM (SELECT doc_id, regexp_replace('\section{A} \cite{x} \item ' || lang || chr(10) || '% \item' || chr(10) || '\ref{y} ' || replace(replace(substr(text, 1, 500), '%', ''), '\', ''), '(^|[^\\])%[^\n]*', '\1', 'g') AS t FROM documents)""")
 def latex_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a small LaTeX source made of each document's start."""
-    plain = F.replace(F.replace(F.substring("text", 1, 500), F.lit("%"), F.lit("")), F.lit("\\"), F.lit(""))
+    """Counts of a LaTeX source made of each document."""
+    plain = F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("")), F.lit("\\"), F.lit(""))
     source = F.concat(F.lit("\\section{A} \\cite{x} \\item "), "lang", F.lit("\n% \\item\n\\ref{y} "), plain)
     m = text.latex_metrics(F.col("t"))
     return table(spark, sf_dir, "documents").select("doc_id", source.alias("t")).select("doc_id", *[m[n].alias(n) for n in ("n_headings", "n_images", "n_citations", "n_items", "n_refs")])

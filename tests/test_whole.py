@@ -35,3 +35,10 @@ def test_every_line_comes_back(spark, documents, name):
     if name == "tex_blocks":  # the section of the language stands first
         assert all(w.pop(0) == "en" for w in words.values())
     assert words == {i: t.split() for i, t in TEXTS.items()}
+
+
+def test_latex_metrics_takes_no_prefix(spark, documents):
+    """Backslashes are taken out of the texts, so counts can't show how much of one was read; the plan can."""
+    df = QUERIES["latex_metrics"](spark, documents)
+    assert "substring" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [(i, 1, 0, 1, 1, 1) for i in TEXTS]
