@@ -279,7 +279,7 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o.l_orderkey, i, (SELECT max(l_suppkey)::VARCHAR FROM lineitem x WHERE x.l_orderkey = o.l_orderkey AND x.l_linenumber = i) AS v FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0) o, range(8) t(i)) GROUP BY l_orderkey""")
 def dense_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by line number as a dense array of eight with gaps."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_suppkey").cast("string").alias("value"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("idx")).agg(F.max("l_suppkey").cast("string").alias("value"))
     out = charts.dense_cache(items.withColumn("length", F.lit(8)), ["l_orderkey"])
     return out.select("l_orderkey", F.array_join("values", " ", "-").alias("dense"))
 
@@ -406,7 +406,7 @@ def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT o_orderkey AS page_id, (i * 3)::INT AS pos, level, 'h' || i AS text, (SELECT max(j * 3)::INT FROM (SELECT j, (o_orderkey * 7 + j * j * 3 + j) % 4 + 1 AS lj FROM range(8) u(j)) WHERE j < i AND lj < level) AS parent_pos
 FROM (SELECT o_orderkey, i, ((o_orderkey * 7 + i * i * 3 + i) % 4 + 1)::INT AS level FROM orders, range(8) t(i) WHERE o_orderkey % 50 = 0)""")
 def toc_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     level = (F.col("page_id") * 7 + F.col("i") * F.col("i") * 3 + F.col("i")) % 4 + 1
     heads = heads.select("page_id", (F.col("i") * 3).cast("int").alias("pos"), level.cast("int").alias("level"), F.concat(F.lit("h"), F.col("i").cast("string")).alias("text"))
     return pages.toc(heads, "page_id")
@@ -547,7 +547,7 @@ p AS (SELECT usage_id, f.family, faces.family AS ff, path, faces.family = f.fami
   FROM f JOIN faces ON faces.family = f.family OR NOT EXISTS (SELECT 1 FROM faces x WHERE x.family = f.family))
 SELECT usage_id, ff AS face_family, path AS face_path, exact, distance, missing::INT AS n_missing FROM (SELECT *, row_number() OVER (PARTITION BY usage_id ORDER BY distance, key, lower(path)) AS r FROM p) WHERE r = 1""")
 def font_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    p = table(spark, sf_dir, "part")
     usages = p.select(F.col("p_partkey").alias("usage_id"), F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_size") % 3 == 0).alias("italic"), F.array(F.lit(65), F.lit(66), 65 + F.col("p_size") % 30).alias("characters"))
     faces = spark.range(1, 20).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
     faces = faces.select(F.concat(F.lit("Brand#"), F.col("i").cast("string")).alias("family"), F.concat(F.lit("/f/"), "i", F.lit("-"), "j", F.lit(".ttf")).alias("path"), (300 + F.col("j") * 200).alias("weight"), (F.col("j") % 2 == 1).alias("italic"), (3 + F.col("i") % 5).alias("width_class"), F.sequence(F.lit(0), (60 + F.col("i")).cast("int")).alias("glyphs"))
@@ -580,7 +580,7 @@ def inheritance_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node WHERE r.label < u.b)
 SELECT node, least(min(label), node) AS component FROM r GROUP BY node HAVING node IN (SELECT a FROM e WHERE a <> b UNION SELECT b FROM e WHERE a <> b)""")
 def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select((F.col("o_orderkey") % 700).alias("a"), (F.col("o_custkey") % 700).alias("b"))
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     return connected_components(spark, e)
 
 
@@ -637,7 +637,7 @@ def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    i = table(spark, sf_dir, "lineitem")
     cells = i.select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") / 2).cast("int").alias("row_ix"), (F.col("l_linenumber") % 2).cast("int").alias("cell_ix"), (1 + F.col("l_partkey") % 3).cast("int").alias("row_span"), (1 + F.col("l_suppkey") % 2).cast("int").alias("col_span"))
     return tables.place_cells(cells, ["t"])
 
@@ -690,8 +690,10 @@ FROM e JOIN c ON c.n = e.s GROUP BY c.g""")
 def mapping_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     states = F.array(*map(F.lit, graph.STATES))
-    a = o.where("o_orderkey % 41 = 0").select((F.col("o_orderkey") % 300).alias("source"), (1000 + F.col("o_custkey") % 200).alias("target"), F.element_at(states, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("state"))
-    b = o.where("o_orderkey % 83 = 0").select((1000 + F.col("o_custkey") % 200).alias("source"), (2000 + F.col("o_orderkey") % 250).alias("target"), F.lit("SEMANTIC").alias("state"))
+    # keys of the middle and last layer are negative, odd and even: no two layers share a node
+    middle, last = -2 * F.col("o_custkey") - 1, -2 * F.col("o_orderkey") - 2
+    a = o.select(F.col("o_orderkey").alias("source"), middle.alias("target"), F.element_at(states, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("state"))
+    b = o.select(middle.alias("source"), last.alias("target"), F.lit("SEMANTIC").alias("state"))
     out = graph.compose_mappings(a, b)
     joined = F.array_join(F.array_sort(F.transform("sources", lambda x: x.cast("string"))), ",")
     return out.select("group_id", F.when(F.size("sources") > 0, joined).alias("sources"), graph.state_rank(F.col("state")).cast("int").alias("rank"))
