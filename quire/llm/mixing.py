@@ -13,13 +13,21 @@ from quire.plans.scratch import Scratch
 DIGITS = 13
 #: A step's chance below which no hash can reach it.
 TINY = 2.0**-52
+#: Chances of all sources that may be broadcast together.
+BROADCAST_STEPS = 4_000_000
+
+
+def least_count(rate: float) -> int:
+    """A count below which no hash can stay: 9 deviations under the mean, 0 up to a mean of 81."""
+    return max(0, math.floor(rate - 9 * math.sqrt(rate)))
 
 
 def thresholds(rate: float) -> list[float]:
-    """P(k <= 0), P(k <= 1), ... of a Poisson with this mean, until no hash lies above."""
+    """P(k <= i), P(k <= i + 1), ... of a Poisson with this mean from i = ``least_count``, until no hash lies above."""
     if rate <= 0:
         return [1.0]
-    out, log_p, total, k = [], -rate, 0.0, 0
+    k = least_count(rate)
+    out, log_p, total = [], k * math.log(rate) - rate - math.lgamma(k + 1), 0.0
     while True:
         total += math.exp(log_p)
         out.append(min(total, 1.0))
@@ -35,7 +43,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     A source's mean repetition rate is weight * ``total`` / (its documents), ``total`` being the number of
     documents where it is None. ``weights`` are normalised over the sources that are there; a source that
     they don't name gets none. Without ``weights``, a source weighs (its documents) ** ``temperature``.
-    Rates above ``max_rate`` are an error, as they would only repeat. Null sources are one source.
+    With ``weights``, rates above ``max_rate`` are an error, as they would only repeat; the rate of a weight
+    made of a source's size has no limit, so a rare source never ends a run. Null sources are one source.
 
     A document's count inverts the Poisson distribution at a uniform number made of the MD5 digest of
     seed and id (null: empty), so rows with one id get one count. Copies then move to a place given by the digest
@@ -43,8 +52,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     Adds ``rate, n_copies, copy, shuffle_key`` (columns of these names are replaced); rows with a count
     of 0 are gone.
 
-    Rates return to the documents by a broadcast where the sources are at most ``broadcast_sources``, else
-    by a join whose keys are dealt over ``salts``.
+    Rates return to the documents by a broadcast where the sources are at most ``broadcast_sources`` and
+    have at most ``BROADCAST_STEPS`` chances, else by a join whose keys are dealt over ``salts``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -61,13 +70,14 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     share = want / all_weights if all_weights else 0.0
     rates = scratch.keep(weighed.select("_s", (F.col("_w") * share / F.col("_n")).alias("rate")))
     high = rates.agg(F.max("rate")).first()[0] or 0.0
-    if high > max_rate:
+    if weights is not None and high > max_rate:
         raise ValueError(f"a source would be repeated {high:.1f} times; the limit is {max_rate}")
     steps = _steps()(F.col("rate"))
-    rates = scratch.keep(rates.withColumn("_steps", steps))
+    rates = scratch.keep(rates.withColumn("_steps", steps).withColumn("_least", F.greatest(F.lit(0), F.floor(F.col("rate") - 9 * F.sqrt("rate")))))
+    n_steps = rates.agg(F.sum(F.size("_steps"))).first()[0] or 0
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
     name = docs[source].cast("string")
-    if n_sources <= broadcast_sources:
+    if n_sources <= broadcast_sources and n_steps <= BROADCAST_STEPS:
         joined = docs.join(F.broadcast(rates), name.eqNullSafe(rates["_s"]))
     else:
         docs = docs.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)))
@@ -75,8 +85,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         joined = docs.join(spread, docs[source].cast("string").eqNullSafe(spread["_s"]) & (docs["_salt"] == spread["_z"])).drop("_salt", "_z")
     key = F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     u = F.conv(F.substring(F.md5(key.cast("binary")), 1, DIGITS), 16, 10).cast("long") / F.lit(float(16**DIGITS))
-    counted = joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_steps", lambda p: p <= F.col("_u"))).cast("int"))
-    copies = counted.where("n_copies > 0").drop("_s", "_steps", "_u").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    counted = joined.withColumn("_u", u).withColumn("n_copies", (F.col("_least") + F.size(F.filter("_steps", lambda p: p <= F.col("_u")))).cast("int"))
+    copies = counted.where("n_copies > 0").drop("_s", "_steps", "_least", "_u").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     place = F.md5(F.concat_ws("\x1f", key, F.col("copy").cast("string"), F.lit("place")).cast("binary"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return copies.withColumn("shuffle_key", place).repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key", doc_id)

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from quire.llm.mixing import mix_sources, thresholds
+from quire.llm.mixing import least_count, mix_sources, thresholds
 
 
 def inverse(rate, u):
@@ -54,3 +54,30 @@ def test_odd_inputs(spark):
     with pytest.raises(ValueError):
         mix_sources(docs, weights={"b": 1.0}, total=1000)
     assert thresholds(0.0) == [1.0] and thresholds(2.0)[0] == pytest.approx(math.exp(-2)) and thresholds(60.0)[-1] == pytest.approx(1)
+
+
+def test_a_rare_source_among_many_documents(spark):
+    n, rare = 20_000, {20_000: "rare", 20_001: None}
+    docs = spark.range(n + 2).selectExpr("id AS doc_id", "'t' AS text", f"CASE WHEN id < {n} THEN 'big' WHEN id = {n} THEN 'rare' END AS source")
+    rate = (n + 2) / (math.sqrt(n) + 2)
+    assert rate > 81  # the list of chances starts above 0
+    got = {}
+    for r in mix_sources(docs).where(f"doc_id >= {n}").collect():
+        assert r.rate == pytest.approx(rate) and r.source == rare[r.doc_id]
+        got.setdefault(r.doc_id, []).append(r.copy)
+    for i in rare:
+        u = int(hashlib.md5(f"0\x1f{i}".encode()).hexdigest()[:13], 16) / 16**13
+        assert sorted(got[i]) == list(range(inverse(rate, u)))
+
+
+def test_chances_of_large_rates():
+    for rate in (64.0, 81.0, 100.0, 700.0):
+        first = least_count(rate)
+        p, k, below = math.exp(-rate), 0, math.exp(-rate)
+        for t, want in enumerate(thresholds(rate)):
+            while k < first + t:
+                k += 1
+                p *= rate / k
+                below += p
+            assert want == pytest.approx(below, abs=1e-12)
+    assert thresholds(1e6)[-1] == pytest.approx(1, abs=1e-8) and len(thresholds(1e6)) < 20_000
