@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +50,29 @@ class Tables:
     width: int
     tables: int
     seed: int
+    #: Tables of dimensions that need more than ``tables``.
+    more: dict[int, int] = field(default_factory=dict)
 
     def of(self, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """A dimension that the sample lacks gets random rotations, the same everywhere."""
         if dim not in self.models:
-            bits = min(dim, MAX_BITS)
-            per = max(1, bits // min(self.width, bits))
-            draw = np.random.default_rng([self.seed, dim])
-            self.models[dim] = [(np.zeros(dim), np.linalg.qr(draw.standard_normal((dim, dim)))[0][:, :bits]) for _ in range(-(-self.tables // per))]
+            self.models[dim] = [self.turned(dim, i) for i in range(-(-self.tables // self.per(dim)))]
         return self.models[dim]
 
+    def per(self, dim: int) -> int:
+        """Tables that a rotation gives."""
+        bits = min(dim, MAX_BITS)
+        return max(1, bits // min(self.width, bits))
+
+    def turned(self, dim: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """A random rotation about the origin: its bits differ by the angle of the vectors themselves."""
+        draw = np.random.default_rng([self.seed, dim, i])
+        return np.zeros(dim), np.linalg.qr(draw.standard_normal((dim, dim)))[0][:, : min(dim, MAX_BITS)]
+
+    def met(self, x: np.ndarray, y: np.ndarray) -> float:
+        """The share of these pairs that meet in a table."""
+        return float((self.keys(x) == self.keys(y)).any(1).mean())
+
     def keys(self, x: np.ndarray) -> np.ndarray:
         """rows x tables: the substrings of the codes."""
         out = []
@@ -68,7 +81,7 @@ class Tables:
             width = min(self.width, bits.shape[1])
             for i in range(0, bits.shape[1] - width + 1, width):
                 out.append(bits[:, i : i + width] @ (np.int64(1) << np.arange(width, dtype=np.int64)))
-        return np.stack(out[: self.tables], 1)
+        return np.stack(out[: self.more.get(x.shape[1], self.tables)], 1)
 
 
 def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -80,6 +93,36 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def pairs_at(x: np.ndarray, threshold: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors turned to the threshold's angle: in any direction, and towards another one."""
+    draw, out = np.random.default_rng(seed), []
+    for way in (draw.standard_normal(x.shape), x[draw.permutation(len(x))]):
+        way = way - (way * x).sum(1, keepdims=True) * x
+        size = np.sqrt((way * way).sum(1))
+        fine = size > 1e-6  # a copy shows no direction
+        if fine.any():
+            out.append((x[fine], threshold * x[fine] + math.sqrt(1 - threshold**2) * way[fine] / size[fine, None]))
+    return out
+
+
+def add_tables(tables: Tables, x: np.ndarray, threshold: float, recall: float) -> None:
+    """Add tables for the vectors' dimension until pairs at the threshold meet with the wanted recall. Bits are
+    of centred vectors, whose angles are larger than the plan's where the vectors have a common direction;
+    where four times the plan doesn't do, rotations about the origin take over, for which the plan holds."""
+    dim, pairs = x.shape[1], pairs_at(x, threshold, tables.seed)
+    models, per, centred = tables.models[dim], tables.per(dim), True
+    n = tables.tables
+    while min((tables.met(*p) for p in pairs), default=1.0) < recall:
+        n += 1
+        if centred and n > 4 * tables.tables:
+            centred, n = False, tables.tables
+            models.clear()
+        while len(models) * per < n:
+            i = len(models)
+            models.append(fit_rotation(x, min(dim, MAX_BITS), tables.seed + i) if centred else tables.turned(dim, i))
+        tables.more[dim] = n
+
+
 def _clean(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors in double precision) by dimension, of vectors that can link."""
     lists, labels = batch["v"], batch["label"]
@@ -159,20 +202,20 @@ def _compare(threshold: float):
 
 
 def fit_tables(vectors: DataFrame, threshold: float, recall: float, sample: int, seed: int) -> Tables:
-    """Fit on at most ``sample`` vectors per dimension (those with the smallest hashes); plan for the largest label."""
+    """Fit on at most ``sample`` vectors per dimension (those with the smallest hashes); plan for the largest label,
+    and add tables where pairs made of the sample meet too rarely."""
     per_label = vectors.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 1
     width, tables = plan_tables(per_label, threshold, recall)
-    models = {}
+    out = Tables({}, width, tables, seed)
     good = vectors.where("v IS NOT NULL AND label IS NOT NULL AND size(v) > 0")
     for dim in [r[0] for r in good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(4).collect()]:
         rows = good.where(F.size("v") == dim).orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v", "label").toArrow().combine_chunks()
         parts = [x for b in rows.to_batches() for _, x in _clean(b)]
         x = np.concatenate(parts) if parts else np.empty((0, dim))
         if len(x) >= 2 * dim:
-            bits = min(dim, MAX_BITS)
-            per = max(1, bits // min(width, bits))
-            models[dim] = [fit_rotation(x, bits, seed + i) for i in range(-(-tables // per))]
-    return Tables(models, width, tables, seed)
+            out.models[dim] = [fit_rotation(x, min(dim, MAX_BITS), seed + i) for i in range(-(-tables // out.per(dim)))]
+            add_tables(out, x, threshold, recall)
+    return out
 
 
 def dedup_embeddings(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", recall: float = 0.97, sample: int = 4_096, seed: int = 0) -> DataFrame:

@@ -88,3 +88,22 @@ def test_empty(spark):
 def test_plan(n):
     width, tables = plan_tables(n, 0.93, 0.97)
     assert 8 <= width <= 32 and tables >= 1
+
+
+def test_recall_with_a_common_direction(spark):
+    draw = np.random.default_rng(5)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    common = unit(draw.normal(size=(1, 64)))
+    x = unit(math.sqrt(0.7) * common + math.sqrt(0.3) * unit(draw.normal(size=(1500, 64))))
+    way = draw.normal(size=x.shape)
+    way = unit(way - (way * x).sum(1, keepdims=True) * x)
+    c = draw.uniform(0.932, 0.94, size=(1500, 1))
+    y = c * x + np.sqrt(1 - c * c) * way
+    rows = [(i, [float(v) for v in r], 1, "x") for i, r in enumerate(np.concatenate([x, y]))]
+    e = spark.createDataFrame(rows, SCHEMA)
+    got = {r.vec_id: r.n_links for r in dedup_embeddings(e.repartition(4)).collect()}
+    z = np.array([r[1] for r in rows], np.float32).astype(float)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = (z @ z.T >= 0.93).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.95 * want.sum() > 0
