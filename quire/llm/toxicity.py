@@ -9,7 +9,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import binary_rows, held_out
@@ -92,13 +92,17 @@ class ToxicityModel:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", bits: int = 22, epochs: int = 8, max_per_class: int = 6_000, **settings) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", bits: int = 22, epochs: int = 8, max_per_class: int = 6_000, max_grams: int = 40_000_000, **settings) -> ToxicityModel:
     """Learn from labelled rows that aren't held out; a class without rows leaves a constant score.
 
-    ``max_per_class`` bounds the labelled rows of each class; beyond it the smallest hashes of the ids are
-    taken, so the sample is one task's work at any size of the corpus. Grams are hashed on all executors,
-    the online learner runs over the sample in one, in hash order, ``epochs`` times; non-zero weights
-    return to the driver.
+    Bounds of the sample, so that it is one task's work and memory at any size of the corpus: at most
+    ``max_per_class`` labelled ids of each class, those with the smallest hashes; of an id that repeats, the
+    text with the smallest digest; and in the order of the hashes as many whole texts of a class as have
+    ``max_grams / 2`` distinct grams together (4 bytes each). An id labelled both ways counts as 1. Null and
+    empty texts are rows without grams; an empty table leaves the bias at 0.
+
+    Grams are hashed on all executors, the online learner runs over the sample in one task, in hash order,
+    ``epochs`` times; non-zero weights return to the driver.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -111,8 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
         for batch in batches:
-            rows = [grams(t, bits, words).tobytes() for t in binary_rows(batch["t"])]
-            yield pa.RecordBatch.from_arrays([batch["order"], batch["y"], pa.array(rows, pa.binary())], ["order", "y", "x"])
+            texts = binary_rows(batch["t"])
+            rows = [grams(t, bits, words) for t in texts]
+            digests = [xxhash.xxh3_128_digest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch["order"], batch["y"], pa.array([len(x) for x in rows], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in rows], pa.binary())], ["order", "y", "n", "digest", "x"]
+            )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((o, x, y) for b in batches for o, y, x in zip(*(b[c].to_pylist() for c in ("order", "y", "x")), strict=True))
@@ -123,8 +131,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         at, w, bias = model.weights()
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*w.tolist(), bias], pa.float64())], ["at", "w"])
 
-    ready = scratch.keep(own.mapInArrow(features, "order long, y int, x binary"))
-    found = ready.limit(4 * max_per_class).coalesce(1).mapInArrow(learn, "at int, w double").toArrow()
+    ready = scratch.keep(own.mapInArrow(features, "order long, y int, n long, digest binary, x binary"))
+    chosen = ready.groupBy("order", "y").agg(F.min(F.struct("digest", "n")).alias("c")).select("order", "y", "c.*")
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("upto", before).where(F.col("upto") <= max_grams // 2).select("order", "y", "digest")  # the sample's ids at most
+    sampled = ready.join(F.broadcast(chosen), ["order", "y", "digest"]).dropDuplicates(["order", "y"])
+    found = sampled.select("order", "y", "x").coalesce(1).mapInArrow(learn, "at int, w double").toArrow()
     scratch.drop(ready)
     at, w = found["at"].to_numpy(), found["w"].to_numpy()
     return ToxicityModel(bits, at[at >= 0], w[at >= 0].astype(np.float32), float(w[at < 0].sum()))

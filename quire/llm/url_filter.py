@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_lower
 
+_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -26,7 +28,7 @@ class Rule:
         if verdict not in ("allow", "block"):
             raise ValueError(f"a verdict is allow or block, not {verdict!r}")
         host, slash, path = text.partition("/")
-        return cls(verdict, host.lower(), slash + path)
+        return cls(verdict, host.translate(_LOWER), slash + path)
 
     @property
     def rank(self) -> tuple[int, int, bool]:
@@ -72,7 +74,7 @@ class Trie:
         return new if old is None or new.rank > old.rank else old
 
     def match(self, host: str, path: str) -> Rule | None:
-        best, node, segments = None, self.top, path[1:].split("/") if path else []
+        best, node, segments = None, self.top, path[1:].split("/") if path.startswith("/") else []
         for label in reversed(host.split(".")):
             node = node.below.get(label)
             if node is None:
@@ -109,8 +111,10 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url
     fits, ``rule`` is null and ``verdict`` is ``default``. Null urls and urls without ``://`` have an empty
     host and path. Host and path are cut in the JVM; only these two columns reach Python.
 
-    A broadcast trie holds at most ``rules_per_trie`` rules. A longer list is judged by several tries in
-    turn, each carrying the best match so far, so no broadcast grows with the list and rows never move.
+    The rules are a list in the driver's memory, and what is broadcast is as large as that list: tries of
+    at most ``rules_per_trie`` rules, judged in turn, each carrying the best match so far. Rows never move.
+    Long urls are judged whole, repeated rows alike; without rules every row gets ``default``, and an empty
+    table gives no rows.
     """
     at = F.coalesce(F.col(url).cast("string"), F.lit(""))
     cut = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -125,8 +129,8 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url
             found = one
         else:
             rank = lambda x: F.struct(x["a"], x["b"], x["c"])
-            df = df.withColumn("_one", one).withColumn("_best", found if i == 0 else F.col("_best"))
-            df = df.withColumn("_best", F.when(F.col("_best").isNull() | (rank(F.col("_one")) > rank(F.col("_best"))), F.col("_one")).otherwise(F.col("_best"))).drop("_one")
-            found = F.col("_best")
-    df = df.withColumn("_best", found)
-    return df.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+            df = df.withColumn("_url_one", one).withColumn("_url_best", found if i == 0 else F.col("_url_best"))
+            df = df.withColumn("_url_best", F.when(F.col("_url_best").isNull() | (rank(F.col("_url_one")) > rank(F.col("_url_best"))), F.col("_url_one")).otherwise(F.col("_url_best"))).drop("_url_one")
+            found = F.col("_url_best")
+    df = df.withColumn("_url_best", found)
+    return df.withColumns({"rule": F.col("_url_best.rule"), "verdict": F.coalesce("_url_best.verdict", F.lit(default))}).drop("_url_best")

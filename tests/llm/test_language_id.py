@@ -3,7 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from quire.llm.language_id import NaiveBayes, _grams, fit, predict_languages
+from quire.llm import language_id
+from quire.llm.language_id import NaiveBayes, _grams, _pieces, fit, predict_languages
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,6 +28,17 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a == b
 
 
+def plain_buckets(t, orders, bits):
+    """The bucket of each gram of a framed, lower-cased text, a gram at a time."""
+    t, mod = f" {t.lower()} ", 1 << 64
+    for n in orders:
+        for i in range(len(t) - n + 1):
+            code = 0
+            for c in t[i : i + n]:
+                code = (code + ord(c) + 1) * 0x9E3779B97F4A7C15 % mod
+            yield ((code ^ (code >> 29)) * 0xC2B2AE3D27D4EB4F % mod) >> (64 - bits)
+
+
 def test_scores_agree_with_counting_grams():
     """The batch scorer against a dictionary that scores one text at a time."""
     draw = np.random.default_rng(2)
@@ -37,9 +49,8 @@ def test_scores_agree_with_counting_grams():
     best, sure = model.score(texts)
     for t, k, p in zip(texts, best, sure, strict=True):
         total = model.prior.copy()
-        for bucket, _ in _grams([t], orders, bits):
-            for b in bucket:
-                total += weights[:, b]
+        for b in plain_buckets(t, orders, bits):
+            total += weights[:, b]
         want = np.exp(total - total.max())
         assert k == total.argmax() and p == pytest.approx(1 / want.sum())
 
@@ -57,5 +68,56 @@ def test_odd_rows(spark):
     assert len({(r.lang_pred, r.score) for r in out if r.text == "the"}) == 1
     assert predict_languages(docs.limit(0)).count() == 0
     assert fit(docs.where("lang IS NULL")) is None
-    with pytest.raises(ValueError):
-        fit(docs, max_langs=1)
+    assert fit(docs, max_langs=1).langs == ["en"]
+
+
+@pytest.mark.parametrize("most", [3, 7, 1000])
+def test_pieces_hold_every_gram_once(most):
+    texts, orders, bits = ["", "x", "Hello wörld 😀", "long " * 30, "zz"], (1, 2, 3), 10
+    got = [[] for _ in texts]
+    for own, more, rows in _pieces(texts, orders, most):
+        assert sum(map(len, own)) <= most + 2
+        for bucket, starts in _grams(own, orders, bits, more):
+            for i, a, b in zip(rows, starts, [*starts[1:], len(bucket)], strict=True):
+                got[i] += [x for x in bucket[a:b].tolist() if x < 1 << bits]
+    for t, found in zip(texts, got, strict=True):
+        assert sorted(found) == sorted(plain_buckets(t, orders, bits))
+
+
+def test_a_long_text_is_judged_as_its_pieces(monkeypatch, spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit(docs)
+    texts = [r.text * 3 for r in docs.limit(20).collect()]
+    whole = model.score(texts)
+    monkeypatch.setattr(language_id._pieces, "__defaults__", (400,))
+    parts = model.score(texts)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_fitted_counts_and_rare_languages(spark):
+    """Counts of the fit against counting each sampled text; a rare language is learned from all it has."""
+    words = {"aa": "alpha beta gamma", "bb": "uno dos tres", "cc": "zzz yyy"}
+    rows = [(i, words["aa" if i % 2 else "bb"] + f" {i}", "aa" if i % 2 else "bb") for i in range(2000)] + [(5000 + i, words["cc"], "cc") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = fit(docs, bits=10, max_docs=300)
+    assert model.langs == ["aa", "bb", "cc"]
+    n = {k: sum(r[2] == k for r in learnable) for k in model.langs}
+    assert np.allclose(model.prior, np.log([n[k] / len(learnable) for k in model.langs]))
+    counts = np.zeros(1 << 10)
+    for r in learnable:
+        if r[2] == "cc":
+            np.add.at(counts, list(plain_buckets(r[1], (1, 2, 3), 10)), 1)
+    assert np.allclose(model.weights[2][:-1], np.log(counts + 0.5) - np.log(counts.sum() + 512))
+    whole = fit(docs, bits=10)
+    counts = np.zeros(1 << 10)
+    for r in learnable:
+        if r[2] == "aa":
+            np.add.at(counts, list(plain_buckets(r[1], (1, 2, 3), 10)), 1)
+    assert np.allclose(whole.weights[0][:-1], np.log(counts + 0.5) - np.log(counts.sum() + 512))
+
+
+def test_many_labels_share_a_bounded_matrix(spark):
+    rows = [(4 * i, f"word{i} text{i}", f"l{i:03d}") for i in range(150)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_cells=1 << 15)
+    assert len(model.langs) > 65 and model.weights.size <= 1 << 16

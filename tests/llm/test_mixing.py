@@ -51,8 +51,8 @@ def test_odd_inputs(spark):
     assert {r.source for r in out} <= {"a"}
     assert mix_sources(docs.limit(0)).count() == 0
     assert mix_sources(docs, weights={}).count() == 0
-    with pytest.raises(ValueError):
-        mix_sources(docs, weights={"b": 1.0}, total=1000)
+    many = mix_sources(docs, weights={"b": 1.0}, total=1000)
+    assert 800 < many.count() < 1200 and many.select("doc_id").distinct().count() == 1
     assert thresholds(0.0) == [1.0] and thresholds(2.0)[0] == pytest.approx(math.exp(-2)) and thresholds(60.0)[-1] == pytest.approx(1)
 
 
@@ -81,3 +81,12 @@ def test_chances_of_large_rates():
                 below += p
             assert want == pytest.approx(below, abs=1e-12)
     assert thresholds(1e6)[-1] == pytest.approx(1, abs=1e-8) and len(thresholds(1e6)) < 20_000
+
+
+def test_an_input_that_is_not_a_file_and_clashing_names(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id = 5 THEN 'rare' ELSE cast(id % 20 AS string) END AS source", "1 AS _s", "2 AS _steps", "3 AS _u", "4 AS _salt", "5 AS _least", "6 AS _n")
+    out = mix_sources(docs)
+    assert {"_s", "_steps", "_u", "_salt", "_least", "_n"} <= set(out.columns)
+    rare = out.where("source = 'rare'").collect()
+    assert len(rare) > 30 and {r._steps for r in rare} == {2} and {r.n_copies for r in rare} == {len(rare)}
+    assert abs(out.count() - 100_000) < 2_000
