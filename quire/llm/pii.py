@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,18 +17,21 @@ from quire.plans.scratch import Scratch
 #: Kinds in the order of the digest (fixed values), and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # a match never begins inside a run: its start would do
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-#: What may be an identifier: no white space, a digit, six characters or more once its frame is off.
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-_FRAME = "\"'`()[]{}<>,;:!?.*#$%&|="
+#: What may be an identifier: a word that holds a digit or an at sign, plain or spelled; a word with a digit goes
+#: on through further words of digits and their marks. With its frame off it has at least five digits or an at sign.
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MIN_LENGTH = 6
-#: How far to look for the words beside a mention, in characters.
-REACH = 64
+_DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"([0-9().+/-]*[0-9][0-9().+/-]*)[,;:!?\"']*")
+_AT = re.compile(r"@|[(\[{<](?:at|AT|At)[)\]}>]")
+_FRAME = "\"'`()[]{}<>,;:!?.*#$%&|="
+LEAST_DIGITS = 5
+#: A longer word beside a mention is known by so many characters next to it, a longer surface by its digest.
+LONGEST = 64
 
 Span = tuple[str, int, int]
 
@@ -62,32 +67,79 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words before and the word after, lower-cased; empty where there are fewer."""
-    before = _WORD.findall(text[max(0, start - REACH) : start])[-2:]
-    after = _WORD.findall(text[end : end + REACH])[:1]
-    return " ".join(before).lower() if len(before) == 2 else "", after[0].lower() if after else ""
+def _surface(text: str) -> str:
+    return text if len(text) <= LONGEST else "\x00" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def mentions(text: str, spans: list[Span]) -> list[tuple[int, int, str | None, str, str, str]]:
-    """(start, end, kind or None, surface, words before, word after) of base spans and of other tokens that
-    may be identifiers and don't touch a base span."""
-    out = [(a, b, k, text[a:b], *_context(text, a, b)) for k, a, b in spans]
-    taken = sorted((a, b) for _, a, b in spans)
-    i = 0
-    for m in _TOKEN.finditer(text):
-        token = m[0].lstrip(_FRAME)
-        a = m.end() - len(token)
-        token = token.rstrip(_FRAME)
-        b = a + len(token)
-        if len(token) < MIN_LENGTH:
-            continue
+class _Words:
+    """The words of a text, for the contexts of its spans."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+
+    def context(self, start: int, end: int) -> tuple[str, str]:
+        """The two words before and the word after, lower-cased; what a span cuts off a word is a word. Empty
+        where there are fewer."""
+        i = bisect_left(self.starts, start)
+        before = [self._end(a, min(b, start)) for a, b in self.spans[max(0, i - 2) : i]]
+        j = bisect_right(self.starts, end - 1) - 1
+        after = ""
+        if j >= 0 and self.spans[j][1] > end:
+            after = self._start(end, self.spans[j][1])
+        elif j + 1 < len(self.spans):
+            after = self._start(*self.spans[j + 1])
+        return " ".join(before) if len(before) == 2 else "", after
+
+    def _end(self, a: int, b: int) -> str:
+        return self.text[a:b].lower() if b - a <= LONGEST else "\x00" + self.text[b - LONGEST : b].lower()
+
+    def _start(self, a: int, b: int) -> str:
+        return self.text[a:b].lower() if b - a <= LONGEST else self.text[a : a + LONGEST].lower() + "\x00"
+
+
+def candidates(words: _Words, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of what may be an identifier and touches none of the sorted spans ``taken``."""
+    text, i, free = words.text, 0, []
+    for a, b in words.spans:
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if i < len(taken) and taken[i][0] < b:
+        free.append(i == len(taken) or taken[i][0] >= b)
+    k = 0
+    while k < len(words.spans):
+        a, b = words.spans[k]
+        k += 1
+        if not free[k - 1]:
             continue
-        out.append((a, b, None, token, *_context(text, a, b)))
-    return out
+        if _DIGIT.search(text, a, b):
+            while k < len(words.spans) and free[k] and text[b : words.spans[k][0]] == " " and (m := _DIGITS.fullmatch(text, *words.spans[k])):
+                b = words.spans[k][1]
+                k += 1
+                if m.end(1) < b:  # a mark ends the run
+                    break
+        elif not _AT.search(text, a, b):
+            continue
+        whole, end = a, b
+        while a < b and text[a] in _FRAME:
+            a += 1
+        while b > a and text[b - 1] in _FRAME:
+            b -= 1
+        if a > whole and text[a - 1] == "(" and ")" in text[a:b]:
+            a -= 1
+        if b < end and text[b] in ")" and "(" in text[a:b] and ")" not in text[a:b]:
+            b += 1
+        if sum(1 for _ in islice(_DIGIT.finditer(text, a, b), LEAST_DIGITS)) == LEAST_DIGITS or _AT.search(text, a, b):
+            yield a, b
+
+
+def mentions(text: str, spans: list[Span]) -> list[tuple[int, int, str | None, str, str, str]]:
+    """(start, end, kind or None, surface, words before, word after) of base spans and of what else may be an
+    identifier and doesn't touch a base span. Linear in the text, but for the sorting of its spans."""
+    words = _Words(text)
+    out = [(a, b, k, _surface(text[a:b]), *words.context(a, b)) for k, a, b in spans]
+    taken = sorted((a, b) for _, a, b in spans)
+    return out + [(a, b, None, _surface(text[a:b]), *words.context(a, b)) for a, b in candidates(words, taken)]
 
 
 def digest(spans: list[Span]) -> str:
@@ -111,38 +163,64 @@ def _find_batch(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*columns, pa.array(shas), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_MENTION))], ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
 
 
-def learn_patterns(mentioned: DataFrame, scratch: Scratch, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.8, salts: int = 32) -> DataFrame:
+def learn_patterns(mentioned: DataFrame, scratch: Scratch, min_seeds: int = 3, min_confidence: float = 0.8) -> DataFrame:
     """(pattern, kind, confidence) of lexical patterns that find identifiers of a kind.
 
-    ``mentioned``: rows (kind or null, surface, before, after). A pattern is the two words before a mention
-    with the kind of its seeds, or the word before and the word after. The graph has an edge from each
-    pattern to each distinct surface in its context. In each round a pattern's confidence is the sum of
-    its surfaces' confidences over their number plus one, and the confidence of a surface that no base
-    pattern has found is the largest of its patterns'; seeds keep theirs: 1 for their kind, 0 for others.
-    A pattern counts with ``min_seeds`` distinct seeds of its kind or more, and from ``min_confidence``.
+    ``mentioned``: rows (kind or null, surface, before, after). A pattern is the two words before a mention,
+    or the word before and the word after. The graph has an edge from each pattern to each distinct surface
+    in its context.
+
+    In each round, a surface votes for a pattern and kind with 1 if it is a seed of the kind, and with 0 if
+    it is one of another kind. Any other surface votes with the largest confidence of the *other* patterns
+    of the kind that are accepted already and hold it; 0 without one, so an unknown surface counts against a
+    pattern, and no pattern speaks for itself. A pattern's confidence is the sum of its votes over its
+    surfaces plus one; it is accepted from ``min_confidence`` with ``min_seeds`` surfaces that vote for it.
+    So what accepted patterns discover induces patterns that no seed has. Votes only grow, and rounds end
+    when nothing new is accepted.
 
     The graph is aggregated to distinct edges before anything else. Patterns are scored by partial sums;
-    scores go along edges by joins that Spark may split where a pattern or surface is hot.
+    votes go along edges by joins that Spark may split where a pattern or surface is hot, and only along
+    those of surfaces that an accepted pattern holds.
     """
     last = F.element_at(F.split("before", " "), -1)
     shapes = F.array(F.when(F.col("before") != "", F.concat(F.lit("L:"), "before")), F.when((F.col("before") != "") & (F.col("after") != ""), F.concat(F.lit("B:"), last, F.lit(" _ "), "after")))
     edges = mentioned.select(F.explode(shapes).alias("pattern"), "surface", "kind").where("pattern IS NOT NULL")
     edges = scratch.keep(edges.groupBy("pattern", "surface").agg(F.max("kind").alias("kind")))
     seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    likely = scratch.keep(seeds.where(F.col("seeds") >= min_seeds).join(sizes, "pattern").withColumn("confidence", F.col("seeds") / (F.col("size") + 1)))
-    if likely.isEmpty():
-        return likely.select("pattern", "kind", "confidence")
+    seeds = scratch.keep(seeds.withColumn("seeds", F.col("seeds").cast("double")))
+    sizes = scratch.keep(edges.groupBy("pattern").agg(F.count("*").alias("size")))
     unknown = scratch.keep(edges.where("kind IS NULL").select("pattern", "surface"))
-    for _ in range(rounds):
-        known = scratch.keep(likely.select("pattern", "kind", "confidence"))
-        surfaces = scratch.keep(unknown.join(known, "pattern").groupBy("surface", "kind").agg(F.max("confidence").alias("c")))
-        if surfaces.isEmpty():
+    none = F.lit(0.0)
+
+    def accepted(votes: DataFrame | None) -> DataFrame:
+        """(pattern, kind, confidence) under the votes (pattern, kind, n, gain) of unknown surfaces."""
+        found = seeds.withColumns({"n": F.col("seeds"), "gain": none})
+        if votes is not None:
+            both = seeds.join(votes, ["pattern", "kind"], "full")
+            seeded = F.coalesce("seeds", none)
+            found = both.select("pattern", "kind", seeded.alias("seeds"), (seeded + F.coalesce("n", none)).alias("n"), F.coalesce("gain", none).alias("gain"))
+        found = found.where(F.col("n") >= min_seeds).join(sizes, "pattern")
+        sure = (F.col("seeds") + F.col("gain")) / (F.col("size") + 1)
+        return scratch.keep(found.select("pattern", "kind", sure.alias("confidence")).where(F.col("confidence") >= min_confidence))
+
+    found = accepted(None)
+    n = found.count()
+    while n:
+        # of each surface and kind, the surest pattern and the runner-up: a pattern hears the surest other one
+        held = unknown.join(found, "pattern")
+        top = held.groupBy("surface", "kind").agg(F.max(F.struct("confidence", "pattern")).alias("top"))
+        rest = held.join(top, ["surface", "kind"]).where(F.col("pattern") != F.col("top.pattern")).groupBy("surface", "kind").agg(F.max("confidence").alias("second"))
+        best = scratch.keep(top.join(rest, ["surface", "kind"], "left").select("surface", "kind", "top", "second"))
+        vote = F.when(F.col("pattern") == F.col("top.pattern"), F.col("second")).otherwise(F.col("top.confidence"))
+        votes = unknown.join(best, "surface").select("pattern", "kind", vote.alias("vote")).where("vote IS NOT NULL")
+        grown = accepted(votes.groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("n"), F.sum("vote").alias("gain")))
+        more = grown.count()
+        scratch.drop(found, best)
+        found = grown
+        if more <= n:
             break
-        gained = scratch.keep(unknown.join(surfaces, "surface").groupBy("pattern", "kind").agg(F.sum("c").alias("gain")))
-        likely = likely.drop("gain").join(gained, ["pattern", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("size") + 1))
-        likely = scratch.keep(likely)
-    return likely.where(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence")
+        n = more
+    return found
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_broadcast: int = 50_000, keep: tuple[str, ...] = (), **settings) -> DataFrame:
@@ -150,7 +228,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     The counts and the digest are those of the base spans; ``spans`` joins all spans as ``kind:start:end``
     by kind, then start, and ``all_spans`` holds them as an array. Added spans have a kind of the base and
-    never overlap a base span. A null text is an empty one. Repeated rows are judged alike.
+    never overlap a base span. A null text is an empty one. Repeated rows are judged alike; long texts are
+    read whole, in time linear in their length; an empty table gives no rows. Other columns are left out.
 
     Texts are read once; what goes on is the mentions. Patterns are broadcast where there are at most
     ``max_broadcast`` of them, else joined.

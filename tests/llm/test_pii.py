@@ -1,10 +1,14 @@
 import hashlib
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.pii import base_spans, find_personal_data, find_personal_data_in_rows
+from quire.llm.pii import KINDS, base_spans, find_personal_data, find_personal_data_in_rows, learn_patterns, mentions
+from quire.plans.scratch import Scratch
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
@@ -66,3 +70,98 @@ def test_digests_on_documents(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in want) for x in ("email", "ip", "card", "phone"))
         assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(filter(None, r.spans.split(",")))
+
+
+def plain_patterns(rows, min_seeds, min_confidence):
+    """The rounds of ``learn_patterns`` over dictionaries."""
+    graph = {}
+    for kind, surface, before, after in rows:
+        if before:
+            shapes = [f"L:{before}"] + ([f"B:{before.split(' ')[-1]} _ {after}"] if after else [])
+            for p in shapes:
+                old = graph.setdefault(p, {}).get(surface)
+                graph[p][surface] = max(filter(None, (old, kind)), default=None)
+    accepted = {}
+    while True:
+        now = {}
+        for p, surfaces in graph.items():
+            for kind in KINDS:
+                votes = []
+                for s, own in surfaces.items():
+                    if own is not None:
+                        votes.append(float(own == kind))
+                    else:
+                        votes.append(max((c for (q, k), c in accepted.items() if q != p and k == kind and s in graph[q]), default=0.0))
+                confidence = sum(votes) / (len(surfaces) + 1)
+                if sum(v > 0 for v in votes) >= min_seeds and confidence >= min_confidence:
+                    now[p, kind] = confidence
+        if len(now) <= len(accepted):
+            return now
+        accepted = now
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_patterns_agree_with_the_plain_rounds(spark, seed):
+    draw = random.Random(seed)
+    kind_of = {f"s{i}": draw.choice([*KINDS, None, None]) for i in range(40)}
+    slots = [(f"w{i} v{i % 3}", f"a{i % 4}", draw.choice([k for k in kind_of.values() if k])) for i in range(8)]
+    rows = []
+    for _ in range(250):
+        before, after, kind = draw.choice(slots)
+        fit = [s for s, k in kind_of.items() if k in (kind, None)]
+        s = draw.choice(fit if draw.random() < 0.97 else list(kind_of))
+        rows.append((kind_of[s], s, before, after if draw.random() < 0.9 else ""))
+    df = spark.createDataFrame(rows, "kind string, surface string, before string, after string")
+    for least, sure in ((3, 0.5), (2, 0.3)):
+        got = {(r.pattern, r.kind): r.confidence for r in learn_patterns(df, Scratch(spark, "t"), min_seeds=least, min_confidence=sure).collect()}
+        want = plain_patterns(rows, least, sure)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_what_is_found_induces_new_patterns(spark):
+    """Seeds give a pattern, the pattern discovers identifiers, and these induce a pattern without a seed;
+    a context that mostly holds other things stays out."""
+    seeds = [f"41111111111111{d:02d}" for d in range(100) if luhn(f"41111111111111{d:02d}")]
+    more = [f"41111111111122{d:02d}" for d in range(100) if luhn(f"41111111111122{d:02d}")] + [f"41111111111133{d:02d}" for d in range(100) if luhn(f"41111111111133{d:02d}")]
+    cards = seeds + more
+    assert len(cards) >= 28
+    found = ["AB-99-1111", "AB-99-2222", "AB-99-3333"]
+    rows = [f"pay by card {c} please" for c in cards] + [f"pay by card {x} please" for x in found]
+    rows += [f"their old number {x} expired" for x in found * 4]
+    rows += [f"pay by card ZZ-11-{k:04d} please" for k in range(3)]
+    rows += [f"their old number ZZ-11-{k:04d} expired" for k in range(3)]
+    rows += ["their old number QQ-77-5555 expired", "see the item AB-99-1111 here", *[f"see the item XX-55-{k:04d} here" for k in range(20)]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {rows[r.doc_id]: r.spans for r in find_personal_data(docs, min_confidence=0.5).collect()}
+    assert out["pay by card AB-99-2222 please"] == "card:12:22"
+    assert out["their old number QQ-77-5555 expired"] == "card:17:27"  # no seed was ever there
+    assert out["see the item XX-55-0001 here"] == ""
+    strict = {rows[r.doc_id]: r.spans for r in find_personal_data(docs, min_confidence=0.9).collect()}
+    assert strict["their old number QQ-77-5555 expired"] == ""
+
+
+def test_unknown_surfaces_speak_against_a_pattern(spark):
+    rows = [("card", f"c{i}", "card number", "x") for i in range(20)] + [(None, f"u{i}", "card number", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "kind string, surface string, before string, after string")
+    assert learn_patterns(df, Scratch(spark, "t")).count() == 0
+
+
+def test_candidates():
+    shown = lambda t: [t[m[0] : m[1]] for m in mentions(t, base_spans(t)) if m[2] is None]
+    assert shown("call 020 7946 0958 now, (0664) 123 4567, or anna(at)example.org.") == ["020 7946 0958", "(0664) 123 4567", "anna(at)example.org"]
+    assert shown("in 2023 we met 12 people; 4111 1111 1111 1112") == ["4111 1111 1111 1112"]
+    assert shown("mail a.b@c.de or +1 (736) 555-2678") == []
+    at = mentions("one two x@y.de,three", base_spans("one two x@y.de,three"))[0]
+    assert at[4:] == ("one two", ",three")
+
+
+@pytest.mark.parametrize("part", ["a", "1", "1.", "中", "+1(", "1 ", "a@", "x(at)", "(1) ", "4111 1111 1111 1111 "])
+def test_long_texts_take_linear_time(part):
+    def seconds(n):
+        t = part * (n // len(part))
+        began = time.perf_counter()
+        mentions(t, base_spans(t))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(2_000_000) < 30
