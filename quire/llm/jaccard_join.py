@@ -8,13 +8,14 @@ counts are a point; for two documents the sum of the smaller coordinates bounds
    Exact copies go as one.
 2. *Search.* In a tile, an R-tree over the points finds the pairs whose bound admits a link; a node holds
    the largest coordinates below it, so a pair of nodes is left as soon as its summed minima are too small.
-   A short tile gives its pairs of like size; those that meet in as many tiles as linked documents must
-   (or that meet in a long one) are bounded once each. A spanning forest of the surviving pairs joins documents into blocks.
+   A tile of an infrequent shingle with at most ``SHORT`` rows is a tree of three leaves: it gives its pairs
+   of like size, and those that meet in as many tiles as linked documents must are bounded once each. A spanning forest of the surviving pairs joins documents into blocks.
 3. *Verification.* Only documents in blocks are shingled again; the R-tree of a block gives the pairs, and
    those whose documents aren't connected yet are compared exactly.
 
-No step is sampled or capped; tiles and blocks that are too large for one task are dealt into cells in
-which all their pairs meet.
+No step is sampled or capped. A tile or block that is too large for one task is first compared with a few
+of its own rows; what these connect needs no comparison among itself, so a large group of near copies is
+settled in linear work. The other pairs of such a tile or block are dealt into cells that they meet in.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Forest, binary_rows, cells, runs
+from quire.llm.common import Forest, binary_rows, runs
 from quire.plans.components import connected_components
 from quire.plans.scratch import Scratch
 
 #: Groups of a point, and of one with many shingles; powers of two, so that the finer folds into the coarser.
 FEW, MANY, LARGE = 64, 512, 1024
-#: Beyond this, a 16-bit coordinate could overflow; such points aren't bounded.
-UNBOUNDED = 65_535
+#: The largest coordinate; points beyond it aren't bounded. Only sets of tens of millions of shingles have such.
+MOST = 65_535
 LEAF = 16
+#: Rows of a large tile or block that all its rows are compared with first.
+PIVOTS = 8
 #: Leading shingles that linked documents must share, where they have as many, and the longest tile whose
 #: pairs are counted.
 SHARED, SHORT = 3, 48
@@ -62,10 +65,9 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 def point(hashes: np.ndarray) -> bytes:
     """Group counts, 16 bits each; nothing where they could overflow."""
-    if len(hashes) > UNBOUNDED:
-        return b""
     d = MANY if len(hashes) > LARGE else FEW
-    return np.bincount((hashes & np.uint64(d - 1)).astype(np.int64), minlength=d).astype(np.uint16).tobytes()
+    counts = np.bincount((hashes & np.uint64(d - 1)).astype(np.int64), minlength=d)
+    return b"" if counts.max() > MOST else counts.astype(np.uint16).tobytes()
 
 
 def _prefixes(n: int, percent: int) -> tuple[int, int]:
@@ -81,7 +83,7 @@ class Points:
     def __init__(self, rows: list[bytes], sizes: np.ndarray):
         self.n = sizes.astype(np.int64)
         self.free = np.array([not r for r in rows], bool)
-        self.few = np.zeros((len(rows), FEW), np.uint16)
+        self.few = np.zeros((len(rows), FEW), np.uint32)
         self.fine = np.array([len(r) == 2 * MANY for r in rows], bool)
         self.many = np.zeros((int(self.fine.sum()), MANY), np.uint16)
         self.at = np.cumsum(self.fine) - 1
@@ -91,7 +93,7 @@ class Points:
         for i in np.flatnonzero(self.fine):
             v = np.frombuffer(rows[i], np.uint16)
             self.many[self.at[i]] = v
-            self.few[i] = np.minimum(v.reshape(-1, FEW).sum(0), UNBOUNDED)
+            self.few[i] = v.reshape(-1, FEW).sum(0)
 
     def admit(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs may be linked: shared * (100 + percent) >= percent * (n + n)."""
@@ -193,9 +195,9 @@ class _Links:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _allowed(ids, chunk, ci, cj, a, b):
-    """Pairs of different ids that this cell is for: of two chunks, one row of each."""
-    return (ids[a] != ids[b]) & ((ci[a] == cj[a]) | (chunk[a] != chunk[b]))
+def _allowed(labels, chunk, ci, cj, a, b):
+    """Pairs that aren't connected already and that this cell is for: of two chunks, one row of each."""
+    return (labels[a] != labels[b]) & ((ci[a] == cj[a]) | (chunk[a] != chunk[b]))
 
 
 def _pair_up(percent: int):
@@ -264,13 +266,13 @@ def _search(percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links()
         for table, starts in runs(batches, keys):
-            ids, n, lead = (table[c].to_numpy() for c in ("uid", "n", "lead"))
+            ids, n, lead, labels = (table[c].to_numpy() for c in ("uid", "n", "lead", "label"))
             chunk, ci, cj = (table[c].to_numpy() for c in ("chunk", "cell_i", "cell_j"))
             points = Points(binary_rows(table["point"]), n)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
                 for a, b in tree_pairs(points, np.arange(s, e), percent):
                     # the smaller set of a pair leads by fewer shingles
-                    ok = np.where(n[a] < n[b], lead[a], np.where(n[b] < n[a], lead[b], lead[a] & lead[b])) & _allowed(ids, chunk, ci, cj, a, b)
+                    ok = np.where(n[a] < n[b], lead[a], np.where(n[b] < n[a], lead[b], lead[a] & lead[b])) & _allowed(labels, chunk, ci, cj, a, b)
                     for x, y in zip(ids[a[ok]].tolist(), ids[b[ok]].tolist(), strict=True):
                         links.join(x, y)
             yield from links.flush()
@@ -284,7 +286,7 @@ def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links()
         for table, starts in runs(batches, keys):
-            ids, n = table["uid"].to_numpy(), table["n"].to_numpy()
+            ids, n, labels = (table[c].to_numpy() for c in ("uid", "n", "label"))
             chunk, ci, cj = (table[c].to_numpy() for c in ("chunk", "cell_i", "cell_j"))
             raw = table["grams"]
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
@@ -292,9 +294,9 @@ def _verify(percent: int):
                     continue
                 sets = [np.frombuffer(x, np.uint64) for x in raw.slice(s, e - s).to_pylist()]
                 points = Points([point(x) for x in sets], n[s:e])
-                own, ch, oi, oj = ids[s:e], chunk[s:e], ci[s:e], cj[s:e]
+                own, ch, oi, oj, lab = ids[s:e], chunk[s:e], ci[s:e], cj[s:e], labels[s:e]
                 for a, b in tree_pairs(points, np.arange(e - s), percent):
-                    ok = _allowed(own, ch, oi, oj, a, b)
+                    ok = _allowed(lab, ch, oi, oj, a, b)
                     for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
                         x, y = int(own[i]), int(own[j])
                         if links.connected(x, y):
@@ -307,6 +309,105 @@ def _verify(percent: int):
     return verify
 
 
+def _star_points(percent: int):
+    """Edges between the pivots of a chunk and those of its rows that the bound admits."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for table, starts in runs(batches, ["key", "chunk"]):
+            ids, n, lead, pivot = (table[c].to_numpy() for c in ("uid", "n", "lead", "pivot"))
+            points = Points(binary_rows(table["point"]), n)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                rows = np.arange(s, e)
+                for p in rows[pivot[s:e]].tolist():
+                    b = np.full(len(rows), p)
+                    leads = np.where(n[rows] < n[p], lead[rows], np.where(n[rows] > n[p], lead[p], lead[rows] & lead[p]))
+                    for x in ids[rows[points.admit(rows, b, percent) & leads & (ids[rows] != ids[p])]].tolist():
+                        links.join(int(ids[p]), x)
+            yield from links.flush()
+
+    return star
+
+
+def _star_sets(percent: int):
+    """Edges between the pivots of a chunk and those of its rows that are linked with them."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for table, starts in runs(batches, ["key", "chunk"]):
+            ids, pivot = table["uid"].to_numpy(), table["pivot"].to_numpy()
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                heads = [(int(ids[p]), np.frombuffer(table["grams"][int(p)].as_py(), np.uint64)) for p in np.flatnonzero(pivot[s:e]) + s]
+                for i in range(s, e):
+                    own, x = None, int(ids[i])
+                    for p, head in heads:
+                        if p == x or links.connected(p, x):
+                            continue
+                        own = np.frombuffer(table["grams"][i].as_py(), np.uint64) if own is None else own
+                        if 100 * min(len(own), len(head)) < percent * max(len(own), len(head)):
+                            continue
+                        if len(np.intersect1d(own, head, assume_unique=True)) * (100 + percent) >= percent * (len(own) + len(head)):
+                            links.join(p, x)
+            yield from links.flush()
+
+    return star
+
+
+def _star(rows: DataFrame, payload: DataFrame, judge, columns: list[str]) -> DataFrame:
+    """(a, b): edges from the rows (key, rows, cap, uid, ...) of large groups to PIVOTS rows of their own group.
+
+    Pivots are those with the smallest hashes, found by partial aggregation. A group is dealt into chunks of
+    ``cap`` rows, and each chunk gets the group's pivots, so work and copies are linear in the group."""
+    heads = F.array(*[F.min(F.struct(F.xxhash64("uid", F.lit(i)).alias("h"), F.col("uid").alias("u"))) for i in range(PIVOTS)])
+    pivots = rows.groupBy("key", "rows", "cap").agg(heads.alias("_h")).withColumn("uid", F.explode(F.array_distinct(F.transform("_h", lambda x: x["u"]))))
+    n = F.ceil(F.col("rows") / F.col("cap")).cast("int")
+    pivots = pivots.select("key", "uid", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).withColumn("pivot", F.lit(True))
+    extra = [c for c in rows.columns if c not in ("key", "rows", "cap", "uid")]
+    pivots = pivots.join(rows.select("key", "uid", *extra), ["key", "uid"])
+    own = rows.withColumn("chunk", F.pmod(F.xxhash64("uid"), n.cast("long")).cast("int")).withColumn("pivot", F.lit(False))
+    both = own.select("key", "chunk", "uid", "pivot", *extra).unionByName(pivots.select("key", "chunk", "uid", "pivot", *extra)).join(payload, "uid")
+    both = both.select(*columns).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    return both.mapInArrow(judge, "a long, b long")
+
+
+def _deal(rows: DataFrame, labels: DataFrame, scratch: Scratch, broadcast_ids: int) -> DataFrame:
+    """Rows (key, rows, cap, uid, ...) of large groups with ``label, cell_i, cell_j, chunk``: those pairs of a
+    group that ``labels`` (node, component) doesn't connect meet in one cell. The commonest label is dealt
+    into chunks of its own, which meet the others' chunks but not each other; a group of one label is gone."""
+    rows = scratch.keep(rows.join(labels.select(F.col("node").alias("uid"), F.col("component").alias("_c")), "uid", "left").withColumn("label", F.coalesce("_c", "uid")).drop("_c"))
+    per_label = rows.groupBy("key", "rows", "cap", "label").agg(F.count("*").alias("_n"))
+    main = per_label.groupBy("key", "rows", "cap").agg(F.max(F.struct("_n", "label")).alias("_m"))
+    most = F.col("_m._n")
+    chunks = lambda n: F.ceil(n / F.col("cap")).cast("int")
+    main = scratch.keep(main.where(most < F.col("rows")).select("key", F.col("_m.label").alias("_main"), chunks(F.col("rows") - most).alias("_few"), chunks(most).alias("_many")))
+    main = F.broadcast(main) if main.count() <= broadcast_ids else main
+    rows = rows.join(main, "key")
+    is_main = F.col("label") == F.col("_main")
+    at = F.pmod(F.xxhash64("uid"), F.when(is_main, F.col("_many")).otherwise(F.col("_few")).cast("long")).cast("int")
+    rows = rows.withColumn("chunk", F.when(is_main, F.col("_few") + at).otherwise(at))
+    other = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("_few")).otherwise(F.col("_few") + F.col("_many")) - 1))
+    rows = rows.withColumn("_o", other).withColumn("cell_i", F.least("chunk", "_o")).withColumn("cell_j", F.greatest("chunk", "_o"))
+    return rows.drop("_o", "_main", "_few", "_many")
+
+
+def _one_cell(groups: DataFrame) -> DataFrame:
+    """Rows of groups that are small enough for one cell."""
+    zero = F.lit(0)
+    return groups.withColumns({"label": F.col("uid"), "cell_i": zero, "cell_j": zero, "chunk": zero})
+
+
+def _with_large(small: DataFrame, large: DataFrame, payload: DataFrame, star, columns: list[str], scratch: Scratch, broadcast_ids: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The cells of small groups (with their payload) and of large ones (key, rows, cap, uid, ...; their payload comes by uid),
+    and the edges that the large groups' pivots gave."""
+    large = scratch.keep(large)
+    if large.isEmpty():
+        return small, []
+    edges = scratch.keep(_star(large, payload, star, columns))
+    labels = connected_components(large.sparkSession, edges, scratch)
+    dealt = _deal(large, labels, scratch, broadcast_ids).join(payload, "uid")
+    return small.unionByName(dealt.select(*small.columns)), [edges]
+
+
 def frequent_shingles(texts: DataFrame, k: int, least: int = 64) -> np.ndarray:
     """Sorted hashes of shingles that many documents share, for the order only. Counted over all documents:
     each task reports those that recur among the documents it holds at a time, and the sums decide."""
@@ -339,7 +440,7 @@ def _route(k: int, percent: int, frequent):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, sig, keys, leads, points = [], [], [], [], []
+                n, sig, keys, leads, fresh, points = [], [], [], [], [], []
                 for t in binary_rows(part["t"]):
                     s = shingles(t, k)
                     many, few = _prefixes(len(s), percent) if len(s) else (0, 0)
@@ -351,12 +452,13 @@ def _route(k: int, percent: int, frequent):
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     keys.append(order.view(np.int64))
                     leads.append(few)
+                    fresh.append(int((~hit).sum()))
                     points.append(point(s) if len(s) else b"")
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(leads, pa.int32()), pa.array(points, pa.binary())],
-                    ["doc_id", "n", "sig", "keys", "leads", "point"],
+                    [part["doc_id"], part["td"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(leads, pa.int32()), pa.array(fresh, pa.int64()), pa.array(points, pa.binary())],
+                    ["doc_id", "td", "n", "sig", "keys", "leads", "fresh", "point"],
                 )
 
     return route
@@ -372,71 +474,106 @@ def _regram(k: int):
     return regram
 
 
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
-
-    Two documents link when 100 * shared >= ``percent`` * (all) of their distinct shingles of ``k`` words
-    (code points 9 to 13 and the space part words; A-Z are lower-cased). ``component_id`` is the smallest
-    doc_id that links reach. Documents without words (null, empty, blank) have no shingles, link with
-    nothing, and are their own component. Repeated rows and equal sets are linked. Rows without a doc_id
-    take part; a component of such rows alone has a null id. Shingles are compared by 64-bit hashes.
-    """
+def _link(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, broadcast_ids: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, td, n, sig) of every row, (sig, component_id, first) of every set that isn't empty): ``td`` is the
+    text's digest, ``sig`` the set's; ``first`` (absent, doc_id, td) is the row of a component with the smallest id."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
+    raw = F.col(text).cast("string").cast("binary")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(raw).alias("td"), raw.alias("t"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, k))
-    routed = texts.mapInArrow(_route(k, percent, frequent), "doc_id long, n long, sig binary, keys array<long>, leads int, point binary")
+    routed = texts.mapInArrow(_route(k, percent, frequent), f"doc_id {kind}, td string, n long, sig binary, keys array<long>, leads int, fresh long, point binary")
     routed = scratch.keep(routed.withColumn("uid", F.monotonically_increasing_id()))
-    classes = scratch.keep(routed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("uid").alias("uid")))
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "td")
+    classes = scratch.keep(routed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("uid").alias("uid"), F.min(first).alias("first")))
     firsts = classes.select("uid")
     firsts = F.broadcast(firsts) if classes.count() <= broadcast_ids else firsts
-    ones = scratch.keep(routed.join(firsts, "uid").select("uid", "n", "keys", "leads", "point"))
-    keyed = ones.select("uid", "n", "leads", F.posexplode("keys").alias("pos", "key")).select("key", "uid", "n", (F.col("pos") < F.col("leads")).alias("lead"))
-    met = scratch.keep(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(percent), "a long, b long, need long, met long, key long"))
+    ones = scratch.keep(routed.join(firsts, "uid").select("uid", "n", "keys", "leads", "fresh", "point"))
+    keyed = ones.select("uid", "n", "leads", "fresh", F.posexplode("keys").alias("pos", "key")).select("key", "uid", "n", (F.col("pos") < F.col("leads")).alias("lead"), (F.col("pos") >= F.col("fresh")).alias("_often"))
+    # tiles of shingles that are known to be frequent are dealt out; no other shingle can be in very many documents
+    rare = keyed.where("NOT _often").drop("_often")
+    met = scratch.keep(rare.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(percent), "a long, b long, need long, met long, key long"))
     point = lambda n, p, u: ones.select(F.col("uid").alias(u), F.col("n").alias(n), F.col("point").alias(p))
     often = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
     few = often.join(point("n", "point", "a"), "a").join(point("m", "other", "b"), "b")
     near = few.mapInArrow(_admit(percent), "a long, b long")
     large = scratch.keep(met.where("key IS NOT NULL").select("key"))
     side = F.broadcast(large) if large.count() <= broadcast_ids else large
-    busy = scratch.keep(keyed.join(side, "key"))
-    tiles = busy.join(scratch.keep(busy.groupBy("key").agg(F.count("*").alias("rows"))), "key").join(ones.select("uid", "point"), "uid")
-    tiles = cells(tiles, "rows", "uid", F.lit(TILE_ROWS)).select("key", "cell_i", "cell_j", "chunk", "uid", "n", "lead", "point")
+    busy = scratch.keep(keyed.where("_often").drop("_often").unionByName(rare.join(side, "key")))
+    tiles = scratch.keep(busy.join(busy.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key").withColumn("cap", F.lit(TILE_ROWS)))
+    points = ones.select("uid", "point")
+    columns = ["key", "cell_i", "cell_j", "chunk", "label", "uid", "n", "lead", "point"]
+    small = _one_cell(tiles.where("rows <= cap")).join(points, "uid").select(*columns)
+    tiles, found = _with_large(small, tiles.where("rows > cap"), points, _star_points(percent), ["key", "chunk", "uid", "pivot", "n", "lead", "point"], scratch, broadcast_ids)
     tiles = tiles.repartition("key", "cell_i", "cell_j").sortWithinPartitions("key", "cell_i", "cell_j", "n")
-    near = scratch.keep(near.unionByName(tiles.mapInArrow(_search(percent), "a long, b long")))
-    blocks = scratch.keep(connected_components(spark, near, scratch).select(F.col("node").alias("uid"), F.col("component").alias("block")))
-    active = scratch.keep(blocks.join(classes, "uid"))
+    near = near.unionByName(tiles.mapInArrow(_search(percent), "a long, b long"))
+    for edges in found:
+        near = near.unionByName(edges)
+    blocks = scratch.keep(connected_components(spark, scratch.keep(near), scratch).select(F.col("node").alias("uid"), F.col("component").alias("key")))
+    active = scratch.keep(blocks.join(classes.select("uid", "sig", "first"), "uid"))
     n_active = active.count()
-    ids = active.select(F.col("first_id").alias("_id")).distinct()
+    ids = active.select(F.col("first.doc_id").alias("_id"), F.col("first.td").alias("_td")).distinct()
     ids = F.broadcast(ids) if n_active <= broadcast_ids else ids
-    again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("t").mapInArrow(_regram(k), "sig binary, grams binary")
-    sets = again.join(active.select("sig", "uid", "block"), "sig").withColumn("n", (F.octet_length("grams") / 8).cast("long"))
-    sets = scratch.keep(sets.select("block", "uid", "n", "grams"))
-    large = scratch.keep(sets.groupBy("block").agg(F.count("*").alias("rows"), F.max("n").alias("most")))
-    cap = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
-    pairs = cells(sets.join(large, "block"), "rows", "uid", cap).select("block", "cell_i", "cell_j", "chunk", "uid", "n", "grams")
+    again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("td") == F.col("_td")), "left_semi").select("t").mapInArrow(_regram(k), "sig binary, grams binary")
+    sets = again.join(active.select("sig", "uid", "key"), "sig").withColumn("n", (F.octet_length("grams") / 8).cast("long"))
+    sets = scratch.keep(sets.select("key", "uid", "n", "grams"))
+    twice = scratch.keep(sets.groupBy("uid").count().where("count > 1").select("uid"))
+    if not twice.isEmpty():  # rows that repeat in both id and text
+        rest = sets.join(twice, "uid", "left_semi").groupBy("uid").agg(*[F.min(c).alias(c) for c in ("key", "n", "grams")])
+        sets = scratch.keep(sets.join(twice, "uid", "left_anti").unionByName(rest))
+    sizes = sets.groupBy("key").agg(F.count("*").alias("rows"), F.max("n").alias("most"))
+    cap = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")))).cast("int")
+    sizes = scratch.keep(sizes.select("key", "rows", cap.alias("cap")))
+    columns = ["key", "cell_i", "cell_j", "chunk", "label", "uid", "n", "grams"]
+    small = _one_cell(sets.join(sizes.where("rows <= cap"), "key")).select(*columns)
+    large = sets.select("key", "uid", "n").join(sizes.where("rows > cap"), "key")
+    pairs, found = _with_large(small, large, sets.select("uid", "grams"), _star_sets(percent), ["key", "chunk", "uid", "pivot", "grams"], scratch, broadcast_ids)
+    pairs = pairs.withColumnRenamed("key", "block")
     pairs = pairs.repartition("block", "cell_i", "cell_j").sortWithinPartitions("block", "cell_i", "cell_j", "n")
-    links = scratch.keep(pairs.mapInArrow(_verify(percent), "a long, b long"))
-    found = connected_components(spark, links, scratch)
-    linked = scratch.keep(found.withColumnRenamed("node", "uid").join(classes.select("uid", "first_id"), "uid"))
-    least = scratch.keep(linked.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = linked.join(least, "component").select("uid", "component_id")
-    final = scratch.keep(classes.join(named, "uid", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id")))
-    out = routed.select("doc_id", "n", "sig").join(final, "sig", "left")
+    links = pairs.mapInArrow(_verify(percent), "a long, b long")
+    for edges in found:
+        links = links.unionByName(edges)
+    joined = connected_components(spark, links, scratch)
+    linked = scratch.keep(joined.withColumnRenamed("node", "uid").join(classes.select("uid", "first_id", "first"), "uid"))
+    least = scratch.keep(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first").alias("whole")))
+    named = linked.join(least, "component").select("uid", "component_id", "whole")
+    final = classes.join(named, "uid", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("whole", "first").alias("first"))
+    return routed.select("doc_id", "td", "n", "sig"), scratch.keep(final)
+
+
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 500_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    Two documents link when 100 * shared >= ``percent`` * (all) of their distinct shingles of ``k`` words
+    (code points 9 to 13 and the space part words; A-Z are lower-cased). ``component_id`` is the smallest
+    doc_id that links reach. Documents without words (null, empty, blank) have no shingles, link with
+    nothing, and are their own component. Repeated rows and equal sets are linked. Rows without a doc_id
+    take part; a component of such rows alone has a null id. Long texts are read whole; an empty table gives
+    no rows. Shingles are compared by 64-bit hashes, texts and sets by 128-bit ones.
+    """
+    routed, final = _link(docs, k, percent, text, doc_id, broadcast_ids, Scratch(docs.sparkSession, "jaccard"))
+    out = routed.join(final.drop("first"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 500_000, **settings) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; the rows are otherwise
-    untouched. Of rows that repeat an id, one stays. Rows without an id stay. The ids that go are broadcast
-    where there are at most ``broadcast_ids``."""
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 500_000, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, untouched: the one with the smallest id, then the smallest digest
+    of its text; rows without an id come last. Rows are told apart by id and text, so an id that repeats with
+    another text loses only what is a copy; of rows that agree in both, one stays. Rows without words all
+    stay. What goes is broadcast where there are at most ``broadcast_ids`` such ids and texts."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = scratch.keep(link_documents(docs, text=text, doc_id=doc_id, **settings))
-    gone = scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    routed, final = _link(docs, k, percent, text, doc_id, broadcast_ids, scratch)
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("td") == F.col("first.td"))
+    found = scratch.keep(routed.where("n > 0").join(final.select("sig", "first"), "sig").select("doc_id", "td", chosen.alias("stays")))
+    name = lambda df: df.select(F.col("doc_id").alias("_keep_id"), F.col("td").alias("_keep_td"))
+    gone = scratch.keep(name(found.where("NOT stays")).distinct())
     gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    kept = docs.join(gone, F.col(doc_id) == F.col("_id"), "left_anti")
-    often = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    digest = F.md5(F.col(text).cast("string").cast("binary"))
+    same = F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (digest == F.col("_keep_td"))
+    kept = docs.join(gone, same, "left_anti")
+    often = scratch.keep(name(found.where("stays").groupBy("doc_id", "td").count().where("count > 1")))
     if often.isEmpty():
         return kept
-    once = kept.join(often, F.col(doc_id) == F.col("_id"), "left_anti")
-    return once.unionByName(kept.join(often, F.col(doc_id) == F.col("_id"), "left_semi").dropDuplicates([doc_id]))
+    once = kept.join(often, same, "left_anti")
+    again = kept.join(often, same, "left_semi").withColumn("_keep_td", digest).dropDuplicates([doc_id, "_keep_td"]).drop("_keep_td")
+    return once.unionByName(again)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,8 +8,15 @@ from quire.llm.common import Forest
 from quire.llm.jaccard_join import LEAF, Points, keep_one_of_each, link_documents, point, shingles, tree_pairs
 
 
+def plain_shingles(t, k):
+    """Tuples of words, without the operator's code."""
+    lower = (t or "").translate({i: i + 32 for i in range(65, 91)})
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
 def brute(rows, k, percent):
-    sets = [frozenset(shingles((t or "").encode(), k).tolist()) for _, t in rows]
+    sets = [plain_shingles(t, k) for _, t in rows]
     f = Forest(len(rows))
     for i in range(len(rows)):
         for j in range(i):
@@ -103,3 +111,52 @@ def test_one_of_each_stays(spark):
     kept = keep_one_of_each(docs, k=5, percent=80).collect()
     assert sorted(r.doc_id for r in kept) == [2, 6, 7, 8]
     assert keep_one_of_each(docs, k=5, percent=80, broadcast_ids=0).count() == 4
+
+
+def test_an_id_with_several_texts_loses_only_copies(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (None, b + " more"), (None, "x y z v w q"), (None, "x y z v w q"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in keep_one_of_each(docs, k=5, percent=80).collect())))
+    assert kept == sorted(map(str, [(1, a), (2, b), (None, "x y z v w q"), (3, None), (3, None)]))
+    named = docs.selectExpr("concat('k', doc_id) AS doc_id", "text")
+    got = {(r.doc_id, r.component_id) for r in link_documents(named).collect()}
+    assert ("k2", "k1") in got and (None, "k2") in got and ("k3", "k3") in got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_agree_with_brute_force(spark, monkeypatch, seed):
+    """Tiles and blocks of several clusters, of chains that no pivot sees whole, and of unlike documents that share a passage."""
+    import quire.llm.jaccard_join as m
+
+    for name, value in (("TILE_ROWS", 12), ("BLOCK_ROWS", 12), ("PIVOTS", 2), ("SHORT", 6)):
+        monkeypatch.setattr(m, name, value)
+    draw = random.Random(seed)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for c in range(3):
+        w = [f"c{c}x{i}" for i in range(40)]
+        for i in range(40):  # a chain: each a word further from the first
+            w = list(w)
+            w[i] = f"n{c}x{i}"
+            rows.append(" ".join(w))
+            if draw.random() < 0.3:
+                rows.append(" ".join(w))
+    rows += [" ".join([*passage, *[f"u{draw.randrange(10**6)}" for _ in range(draw.choice([3, 10, 60]))]]) for _ in range(60)]
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(m, "frequent_shingles", lambda texts, k: np.sort(np.unique(np.concatenate([m.shingles(" ".join(passage).encode(), k), m.shingles(rows[0][1].encode(), k)]))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_documents(docs, 4, 85, broadcast_ids=500_000 if seed == 1 else 0).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_sets_of_very_many_shingles_are_bounded():
+    big = np.unique(np.random.default_rng(1).integers(0, 2**63, 200_000, dtype=np.uint64))
+    near, other = big[5_000:], np.unique(np.random.default_rng(2).integers(0, 2**63, 190_000, dtype=np.uint64))
+    sets = [big, near, other]
+    points = Points([point(s) for s in sets], np.array([len(s) for s in sets]))
+    assert not points.free.any()
+    assert points.admit(np.array([0, 0, 1]), np.array([1, 2, 2]), 85)[0]
+    got = {tuple(sorted(p)) for x, y in tree_pairs(points, np.arange(3), 85) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert (0, 1) in got
