@@ -4,7 +4,7 @@ Codes are the signs of a vector after a learned rotation (ITQ): the rotation tha
 decorrelated vectors nearest to a binary cube, found by alternating signs and a Procrustes solution. Each
 code is cut into substrings, a table each; two vectors that share a substring (and label) meet in a bucket
 and are compared by the cosine of their original vectors. Several rotations, from different starts, give as
-many tables as the wanted recall needs at the similarity threshold.
+many tables as the wanted recall needs at the similarity threshold. Equal vectors go as one.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quire.llm.common import cells, runs
 from quire.llm.jaccard_join import _Links
@@ -25,7 +26,7 @@ from quire.plans.components import connected_components
 from quire.plans.scratch import Scratch
 
 #: Bits of a code per rotation at most, and rows of a bucket's chunk.
-MAX_BITS, CHUNK_ROWS = 64, 512
+MAX_BITS, CHUNK_ROWS = 64, 1024
 
 
 def fit_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +53,11 @@ class Tables:
     seed: int
     #: Tables of dimensions that need more than ``tables``.
     more: dict[int, int] = field(default_factory=dict)
+    #: Dimensions with so few vectors that all of a label share one bucket.
+    whole: set[int] = field(default_factory=set)
 
     def of(self, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """A dimension that the sample lacks gets random rotations, the same everywhere."""
+        """A dimension that isn't fitted gets random rotations, the same everywhere."""
         if dim not in self.models:
             self.models[dim] = [self.turned(dim, i) for i in range(-(-self.tables // self.per(dim)))]
         return self.models[dim]
@@ -74,14 +77,20 @@ class Tables:
         return float((self.keys(x) == self.keys(y)).any(1).mean())
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """rows x tables: the substrings of the codes."""
-        out = []
-        for mean, projection in self.of(x.shape[1]):
-            bits = (x - mean) @ projection >= 0
+        """rows x tables: the substrings of the codes. Vectors and projections are rounded to integers whose
+        sums of products a double holds exactly, so a vector has one code whatever batch it is in."""
+        dim = x.shape[1]
+        if dim in self.whole:
+            return np.zeros((len(x), 1), np.int64)
+        scale = 2.0 ** ((52 - math.ceil(math.log2(dim + 1))) // 2)
+        fixed, out = np.rint(x * scale), []
+        for mean, projection in self.of(dim):
+            turn = np.rint(projection * scale)
+            bits = fixed @ turn >= np.rint(mean * scale) @ turn
             width = min(self.width, bits.shape[1])
             for i in range(0, bits.shape[1] - width + 1, width):
                 out.append(bits[:, i : i + width] @ (np.int64(1) << np.arange(width, dtype=np.int64)))
-        return np.stack(out[: self.more.get(x.shape[1], self.tables)], 1)
+        return np.stack(out[: self.more.get(dim, self.tables)], 1)
 
 
 def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -123,73 +132,102 @@ def add_tables(tables: Tables, x: np.ndarray, threshold: float, recall: float) -
         tables.more[dim] = n
 
 
-def _clean(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors in double precision) by dimension, of vectors that can link."""
-    lists, labels = batch["v"], batch["label"]
-    ok = ~(lists.is_null().to_numpy(zero_copy_only=False) | labels.is_null().to_numpy(zero_copy_only=False))
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows can link, the unit vectors of these in double precision)."""
+    with np.errstate(all="ignore"):
+        top = np.abs(x).max(1, initial=0)
+        fine = np.isfinite(x).all(1) & (top > 0)
+        x = x[fine].astype(np.float64)
+        x /= np.abs(x).max(1, initial=0, keepdims=True)
+        return fine, x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _clean(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their components as they are, unit vectors) by dimension, of vectors that can link."""
+    lists = batch["v"]
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    for dim in np.unique(sizes[ok & (sizes > 0)]):
-        rows = np.flatnonzero(ok & (sizes == dim))
-        x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        with np.errstate(all="ignore"):
-            fine = np.isfinite(x).all(1)
-            top = np.abs(x).max(1, initial=0)
-            fine &= top > 0
-            x = x[fine] / top[fine, None]
-            yield rows[fine], x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
-def _spread(shared):
+    for dim in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == dim)
+        raw = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        fine, x = _unit(raw)
+        yield rows[fine], raw[fine], x
+
+
+def _spread(shared, payload: bool):
+    """A row for each vector and table; with ``payload``, its copies and components too."""
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                for rows, x in _clean(part):
+                for rows, raw, x in _clean(part):
                     if not len(rows):
                         continue
                     keys = tables.keys(x)
                     n, t = keys.shape
                     which = np.repeat(np.arange(n), t)
                     take = pa.array(rows[which])
-                    raw = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(which))
-                    codes = pa.array([k.tobytes() for k in keys], pa.binary()).take(pa.array(which))
-                    yield pa.RecordBatch.from_arrays(
-                        [part["uid"].take(take), part["label"].take(take), pa.array(np.full(n * t, x.shape[1], np.int32)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(keys.ravel()), codes, raw],
-                        ["uid", "label", "dim", "tab", "key", "codes", "x"],
-                    )
+                    columns = {"label": part["label"].take(take), "dim": pa.array(np.full(n * t, x.shape[1], np.int32)), "tab": pa.array(np.tile(np.arange(t, dtype=np.int32), n)), "key": pa.array(keys.ravel())}
+                    if payload:
+                        columns |= {"uid": part["uid"].take(take), "copies": part["copies"].take(take), "x": pa.array([v.tobytes() for v in raw], pa.binary()).take(pa.array(which))}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return spread
 
 
-def _compare(threshold: float):
+def _least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that the pairs (i, j) reach from it."""
+    out = np.arange(n)
+    while True:
+        low = np.minimum(out[i], out[j])
+        new = out.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == out).all():
+            return out
+        out = new
+
+
+def _compare(shared, threshold: float, kind: type):
     keys = ["label", "dim", "tab", "key", "cell_i", "cell_j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = _Links()
+        tables, links = shared.value, _Links()
         for table, starts in runs(batches, keys):
-            ids, tab, chunk, ci, cj = (table[c].to_numpy() for c in ("uid", "tab", "chunk", "cell_i", "cell_j"))
+            ids, copies, tab, chunk, ci, cj = (table[c].to_numpy() for c in ("uid", "copies", "tab", "chunk", "cell_i", "cell_j"))
             degree = np.zeros(len(ids), np.int64)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
                 if e - s < 2:
                     continue
-                x = np.frombuffer(b"".join(table["x"].slice(s, e - s).to_pylist()), np.float64).reshape(e - s, -1)
-                code = np.frombuffer(b"".join(table["codes"].slice(s, e - s).to_pylist()), np.int64).reshape(e - s, -1)
+                raw = np.frombuffer(b"".join(table["x"].slice(s, e - s).to_pylist()), kind).reshape(e - s, -1)
+                x = _unit(raw)[1]
                 ch, across = chunk[s:e], ci[s] != cj[s]
+                pairs = []
                 for a in range(0, e - s, 256):
                     i, j = np.nonzero(x[a : a + 256] @ x.T >= threshold)
                     i += a
-                    ok = (i < j) & (ids[s + i] != ids[s + j])
+                    ok = i < j
                     if across:
                         ok &= ch[i] != ch[j]
-                    i, j = i[ok], j[ok]
-                    # a pair counts in the first table that both are in a bucket of
-                    first = (code[i] == code[j]).argmax(1) == tab[s]
-                    i, j = i[first], j[first]
-                    np.add.at(degree, s + i, 1)
-                    np.add.at(degree, s + j, 1)
-                    for p, q in zip(ids[s + i].tolist(), ids[s + j].tolist(), strict=True):
-                        links.join(p, q)
+                    pairs.append((i[ok], j[ok]))
+                i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
+                if not len(i):
+                    continue
+                if tab[s]:  # a pair counts in the first table that both are in a bucket of
+                    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    code = tables.keys(x[some])[:, : tab[s]]
+                    p, q = at[: len(i)], at[len(i) :]
+                    new = np.empty(len(i), bool)
+                    for a in range(0, len(i), 100_000):
+                        new[a : a + 100_000] = ~(code[p[a : a + 100_000]] == code[q[a : a + 100_000]]).any(1)
+                    i, j = i[new], j[new]
+                np.add.at(degree, s + i, copies[s + j])
+                np.add.at(degree, s + j, copies[s + i])
+                root = _least_reached(e - s, i, j)
+                for p in np.flatnonzero(root != np.arange(e - s)).tolist():
+                    links.join(int(ids[s + p]), int(ids[s + root[p]]))
             some = np.flatnonzero(degree)
             if len(some):
                 nothing = pa.nulls(len(some), pa.int64())
@@ -201,16 +239,20 @@ def _compare(threshold: float):
     return compare
 
 
-def fit_tables(vectors: DataFrame, threshold: float, recall: float, sample: int, seed: int) -> Tables:
-    """Fit on at most ``sample`` vectors per dimension (those with the smallest hashes); plan for the largest label,
-    and add tables where pairs made of the sample meet too rarely."""
-    per_label = vectors.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 1
+def fit_tables(vectors: DataFrame, threshold: float, recall: float, sample: int, seed: int, max_dims: int) -> Tables:
+    """Fit on at most ``sample`` vectors (those with the smallest hashes) of each of the ``max_dims`` commonest
+    dimensions; plan for the largest label, and add tables where pairs made of the sample meet too rarely. A
+    dimension with fewer than twice as many vectors as components is one bucket a label, where all are compared."""
+    per_label = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     width, tables = plan_tables(per_label, threshold, recall)
     out = Tables({}, width, tables, seed)
-    good = vectors.where("v IS NOT NULL AND label IS NOT NULL AND size(v) > 0")
-    for dim in [r[0] for r in good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(4).collect()]:
-        rows = good.where(F.size("v") == dim).orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v", "label").toArrow().combine_chunks()
-        parts = [x for b in rows.to_batches() for _, x in _clean(b)]
+    good = vectors.where("size(v) > 0")
+    for dim, n in good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(max_dims).collect():
+        if n < 2 * dim:
+            out.whole.add(dim)
+            continue
+        rows = good.where(F.size("v") == dim).orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v").toArrow().combine_chunks()
+        parts = [x for b in rows.to_batches() for _, _, x in _clean(b)]
         x = np.concatenate(parts) if parts else np.empty((0, dim))
         if len(x) >= 2 * dim:
             out.models[dim] = [fit_rotation(x, min(dim, MAX_BITS), seed + i) for i in range(-(-tables // out.per(dim)))]
@@ -218,38 +260,57 @@ def fit_tables(vectors: DataFrame, threshold: float, recall: float, sample: int,
     return out
 
 
-def dedup_embeddings(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", recall: float = 0.97, sample: int = 4_096, seed: int = 0) -> DataFrame:
+def dedup_embeddings(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", recall: float = 0.97, sample: int = 4_096, seed: int = 0, max_dims: int = 64, broadcast_keys: int = 500_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Vectors of equal, non-null labels and equal dimensions link if the cosine of their original vectors, in
     double precision, is ``threshold`` or more. Vectors that are null, empty, zero or hold null or
     non-finite components, and those with a null label, link with nothing. ``n_links`` counts the other rows
     linked directly; ``component_id`` is the smallest id reachable (its own without links), and the row that
-    bears it is ``kept``. Repeated rows link with each other. No pair below the threshold links; a pair at
-    the threshold is found with probability ``recall``, closer ones more surely, copies always.
-
-    The rotations are fitted on ``sample`` vectors on the driver; all vectors are indexed. A bucket with more
-    than ``CHUNK_ROWS`` rows is dealt into cells in which all its pairs meet; pairs are counted where they
-    are compared, and only counts and a spanning forest leave a task.
+    bears it is ``kept``. Repeated rows link with each other. An empty table gives no rows. No pair below the
+    threshold links; a pair at the threshold is found with probability ``recall``, closer ones more surely,
+    copies always.
+
+    The rotations are fitted on ``sample`` vectors of a dimension on the driver; all vectors are indexed.
+    Dimensions beyond the ``max_dims`` commonest get rotations about the origin, for which the plan's recall
+    holds without a fit. Equal vectors are one row with their number. A bucket with more than ``CHUNK_ROWS``
+    rows is dealt into cells in which all its pairs meet; pairs are counted where they are compared, and only
+    counts and a spanning forest leave a task.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
-    rows = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()))
-    shared = spark.sparkContext.broadcast(fit_tables(rows, threshold, recall, sample, seed))
-    spread = rows.select("uid", "label", "v").mapInArrow(_spread(shared), "uid long, label long, dim int, tab int, key long, codes binary, x binary")
-    spread = scratch.keep(spread)
+    single = isinstance(vectors.schema[embedding].dataType, ArrayType) and isinstance(vectors.schema[embedding].dataType.elementType, FloatType)
+    v = F.col(embedding).cast("array<float>" if single else "array<double>")
+    rows = scratch.keep(vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v"), F.xxhash64(F.col(label).cast("string")).alias("label"), (v.isNotNull() & F.col(label).isNotNull()).alias("some"), F.monotonically_increasing_id().alias("uid")))
+    rows = rows.withColumns({"h": F.xxhash64("label", "v"), "g": F.xxhash64("v", "label", F.lit(1))})
+    classes = scratch.keep(rows.where("some").groupBy("h", "g").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")))
+    several = classes.where("copies > 1")
+    several = F.broadcast(several) if several.count() <= broadcast_keys else several
+    ones = rows.where("some").join(several.select("h", "g", "rep", "copies"), ["h", "g"], "left").where("rep IS NULL OR rep = uid")
+    ones = ones.select("uid", "label", "v", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    shared = spark.sparkContext.broadcast(fit_tables(ones, threshold, recall, sample, seed, max_dims))
     at = ["label", "dim", "tab", "key"]
-    full = scratch.keep(spread.groupBy(*at).agg(F.count("*").alias("rows")).where("rows > 1"))
-    met = cells(spread.join(full, at), "rows", "uid", F.lit(CHUNK_ROWS)).drop("rows")
+    kind = "label long, dim int, tab int, key long"
+    full = ones.select("label", "v").mapInArrow(_spread(shared, False), kind).groupBy(*at).agg(F.count("*").alias("rows"))
+    full = scratch.keep(full.where(F.col("rows") > CHUNK_ROWS))
+    full = F.broadcast(full) if full.count() <= broadcast_keys else full
+    spread = ones.mapInArrow(_spread(shared, True), kind + ", uid long, copies long, x binary")
+    met = cells(spread.join(full, at, "left").fillna(1, ["rows"]), "rows", "uid", F.lit(CHUNK_ROWS)).drop("rows")
     keys = [*at, "cell_i", "cell_j"]
     met = met.repartition(*keys).sortWithinPartitions(*keys)
-    found = scratch.keep(met.mapInArrow(_compare(threshold), "a long, b long, uid long, links long"))
-    links = found.where("uid IS NOT NULL").groupBy("uid").agg(F.sum("links").alias("n_links"))
+    found = scratch.keep(met.mapInArrow(_compare(shared, threshold, np.float32 if single else np.float64), "a long, b long, uid long, links long"))
+    links = found.where("uid IS NOT NULL").groupBy("uid").agg(F.sum("links").alias("n"))
     joined = connected_components(spark, found.where("a IS NOT NULL").select("a", "b"), scratch)
-    named = scratch.keep(joined.join(rows.select("uid", "vec_id"), joined["node"] == rows["uid"]).select("uid", "vec_id", "component"))
-    least = scratch.keep(named.groupBy("component").agg(F.min("vec_id").alias("component_id")))
-    named = named.join(least, "component").select("uid", "component_id")
-    out = rows.select("uid", "vec_id").join(links, "uid", "left").join(named, "uid", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = scratch.keep(joined.join(classes.select(F.col("rep").alias("node"), "first_id"), "node"))
+    least = scratch.keep(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    named = named.join(least, "component").select(F.col("node").alias("uid"), "component_id")
+    # a vector that can't link has a class of its own kind, but no links, not even with its copies
+    able = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    final = classes.withColumnRenamed("rep", "uid").join(links, "uid", "left").join(named, "uid", "left")
+    final = scratch.keep(final.where("copies > 1 OR n IS NOT NULL").select("h", "g", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")))
+    final = F.broadcast(final) if final.count() <= broadcast_keys else final
+    joins = F.coalesce(F.col("some") & able, F.lit(False))
+    out = rows.withColumn("able", joins).join(final, ["h", "g"], "left")
+    component = F.when(F.col("able"), F.coalesce("component_id", "vec_id")).otherwise(F.col("vec_id"))
+    n_links = F.when(F.col("able"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -53,18 +53,30 @@ def test_near_copies_and_odd_vectors(spark, monkeypatch):
 
 
 def test_recall_on_the_given_vectors(spark):
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = {r.vec_id: r for r in dedup_embeddings(e).collect()}
-    r = e.toPandas()
+    """The table's vectors, which have no links, with a neighbour of every third one from the threshold up."""
+    r = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    draw = np.random.default_rng(9)
     x = np.array(r.embedding.tolist(), float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = 0
-    for k in r.label.unique():
-        at = np.flatnonzero(r.label == k)
-        n = (x[at] @ x[at].T >= 0.93).sum(1) - 1
+    at = np.arange(0, len(x), 3)
+    way = draw.normal(size=(len(at), x.shape[1]))
+    way -= (way * x[at]).sum(1, keepdims=True) * x[at]
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    c = draw.uniform(0.9305, 0.96, size=(len(at), 1))
+    y = c * x[at] + np.sqrt(1 - c * c) * way
+    ids = [int(v) for v in r.vec_id] + [10**9 + i for i in range(len(y))]
+    labels = [int(v) for v in r.label] + [int(r.label.iloc[i]) for i in at]
+    e = spark.createDataFrame([(i, [float(a) for a in v], k, "x") for i, v, k in zip(ids, [*x, *y], labels, strict=True)], SCHEMA)
+    got = {v.vec_id: v for v in dedup_embeddings(e.repartition(6)).collect()}
+    z = np.concatenate([x, y]).astype(np.float32).astype(float)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    links, labels = 0, np.array(labels)
+    for k in np.unique(labels):
+        own = np.flatnonzero(labels == k)
+        n = (z[own] @ z[own].T >= 0.93).sum(1) - 1
         links += n.sum()
-        assert all(got[v].n_links <= m for v, m in zip(r.vec_id.iloc[at], n, strict=True))
-    assert sum(v.n_links for v in got.values()) >= 0.9 * links > 0
+        assert all(got[ids[v]].n_links <= m for v, m in zip(own, n, strict=True))
+    assert links >= 2 * len(y) and sum(v.n_links for v in got.values()) >= 0.95 * links
 
 
 def test_codes_keep_angles():
@@ -107,3 +119,34 @@ def test_recall_with_a_common_direction(spark):
     want = (z @ z.T >= 0.93).sum(1) - 1
     assert all(got[i] <= n for i, n in enumerate(want))
     assert sum(got.values()) >= 0.95 * want.sum() > 0
+
+
+def test_copies_count_as_the_rows_they_are(spark, monkeypatch):
+    import quire.llm.embedding_dedup as m
+
+    monkeypatch.setattr(m, "CHUNK_ROWS", 30)
+    rows = vectors(7, n=200)
+    draw = np.random.default_rng(1)
+    rows += [(1000 + i, rows[int(draw.integers(5))][1], int(draw.integers(2)), "x") for i in range(200)]
+    rows += [(2000 + i, [0.0] * 32, 1, "x") for i in range(3)] + [(2010 + i, None, 1, "x") for i in range(2)] + [(2020 + i, rows[0][1], None, "x") for i in range(2)]
+    want = brute(rows, 0.93)
+    for most in (500_000, 0):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in dedup_embeddings(spark.createDataFrame(rows, SCHEMA).repartition(3), broadcast_keys=most).collect()}
+        assert sum(n for n, _, _ in got.values()) >= 0.97 * sum(n for n, _, _ in want.values())
+        assert all(got[k][0] <= want[k][0] for k in want) and all(got[k] == (0, k, True) for k in got if k >= 2000)
+
+
+def test_rare_dimensions_are_compared_whole(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for dim in range(3, 40):
+        base = draw.normal(size=(3, dim))
+        rows += [(len(rows) + i, [float(x) for x in base[i % 3] + draw.normal(size=dim) * 0.15], 1, "x") for i in range(min(2 * dim - 1, 12))]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in dedup_embeddings(spark.createDataFrame(rows, SCHEMA), max_dims=100).collect()}
+    assert got == brute(rows, 0.93)
+
+
+def test_labels_and_ids_of_any_kind(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [2.0, 0.0], "x"), ("c", [1.0, 0.0], "y")], "vec_id string, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in dedup_embeddings(df).collect()}
+    assert got == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True)}
