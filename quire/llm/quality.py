@@ -25,16 +25,18 @@ def words(text: Column) -> Column:
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window that occurs twice or more.
 
-    Windows are sorted with their places, so those with an equal neighbour are the repeated ones; the
-    places of these, in order, cover ``least(window, distance)`` new words each. n log n in the words of
-    the text, within its own row.
+    Windows are hashed; only a text whose hashes aren't all distinct goes on. Its hashes are sorted with
+    their places, so those with an equal neighbour are the repeated ones; the places of these, in order,
+    cover ``least(window, distance)`` new words each. n log n in the words of the text, within its own row.
     """
-    found = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.struct(F.xxhash64(F.slice(w, i + 1, window)).alias("h"), i.alias("p")))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(F.slice(w, i + 1, window)))
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     twice = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
     step = lambda acc, p: F.struct((acc["n"] + F.least(F.lit(window), p - acc["last"])).alias("n"), p.alias("last"))
     start = F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last"))
     cover = lambda s: F.aggregate(F.sort_array(F.transform(twice(s), lambda x: x["p"])), start, step, lambda acc: acc["n"])
-    return let(tokens, lambda w: F.when(F.size(w) > window, let(F.sort_array(found(w)), cover)).otherwise(0))
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed(h), cover)).otherwise(0)
+    return let(tokens, lambda w: F.when(F.size(w) > window, let(hashes(w), some)).otherwise(0))
 
 
 def features(docs: DataFrame, text: str = "text") -> dict[str, Column]:
@@ -61,6 +63,8 @@ def judge_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parameters are fitted to all hosts by moments: (failures + a) / (documents + a + b). A host over
     ``max_host_failure`` is rejected with all its documents; ``kept`` is false for these and for documents
     that are base_failed. Null hosts are one host of their own. A null or empty text has no words and fails.
+    Repeated rows are judged alike and each counts for its host; long texts are judged whole, within their
+    row; an empty table gives no rows.
 
     Failures are aggregated per host before the shuffle. Verdicts return by a broadcast where the hosts
     are at most ``broadcast_hosts``, else by a join whose host keys are dealt over ``salts``.
