@@ -118,10 +118,13 @@ def without_comments(text: str) -> str:
     return re.sub(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|/\*.*?(?:\*/|$)""", lambda m: m[1] or " ", text, flags=re.S)
 
 
+_PART = re.compile(r"""(?:[^;"']|"[^"]*"?|'[^']*'?)+""")
+
+
 def declarations(text: str) -> list[tuple[str, str, bool]]:
-    """(property, value, important) in order."""
+    """(property, value, important) in order; semicolons in strings part nothing."""
     out = []
-    for part in re.split(r""";(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", text):
+    for part in _PART.findall(text):
         name, colon, value = part.partition(":")
         value, n = re.subn(r"\s*!\s*important\s*$", "", value.strip(), flags=re.I)
         if colon and name.strip() and value:
@@ -160,12 +163,42 @@ def rules(text: str) -> tuple[list[tuple[str, str]], list[str]]:
     return out, skipped
 
 
+def _tag_defaults() -> dict[str, dict[str, str]]:
+    out: dict[str, dict[str, str]] = {t: {"font-size": v} for t, v in HEADING_SIZES.items()}
+    for tags, name, value in ((BOLD_TAGS, "font-weight", "bold"), (ITALIC_TAGS, "font-style", "italic"), (("pre",), "white-space", "pre"), (("u", "ins"), "text-decoration", "underline"), (("s", "del"), "text-decoration", "line-through")):
+        for t in tags:
+            out.setdefault(t, {})[name] = value
+    return out
+
+
+TAG_DEFAULTS = _tag_defaults()
+#: What a keyword takes a property's value from: the parent, the start of a page, or one of them by property.
+_KEYWORDS = {"inherit": lambda n: True, "initial": lambda n: False, "unset": INHERITED.__contains__}
+
+
+class _Place:
+    """Which compounds of the sheets an element matches (``here``), it or an element above it (``above``)."""
+
+    __slots__ = ("here", "above")
+
+    def __init__(self, here: int, above: int):
+        self.here, self.above = here, above
+
+
 class Cascade:
-    """Computed styles of a tree's elements under its sheets."""
+    """Computed styles of a tree's elements under its sheets.
+
+    The compounds of all selectors are numbered. One pass over the children of an element finds which of
+    them match, as bits, from the bits of the parent and of the siblings before; candidates come from an index
+    by id, class and tag. So matching is linear in the tree, however deep it is and however the selectors
+    are combined."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: list[tuple[Selector, list[tuple[str, str, bool]], int]] = []
         self.warnings: list[str] = []
+        self._compounds: list[tuple[Compound, str | None]] = []  # with the relation to the one before it
+        self._by: dict[str, list[int]] = {}
+        self._last: dict[int, list[tuple[tuple, str, str]]] = {}  # declarations of the selectors that end there
+        self._ends = 0
         order = 0
         for sheet in sheets:
             found, skipped = rules(sheet)
@@ -176,9 +209,19 @@ class Cascade:
                     if selector is None:
                         self.warnings.append(f"unsupported selector {head.strip()}")
                         continue
-                    self.rules.append((selector, self._known(declarations(body)), order))
+                    self._add(selector, self._known(declarations(body)), order)
                     order += 1
-        self._done: dict[int, dict[str, str]] = {}
+        self._places: dict[int, _Place] = {}
+        self._styles: dict[int, dict[str, str]] = {}
+
+    def _add(self, selector: Selector, found: list[tuple[str, str, bool]], order: int) -> None:
+        for k, one in enumerate(selector.compounds):
+            key = f"#{one.ids[0]}" if one.ids else f".{one.classes[0]}" if one.classes else one.tag or "*"
+            self._by.setdefault(key, []).append(len(self._compounds))
+            self._compounds.append((one, selector.relations[k - 1] if k else None))
+        end = len(self._compounds) - 1
+        self._ends |= 1 << end
+        self._last[end] = [((important, False, selector.specificity, order, i), name, value) for i, (name, value, important) in enumerate(found)]
 
     def _known(self, found: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
         out = []
@@ -190,45 +233,69 @@ class Cascade:
                 self.warnings.append(f"unsupported property {name}")
         return out
 
+    def _settle(self, parent) -> None:
+        """Places of all elements right below ``parent``, whose own is known."""
+        over = self._places.get(id(parent)) or _Place(0, 0)
+        previous = before = 0
+        for c in parent.children:
+            if isinstance(c, str):
+                continue
+            keys = ["*", c.tag, *(f".{x}" for x in dict.fromkeys((c.attrs.get("class") or "").split()))]
+            if c.attrs.get("id"):
+                keys.append(f"#{c.attrs['id']}")
+            here = 0
+            for key in keys:
+                for k in self._by.get(key, ()):
+                    one, relation = self._compounds[k]
+                    left = {None: None, " ": over.above, ">": over.here, "+": previous, "~": before}[relation]
+                    if (left is None or left >> (k - 1) & 1) and one.fits(c):
+                        here |= 1 << k
+            self._places[id(c)] = _Place(here, over.above | here)
+            previous, before = here, before | here
+
     def style(self, node) -> dict[str, str]:
         """Important before inline before specificity before order; the later of equals wins."""
-        if id(node) in self._done:
-            return self._done[id(node)]
-        parent = self.style(node.parent) if node.parent is not None and node.parent.tag else dict(INITIAL)
-        base = {k: v for k, v in parent.items() if k in INHERITED}
-        ranked = [((imp, False, s.specificity, o, i), n, v) for s, ds, o in self.rules if s.fits(node) for i, (n, v, imp) in enumerate(ds)]
-        ranked += [((imp, True, (0, 0, 0), 0, i), n, v) for i, (n, v, imp) in enumerate(self._known(declarations(node.attrs.get("style") or "")))]
-        own: dict[str, str] = {}
-        if node.tag in HEADING_SIZES:
-            own["font-size"] = HEADING_SIZES[node.tag]
-        if node.tag in BOLD_TAGS:
-            own["font-weight"] = "bold"
-        if node.tag in ITALIC_TAGS:
-            own["font-style"] = "italic"
-        if node.tag == "pre":
-            own["white-space"] = "pre"
-        if node.tag in ("u", "ins", "s", "del"):
-            own["text-decoration"] = "underline" if node.tag in ("u", "ins") else "line-through"
-        for _, n, v in sorted(ranked, key=lambda r: r[0]):
-            own[n] = v
-        for n, v in own.items():
-            key = v.strip().lower()
-            if key == "inherit" or (key == "unset" and n in INHERITED):
-                value = parent.get(n)
-            elif key in ("initial", "unset"):
-                value = INITIAL.get(n)
-            else:
-                value = v.strip()
-            if value is None:
-                base.pop(n, None)
-            else:
-                base[n] = value
-        if "font-size" in own:
-            base["font-size"] = f"{size_points(base.get('font-size', '12pt'), size_points(parent.get('font-size', '12pt'))):g}pt"
-        if "text-decoration" in parent and "text-decoration" not in own:
-            base["text-decoration"] = parent["text-decoration"]
-        self._done[id(node)] = base
-        return base
+        chain = []
+        while node is not None and node.tag and id(node) not in self._styles:
+            chain.append(node)
+            node = node.parent
+        style = self._styles[id(node)] if node is not None and node.tag else INITIAL
+        for own in reversed(chain):
+            if self._by and own.parent is not None and id(own) not in self._places:
+                self._settle(own.parent)
+            style = self._styles[id(own)] = self._computed(own, style)
+        return style
+
+    def _computed(self, node, parent: dict[str, str]) -> dict[str, str]:
+        best: dict[str, tuple[tuple, str]] = {n: ((), v) for n, v in TAG_DEFAULTS.get(node.tag, {}).items()}
+        declared = [d for k in self._matched(node) for d in self._last[k]]
+        if inline := node.attrs.get("style"):
+            declared += [((important, True, (0, 0, 0), 0, i), n, v) for i, (n, v, important) in enumerate(self._known(declarations(inline)))]
+        for rank, name, value in declared:
+            if name not in best or rank >= best[name][0]:
+                best[name] = rank, value
+        out = {}
+        for name in sorted(KNOWN):
+            if name in best:
+                value = best[name][1].strip()
+                if keyword := _KEYWORDS.get(value.lower()):
+                    value = (parent if keyword(name) else INITIAL).get(name)
+                if name == "font-size":
+                    mine = size_points(parent.get(name, "12pt"))
+                    value = f"{size_points(value or '12pt', mine):g}pt"
+            else:  # a decoration is drawn through what is inside
+                value = parent.get(name) if name in INHERITED or name == "text-decoration" else None
+            if value is not None:
+                out[name] = value
+        return out
+
+    def _matched(self, node):
+        place = self._places.get(id(node))
+        bits = place.here & self._ends if place else 0
+        while bits:
+            low = bits & -bits
+            yield low.bit_length() - 1
+            bits ^= low
 
 
 def size_points(value: str, parent: float = 12.0, root: float = 12.0) -> float:

@@ -10,6 +10,7 @@ import base64
 import hashlib
 import re
 import urllib.parse
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -40,14 +41,33 @@ class Node:
     children: list = field(default_factory=list)
 
     def walk(self):
-        yield self
-        for c in self.children:
-            if not isinstance(c, str):
-                yield from c.walk()
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
     @property
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text for c in self.children)
+        out, stack = [], [self]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                stack.extend(reversed(c.children))
+        return "".join(out)
+
+
+def _through(steps) -> None:
+    """Run a generator that yields the generators it wants run: recursion that nesting can't exhaust."""
+    stack = [steps]
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+        else:
+            stack.append(step)
 
 
 class _Builder(HTMLParser):
@@ -55,6 +75,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.at = self.root
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {}, self.at)
@@ -63,18 +84,22 @@ class _Builder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.at = self.at.parent
+            self.open[tag] -= 1
 
     def handle_endtag(self, tag):
-        up = self.at
-        while up is not None and up.tag != tag:
-            up = up.parent
-        if up is not None and up.parent is not None:
-            self.at = up.parent
+        if self.open[tag] <= 0:
+            return
+        while True:
+            up, self.at = self.at, self.at.parent
+            self.open[up.tag] -= 1
+            if up.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -106,7 +131,9 @@ class Reader:
         self._open: list[dict] | None = None
         self._frame: dict = {}
         self._lists = self._tables = 0
-        self._container(self.root)
+        self._langs: dict[int, str | None] = {}
+        self._shifts: dict[int, str] = {}
+        _through(self._children(self.root, None))
         self._flush()
         self.warnings += [("css", w) for w in self.css.warnings]
 
@@ -139,11 +166,25 @@ class Reader:
             self.runs.append({"pos": pos, "ix": i, "text": r["text"], "link": r["link"], "anchor": r.get("anchor"), **r["style"]})
 
     def _lang(self, node: Node | None) -> str | None:
-        while node is not None:
-            if node.attrs.get("lang"):
-                return node.attrs["lang"]
+        return self._from_above(node, self._langs, lambda n: n.attrs.get("lang") or None, None)
+
+    @staticmethod
+    def _from_above(node: Node | None, known: dict, own, nothing):
+        """The nearest value that an element or one above it has of its own, remembered for each."""
+        chain = []
+        while node is not None and id(node) not in known:
+            chain.append(node)
+            if (value := own(node)) is not None:
+                break
             node = node.parent
-        return None
+        else:
+            value = known[id(node)] if node is not None else nothing
+        known.update(dict.fromkeys(map(id, chain), value))
+        return value
+
+    def _raised(self, node: Node) -> str:
+        own = lambda n: "" if not n.tag or n.tag in PARAGRAPHS else {"sub": "sub", "sup": "super"}.get(n.tag)
+        return self._from_above(node, self._shifts, own, "")
 
     def _say(self, text: str, node: Node, link: str | None) -> None:
         css = self.css.style(node) if node.tag else {}
@@ -160,11 +201,7 @@ class Reader:
                 text = text[1:]
         if not text:
             return
-        shift = css.get("vertical-align", "")
-        up = node
-        while up is not None and up.tag and up.tag not in PARAGRAPHS and not shift:
-            shift = {"sub": "sub", "sup": "super"}.get(up.tag, "")
-            up = up.parent
+        shift = css.get("vertical-align", "") or self._raised(node)
         style = {
             "bold": css.get("font-weight", "normal") in ("bold", "bolder", "600", "700", "800", "900"),
             "italic": css.get("font-style", "normal") in ("italic", "oblique"),
@@ -181,32 +218,31 @@ class Reader:
     def _hidden(self, node: Node) -> bool:
         return node.tag in SKIPPED or "hidden" in node.attrs or (node.tag != "" and self.css.style(node).get("display") == "none")
 
-    def _container(self, node: Node) -> None:
+    def _children(self, node: Node, link: str | None):
         for c in node.children:
-            self._child(c, node, None)
+            if isinstance(c, str):
+                self._say(c, node, link)
+            else:
+                yield self._child(c, link)
 
-    def _child(self, c, node: Node, link: str | None) -> None:
-        if isinstance(c, str):
-            self._say(c, node, link)
-        elif self._hidden(c):
+    def _child(self, c: Node, link: str | None):
+        if self._hidden(c):
             return
         elif c.tag in PARAGRAPHS:
             self._start(c)
             self._anchor(c)
-            for x in c.children:
-                self._child(x, c, link)
+            yield self._children(c, link)
             self._flush()
         elif c.tag in CONTAINERS or c.tag == "":
             self._flush()
-            for x in c.children:
-                self._child(x, c, link)
+            yield self._children(c, link)
             self._flush()
         elif c.tag in LISTS:
             self._flush()
-            self._list(c, 0)
+            yield self._list(c, 0)
         elif c.tag == "table":
             self._flush()
-            self._table(c)
+            yield self._table(c)
         elif c.tag == "br":
             if self._open is not None:
                 self._open.append({"text": "\n", "link": None, "keep": False, "style": _PLAIN})
@@ -224,8 +260,7 @@ class Reader:
             if c.tag in ("math", "svg"):
                 self._say(c.text, c, link)
                 return
-            for x in c.children:
-                self._child(x, c, link)
+            yield self._children(c, link)
 
     def _anchor(self, node: Node) -> None:
         ident = node.attrs.get("id")
@@ -251,7 +286,7 @@ class Reader:
             return
         self.images.append({"pos": len(self.blocks), "resource_id": "html-" + hashlib.sha256(data).hexdigest()[:20], "media_type": m[1].lower(), "size": len(data), "alt": alt})
 
-    def _list(self, node: Node, depth: int) -> None:
+    def _list(self, node: Node, depth: int):
         ident = self._lists
         self._lists += 1
         try:
@@ -270,16 +305,18 @@ class Reader:
                 if not isinstance(c, str) and c.tag in LISTS and not self._hidden(c):
                     self._flush()
                     self._list_gap(first, item, frame)
-                    self._list(c, depth + 1)
+                    yield self._list(c, depth + 1)
                 elif not isinstance(c, str) and c.tag in PARAGRAPHS and not self._hidden(c):
                     self._start(c, **frame)
-                    for x in c.children:
-                        self._child(x, c, None)
+                    yield self._children(c, None)
                     self._flush()
                 else:
                     if self._open is None and (not isinstance(c, str) or c.strip()):
                         self._start(item, **frame)
-                    self._child(c, item, None)
+                    if isinstance(c, str):
+                        self._say(c, item, None)
+                    else:
+                        yield self._child(c, None)
             self._flush()
             self._list_gap(first, item, frame)
 
@@ -289,16 +326,15 @@ class Reader:
             self._start(item, force=True, **frame)
             self._flush()
 
-    def _table(self, node: Node) -> None:
+    def _table(self, node: Node):
         ix = self._tables
         self._tables += 1
         for c in node.children:
             if not isinstance(c, str) and c.tag == "caption":
                 self._start(c)
-                for x in c.children:
-                    self._child(x, c, None)
+                yield self._children(c, None)
                 self._flush()
-        rows = [n for n in node.walk() if n.tag == "tr" and _nearest(n, "table") is node]
+        rows = _rows(node)
         taken: dict[int, int] = {}
         for r, row in enumerate(rows):
             group = row.parent.tag if row.parent and row.parent.tag in ("thead", "tbody", "tfoot") else "tbody"
@@ -311,8 +347,7 @@ class Reader:
                     taken[col + i] = r + high
                 first, held = len(self.blocks), self._open
                 self._open = None
-                for x in cell.children:
-                    self._child(x, cell, None)
+                yield self._children(cell, None)
                 self._flush()
                 self._open = held
                 for b in self.blocks[first:]:
@@ -335,11 +370,15 @@ class Reader:
 _PLAIN = {"bold": False, "italic": False, "underline": False, "shift": None, "color": None, "size": None, "family": None}
 
 
-def _nearest(node: Node, tag: str) -> Node | None:
-    up = node.parent
-    while up is not None and up.tag != tag:
-        up = up.parent
-    return up
+def _rows(table: Node) -> list[Node]:
+    """Rows of a table, not of the tables in it."""
+    out, stack = [], [table]
+    while stack:
+        node = stack.pop()
+        if node.tag == "tr":
+            out.append(node)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and c.tag != "table")
+    return out
 
 
 def metrics(root: Node) -> dict[str, int]:
@@ -347,7 +386,9 @@ def metrics(root: Node) -> dict[str, int]:
     names = {"section": "sections", "p": "paragraphs", "table": "tables", "tr": "rows", "td": "cells", "th": "cells", "img": "images", "math": "formulas", "ul": "lists", "ol": "lists", "li": "items", **{f"h{i}": "headings" for i in range(1, 7)}}
     out = dict.fromkeys([*names.values(), "internal_links", "hyperlinks", "characters", "text_runs"], 0)
 
-    def visit(node: Node, quiet: bool) -> None:
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, quiet = stack.pop()
         if node.tag in names:
             out[names[node.tag]] += 1
         if node.tag == "a" and node.attrs.get("href") is not None:
@@ -355,12 +396,10 @@ def metrics(root: Node) -> dict[str, int]:
         quiet = quiet or node.tag in ("head", "script", "style", "math")
         for c in node.children:
             if not isinstance(c, str):
-                visit(c, quiet)
+                stack.append((c, quiet))
             elif not quiet and c.strip():
                 out["characters"] += len(c)
                 out["text_runs"] += 1
-
-    visit(root, False)
     return out
 
 
@@ -378,7 +417,7 @@ def _ddl(fields) -> str:
     return ", ".join(f"{n}: {_NAMES[t]}" for n, t in fields)
 
 
-def _read(html: str | None, wanted: tuple[str, ...]) -> dict:
+def _parts(html: str | None, wanted: tuple[str, ...]) -> dict:
     if html is None:
         return {w: None for w in wanted}
     if len(html) > MOST_HTML_CHARACTERS:
@@ -400,6 +439,14 @@ def _read(html: str | None, wanted: tuple[str, ...]) -> dict:
     return {w: out.get(w) for w in wanted}
 
 
+def _read(html: str | None, wanted: tuple[str, ...]) -> dict:
+    """The wanted parts; a page that the reader fails on is an issue, not a failed job."""
+    try:
+        return _parts(html, wanted)
+    except Exception as e:
+        return {w: [{"code": "fault", "message": type(e).__name__}] if w == "issues" else None for w in wanted}
+
+
 def read_html(html: Column, *wanted: str) -> Column:
     """A struct of the wanted parts of a document: ``blocks, runs, cells, images, issues, links`` (arrays of
     structs), ``ids`` (array), ``title``, ``lang``, ``metrics`` (map). Null gives nulls. What isn't wanted

@@ -1,4 +1,5 @@
 import base64
+import time
 
 import pytest
 
@@ -88,3 +89,51 @@ def test_metrics_and_columns(spark):
     rows = {r.id: r.d for r in df.select("id", read_html(df.html, "title", "ids", "metrics", "blocks").alias("d")).collect()}
     assert rows[1].title == "T" and rows[1].ids == ["top1"] and len(rows[1].blocks) > 10
     assert rows[2].title is None and rows[2].blocks is None and rows[3].blocks == []
+
+
+@pytest.mark.parametrize("tag", ["b", "div", "p", "ul", "span", "x-y", "a href='#t'", "sup"])
+def test_deep_nesting(tag):
+    name = tag.split()[0]
+    html = "<style>b b{color:red} * > div{color:blue} x-y ~ p{color:green}</style>" + f"<{tag}>" * 100_000 + "deep" + f"</{name}>" * 50_000 + "</i>" * 50_000 + " after"
+    began = time.perf_counter()
+    r = Reader(html)
+    assert "".join(b["text"] for b in r.blocks).split() in (["deep", "after"], ["deepafter"], []) and metrics(r.root)["characters"] > 8
+    assert time.perf_counter() - began < 60
+
+
+def test_a_reader_that_fails_is_an_issue(spark, monkeypatch):
+    nested = "<ul><li>" * 3000 + "x"
+    df = spark.createDataFrame([(1, nested), (2, "<p>fine</p>")], "id long, html string")
+    rows = {r.id: r.d for r in df.select("id", read_html(df.html, "blocks", "issues").alias("d")).collect()}
+    assert rows[2].blocks[0].text == "fine" and len(rows[1].blocks) >= 1
+    monkeypatch.setattr("quire.sources.html.Reader", lambda h: 1 / 0)
+    from quire.sources.html import _read
+
+    assert _read("<p>x</p>", ("blocks", "issues")) == {"blocks": None, "issues": [{"code": "fault", "message": "ZeroDivisionError"}]}
+
+
+def test_bits_agree_with_trying_every_selector():
+    import random
+
+    draw = random.Random(3)
+    tags, classes = ["div", "p", "b"], ["x", "y"]
+    for _ in range(30):
+        html, opened = "", []
+        for _ in range(60):
+            if opened and draw.random() < 0.45:
+                html += f"</{opened.pop()}>"
+            else:
+                t = draw.choice(tags)
+                ident = f' id="i{draw.randrange(4)}"' if draw.random() < 0.2 else ""
+                html += f'<{t} class="{" ".join(draw.sample(classes, draw.randint(0, 2)))}"{ident}>t'
+                opened.append(t)
+        root = parse(html)
+        one = lambda: draw.choice(["div", "p", "b", ".x", ".y", "*", "#i1", "p.x", "b:first-child", "[class~=y]", "p:last-child"])
+        heads = [one() + "".join(draw.choice([" ", ">", "+", "~"]) + one() for _ in range(draw.randint(0, 3))) for _ in range(12)]
+        cascade = Cascade([f"{h}{{color:c{i}}}" for i, h in enumerate(heads)])
+        selectors = [parse_selector(h) for h in heads]
+        for n in root.walk():
+            if n.tag:
+                cascade.style(n)
+                got = {cascade._last[k][0][2] for k in cascade._matched(n)}
+                assert got == {f"c{i}" for i, s in enumerate(selectors) if s.fits(n)}
