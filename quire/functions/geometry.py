@@ -82,8 +82,8 @@ def horizontal_overlap(a: Box, b: Box) -> Column:
 
 
 def vertical_distance(a: Box, b: Box) -> Column:
-    """0 where they overlap vertically."""
-    return F.greatest(F.lit(0.0), a.y0 - b.y1, b.y0 - a.y1)
+    """The smaller distance from the one's top to the other's bottom, whether they overlap or not."""
+    return F.least(F.abs(a.y0 - b.y1), F.abs(b.y0 - a.y1))
 
 
 def contains(outer: Box, inner: Box) -> Column:

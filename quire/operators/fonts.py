@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import font_class, font_family_key
 
 
-def resolve_fonts(usages: DataFrame, faces: DataFrame) -> DataFrame:
+def resolve_fonts(usages: DataFrame, faces: DataFrame, max_broadcast: int = 20_000) -> DataFrame:
     """Add ``face_family, face_path, exact, distance, n_missing`` to usages (usage_id, family, bold, italic,
     characters array<int>).
 
@@ -17,30 +17,41 @@ def resolve_fonts(usages: DataFrame, faces: DataFrame) -> DataFrame:
     |width - 5| / 8 + .35 for another slant + .45 for another class + min(2, missing / distinct
     characters); ties go by family, then path. Without faces the distance is 1.
 
-    Faces are a catalogue: usages are reduced to their distinct family, weight, slant and class before they
-    meet it, and glyphs are only compared with those characters.
+    Usages are reduced to their distinct requests (family, weight, slant and characters) before they meet any
+    face, and the answer returns to them by the request. Faces are a catalogue: it is broadcast where it has
+    at most ``max_broadcast`` faces; a larger one meets the requests without a family of their own by class.
+    Null flags count as false, null characters as none.
     """
-    u = usages.withColumn("_key", font_family_key(F.col("family"))).withColumn("_class", font_class(F.col("family")))
-    f = faces.select(F.col("family").alias("face_family"), F.col("path").alias("face_path"), "weight", F.col("italic").alias("face_italic"), "width_class", "glyphs").withColumn("_fkey", font_family_key(F.col("face_family"))).withColumn("_fclass", font_class(F.col("face_family")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    asked = usages.withColumn("_request", F.struct(font_family_key(F.col("family")).alias("key"), font_class(F.col("family")).alias("kind"), flag("bold").alias("bold"), flag("italic").alias("italic"), F.array_sort(F.array_distinct(F.coalesce(F.col("characters").cast("array<int>"), F.array().cast("array<int>")))).alias("chars")))
+    requests = asked.select("_request").distinct().withColumn("_key", F.coalesce("_request.key", F.lit("")))
+    f = faces.select(F.col("family").alias("face_family"), F.col("path").alias("face_path"), "weight", F.col("italic").alias("face_italic"), "width_class", "glyphs").withColumn("_fkey", F.coalesce(font_family_key(F.col("face_family")), F.lit(""))).withColumn("_fclass", font_class(F.col("face_family")))
     known = f.select(F.col("_fkey").alias("_key")).distinct()
-    own = u.join(known, "_key", "left_semi")
+    few = faces.limit(max_broadcast + 1).count() <= max_broadcast
+    own = requests.join(known, "_key", "left_semi")
     exact = own.join(f, own["_key"] == f["_fkey"]).withColumn("exact", F.lit(True))
-    rest = u.join(known, "_key", "left_anti").withColumn("_any", F.lit(1))
-    other = rest.join(f.withColumn("_any", F.lit(1)), "_any").drop("_any").withColumn("exact", F.lit(False))
-    pairs = exact.unionByName(other)
-    chars = F.array_distinct("characters")
+    rest = requests.join(known, "_key", "left_anti")
+    other = rest.join(F.broadcast(f), F.lit(True)) if few else _by_class(rest, f)
+    pairs = exact.unionByName(other.withColumn("exact", F.lit(False)))
+    chars = F.col("_request.chars")
     missing = F.size(F.array_except(chars, "glyphs"))
     distance = (
-        F.abs(F.col("weight") - F.when(F.col("bold"), 700).otherwise(400)) / 500
+        F.abs(F.col("weight") - F.when(F.col("_request.bold"), 700).otherwise(400)) / 500
         + F.abs(F.col("width_class") - 5) / 8
-        + F.when(F.col("italic") != F.col("face_italic"), 0.35).otherwise(0.0)
-        + F.when(F.col("_class") != F.col("_fclass"), 0.45).otherwise(0.0)
+        + F.when(F.col("_request.italic") != F.col("face_italic"), 0.35).otherwise(0.0)
+        + F.when(F.col("_request.kind") != F.col("_fclass"), 0.45).otherwise(0.0)
         + F.least(F.lit(2.0), F.when(F.size(chars) > 0, missing / F.size(chars)).otherwise(0.0))
     )
     pairs = pairs.withColumns({"distance": F.round(distance, 9), "n_missing": missing})
-    best = pairs.groupBy("usage_id").agg(F.min_by(F.struct("face_family", "face_path", "exact", "distance", "n_missing"), F.struct("distance", "_fkey", F.lower("face_path").alias("p"))).alias("_b"))
-    out = usages.join(best, "usage_id", "left").select(usages["*"], "_b.face_family", "_b.face_path", F.coalesce("_b.exact", F.lit(False)).alias("exact"), F.coalesce("_b.distance", F.lit(1.0)).alias("distance"), "_b.n_missing")
-    return out
+    best = pairs.groupBy("_request").agg(F.min_by(F.struct("face_family", "face_path", "exact", "distance", "n_missing"), F.struct("distance", "_fkey", F.lower("face_path").alias("p"))).alias("_b"))
+    out = asked.join(best.withColumnRenamed("_request", "_asked"), F.col("_request") == F.col("_asked"), "left")
+    return out.select(*usages.columns, "_b.face_family", "_b.face_path", F.coalesce("_b.exact", F.lit(False)).alias("exact"), F.coalesce("_b.distance", F.lit(1.0)).alias("distance"), "_b.n_missing")
+
+
+def _by_class(requests: DataFrame, faces: DataFrame) -> DataFrame:
+    """All pairs, met by the faces' class: a request goes to each class that there is, and Spark may split a class."""
+    classes = faces.select("_fclass").distinct()
+    return requests.join(F.broadcast(classes), F.lit(True)).join(faces, "_fclass")
 
 
 def resolution_report(resolved: DataFrame) -> DataFrame:

@@ -9,61 +9,99 @@ from quire.plans.components import connected_components
 from quire.plans.scratch import Scratch
 
 
-def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, node, depth) of all nodes that roots reach, with the least number of edges. Edges: (by, src, dst).
 
-    A breadth-first search: each round joins the frontier with the edges and keeps what is new, so cycles
-    end by themselves, and the driver learns only whether a frontier is empty."""
+    A breadth-first search: each round joins the frontier with the edges and keeps what no earlier frontier
+    has, so cycles end by themselves, and the driver learns only whether a frontier is empty. Frontiers are
+    tables of their own; as soon as the last ones are as large as the one before them they become one, so a
+    node is written again a logarithmic number of times, however many rounds there are."""
     by = by or []
     scratch = Scratch(edges.sparkSession, "reachable")
     hop = scratch.keep(edges.select(*by, F.col("src").alias("node"), F.col("dst")).distinct())
-    seen = scratch.keep(roots.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_rounds + 1):
-        new = front.join(hop, [*by, "node"]).select(*by, F.col("dst").alias("node")).distinct().join(seen, [*by, "node"], "left_anti")
+    front = scratch.keep(roots.select(*by, "node").distinct().withColumn("depth", F.lit(0)))
+    levels = [(front, front.count())]
+    depth = 0
+    while levels[-1][1]:
+        depth += 1
+        new = front.join(hop, [*by, "node"]).select(*by, F.col("dst").alias("node")).distinct()
+        for level, _ in levels:
+            new = new.join(level, [*by, "node"], "left_anti")
         front = scratch.keep(new.withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return seen
-        seen = scratch.keep(seen.unionByName(front))
-    raise ValueError(f"more than {max_rounds} levels")
+        levels.append((front, front.count()))
+        if not levels[-1][1]:
+            break
+        while len(levels) > 1 and levels[-1][1] >= levels[-2][1]:
+            (a, n), (b, m) = levels[-2:]
+            levels[-2:] = [(scratch.keep(a.unionByName(b)), n + m)]
+    out = levels[0][0]
+    for level, _ in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, by: list[str], max_depth: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame, node: str, parent: str, by: list[str]) -> DataFrame:
     """(by, node, ancestor, depth): each node itself at depth 0, its parent at 1, and so on. A chain ends
-    before a node that it has met; chains over ``max_depth`` end there. By doubling: log(depth) joins."""
+    before a node that it has met, and before a parent that isn't a node. Chains have any length: in each
+    round the ancestors up to a distance are joined to the one ancestor at just that distance, which doubles
+    it, so a pair is made once."""
     scratch = Scratch(nodes.sparkSession, "ancestors")
-    up = nodes.where(F.col(parent).isNotNull()).select(*by, F.col(node).alias("node"), F.col(parent).alias("ancestor"))
-    known = nodes.select(*by, F.col(node).alias("ancestor"))
-    hops = scratch.keep(up.join(known, [*by, "ancestor"], "left_semi").select(*by, "node", "ancestor", F.lit(1).alias("depth")))
-    have, reach = hops, 1
-    while reach < max_depth:
-        far = have.alias("a").join(have.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by] + [F.col("a.ancestor") == F.col("b.node")])
-        far = far.select(*[F.col(f"a.{k}").alias(k) for k in by], F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = have.unionByName(far).where((F.col("node") != F.col("ancestor")) & (F.col("depth") <= max_depth))
-        grown = scratch.keep(grown.groupBy(*by, "node", "ancestor").agg(F.min("depth").alias("depth")))
-        if grown.count() == have.count():
-            break
-        have, reach = grown, 2 * reach
+    hops = _hops(nodes, node, parent, by, scratch)
+    have = scratch.keep(hops.select(*by, "node", F.col("up").alias("ancestor"), F.lit(1).alias("depth")).where("node <> ancestor"))
+    jump, reach, n = hops, 1, have.count()
+    while n:
+        at = jump.select(*by, F.col("node").alias("_n"), F.col("up").alias("node"))
+        far = at.join(have, [*by, "node"]).select(*by, F.col("_n").alias("node"), "ancestor", (F.col("depth") + reach).alias("depth")).where("node <> ancestor")
+        grown = scratch.keep(have.unionByName(far).groupBy(*by, "node", "ancestor").agg(F.min("depth").alias("depth")))
+        more = grown.count()
+        jump, reach = scratch.keep(_twice(jump, by)), 2 * reach
+        have, n = grown, more if more > n else 0
     own = nodes.select(*by, F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
     return own.unionByName(have)
 
 
+def _hops(nodes: DataFrame, node: str, parent: str, by: list[str], scratch: Scratch) -> DataFrame:
+    """(by, node, up) of the nodes whose parent is a node."""
+    up = nodes.where(F.col(parent).isNotNull()).select(*by, F.col(node).alias("node"), F.col(parent).alias("up"))
+    return scratch.keep(up.join(nodes.select(*by, F.col(node).alias("up")), [*by, "up"], "left_semi").select(*by, "node", "up"))
+
+
+def _twice(jump: DataFrame, by: list[str]) -> DataFrame:
+    on = jump.select(*by, F.col("node").alias("up"), F.col("up").alias("_up"))
+    return jump.join(on, [*by, "up"]).select(*by, "node", F.col("_up").alias("up"))
+
+
+def _nearest(nodes: DataFrame, node: str, parent: str, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """(by, node, values): each value from the nearest node on the chain where it isn't null.
+
+    Pointer doubling: what a node lacks it takes from the node it points to, and then points where that one
+    points. A row a node and round; the rounds are the logarithm of the longest chain. In a cycle a pointer
+    comes round, and ends when it can have met every node."""
+    scratch = Scratch(nodes.sparkSession, "nearest")
+    hops = _hops(nodes, node, parent, by, scratch)
+    own = nodes.select(*by, F.col(node).alias("node"), *[v.alias(n) for n, v in values.items()])
+    state = scratch.keep(own.join(hops, [*by, "node"], "left"))
+    longest = state.groupBy(*by).count().agg(F.max("count")).first()[0] if by else state.count()
+    met = 1
+    lacking = F.array_contains(F.array(*[F.col(n).isNull() for n in values]), True)
+    while met < (longest or 0) and not state.where(F.col("up").isNotNull() & lacking).isEmpty():
+        there = state.select(*by, F.col("node").alias("up"), F.col("up").alias("_up"), *[F.col(n).alias(f"_{i}") for i, n in enumerate(values)])
+        state = scratch.keep(state.join(there, [*by, "up"], "left").select(*by, "node", F.col("_up").alias("up"), *[F.coalesce(n, f"_{i}").alias(n) for i, n in enumerate(values)]))
+        met *= 2
+    return state.drop("up")
+
+
 def inherited(nodes: DataFrame, node: str, parent: str, by: list[str], values: list[str]) -> DataFrame:
     """(by, node, values): each value from the nearest node on the chain that declares it; null if none does."""
-    chain = ancestors(nodes, node, parent, by)
-    own = nodes.select(*by, F.col(node).alias("ancestor"), *values)
-    nearest = [F.min_by(v, F.when(F.col(v).isNotNull(), F.col("depth"))).alias(v) for v in values]
-    return chain.join(own, [*by, "ancestor"]).groupBy(*by, "node").agg(*nearest)
+    return _nearest(nodes, node, parent, by, {v: F.col(v) for v in values})
 
 
 def effective_or_unresolved(nodes: DataFrame, node: str, parent: str, by: list[str], value: str, unresolved: str) -> DataFrame:
     """(by, node, value): as ``inherited``, but a nearer declaration that is unresolved leaves null."""
-    chain = ancestors(nodes, node, parent, by)
-    own = nodes.select(*by, F.col(node).alias("ancestor"), value, unresolved)
-    declared = chain.join(own, [*by, "ancestor"]).where(F.col(value).isNotNull() | F.col(unresolved))
-    first = declared.groupBy(*by, "node").agg(F.min_by(F.struct(value, unresolved), F.col("depth")).alias("_f"))
-    out = nodes.select(*by, F.col(node).alias("node")).join(first, [*by, "node"], "left")
-    return out.select(*by, "node", F.when(~F.coalesce(F.col("_f")[unresolved], F.lit(False)), F.col("_f")[value]).alias(value))
+    bad = F.coalesce(F.col(unresolved), F.lit(False))
+    declared = F.when(F.col(value).isNotNull() | bad, F.struct(F.col(value).alias("v"), bad.alias("bad")))
+    out = _nearest(nodes, node, parent, by, {"_f": declared})
+    return out.select(*by, "node", F.when(~F.coalesce(F.col("_f.bad"), F.lit(False)), F.col("_f.v")).alias(value))
 
 
 def cyclic_nodes(nodes: DataFrame, node: str, parent: str, by: list[str]) -> DataFrame:

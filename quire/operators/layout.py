@@ -15,10 +15,12 @@ from quire.functions.text import repeat_key
 
 PAGE = ["doc_id", "page"]
 #: What a caption begins with, and what mathematics looks like.
-CAPTION = r"(?iu)^\s*(fig(ure|\.)?|table|tab\.|рис(унок|\.)?|табл(ица|\.)?)\s*[-–—:]?\s*\d+"
-OPERATORS = r"[+\-*/<>≤≥±×÷·∑∏∫√∂∇∞≈≠→←^_]"
-MATH_CHARACTER = r"[=+\-*/<>≤≥±×÷·∑∏∫√∂∇∞≈≠→←^_α-ωΑ-Ω]"
-MATH_FONT = r"(?i)math|symbol|cmmi|cmsy|cmex|stix"
+CAPTION = r"(?iu)^\s*(fig(ure)?\.?|table|рис(унок)?\.?|табл(ица)?\.?|схема|диаграмма)\s*[-–—:]?\s*\d+"
+OPERATORS = r"[∫∑∏√∞]"
+MATH_CHARACTER = r"[=+\-−×÷±∓∫∑∏√≤≥≈≠∞^_²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉∂∆∇]"
+MATH_FONT = r"(?i)math|symbol|stix|cmr|cmsy"
+#: What Unicode counts as letters and digits, numeric signs too.
+ALPHANUMERIC = r"[\p{L}\p{N}]"
 
 
 def running_content(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -33,14 +35,14 @@ def running_content(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def formula_score(text: Column, fonts: Column | None = None, n_lines: Column | None = None) -> Column:
-    """Evidence from 0 to 1 that a block is a formula: an equals sign .45, an operator .35, two or more
-    mathematical characters at a density of .08 .25, a mathematical font .35, at most 120 characters .05.
-    Empty texts, over 240 characters and over three lines score 0."""
+    """Evidence from 0 to 1 that a block is a formula: an equals sign .45, a large operator .35, two or more
+    mathematical characters, and .08 or more for each letter or digit, .25, a mathematical font .35, at most
+    120 characters .05. Empty texts, over 240 characters and over three lines score 0."""
     t = F.trim(F.coalesce(text, F.lit("")))
     n = F.length(t)
     math = F.regexp_count(t, F.lit(MATH_CHARACTER))
     score = F.when(F.contains(t, F.lit("=")), 0.45).otherwise(0.0) + F.when(t.rlike(OPERATORS), 0.35).otherwise(0.0)
-    score += F.when((math >= 2) & (math / F.greatest(n, F.lit(1)) >= 0.08), 0.25).otherwise(0.0)
+    score += F.when((math >= 2) & (math / F.greatest(F.regexp_count(t, F.lit(ALPHANUMERIC)), F.lit(1)) >= 0.08), 0.25).otherwise(0.0)
     if fonts is not None:
         score += F.when(F.exists(fonts, lambda f: f.rlike(MATH_FONT)), 0.35).otherwise(0.0)
     score += F.when(n <= 120, 0.05).otherwise(0.0)
@@ -65,14 +67,14 @@ def gutters(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, gutter_left, gutter_right) of two-column pages.
 
     Of the blocks up to 62 % of the page wide, in the order of their centers, the widest gap between
-    neighbours (the first of equals) parts them if it is at least max(24, 8 %), both sides overlap
+    neighbours (the last of equals) parts them if it is at least max(24, 8 %), both sides overlap
     vertically, and the space between them is at least max(8, 2 %)."""
     p = pages.select(*PAGE, "width")
     narrow = blocks.join(p, PAGE).where((F.col("x1") - F.col("x0")) <= 0.62 * F.col("width")).withColumn("_c", (F.col("x0") + F.col("x1")) / 2)
     w = Window.partitionBy(*PAGE).orderBy("_c", "number")
     steps = narrow.withColumn("_rank", F.row_number().over(w)).withColumn("_gap", F.lead("_c").over(w) - F.col("_c"))
-    widest = steps.where("_gap IS NOT NULL").groupBy(*PAGE).agg(F.max(F.struct("_gap", (-F.col("_rank")).alias("_at"))).alias("_b"))
-    widest = widest.select(*PAGE, F.col("_b._gap").alias("_wide"), (-F.col("_b._at")).alias("_cut"))
+    widest = steps.where("_gap IS NOT NULL").groupBy(*PAGE).agg(F.max(F.struct("_gap", F.col("_rank").alias("_at"))).alias("_b"))
+    widest = widest.select(*PAGE, F.col("_b._gap").alias("_wide"), F.col("_b._at").alias("_cut"))
     sides = steps.join(widest, PAGE).where(F.col("_wide") >= F.greatest(F.lit(24.0), 0.08 * F.col("width")))
     left = F.col("_rank") <= F.col("_cut")
     pick = lambda c, side, f: f(F.when(side, F.col(c)))
@@ -89,7 +91,9 @@ def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``column`` (null for blocks across the gutter), ``column_count`` and ``position`` (from 1).
 
     A block across the gutter is a barrier: what begins strictly above it comes first, the left column
-    before the right one, each by (y0, x0, number). Pages without a gutter are one column in that order."""
+    before the right one, each by (y0, x0, number). Pages without a gutter are one column in that order.
+    Blocks without text are left out, from the gutter's finding too."""
+    blocks = blocks.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
     g = blocks.join(gutters(blocks, pages), PAGE, "left")
     two = F.col("gutter_left").isNotNull()
     spans = two & (F.col("x0") < F.col("gutter_left")) & (F.col("x1") > F.col("gutter_right"))

@@ -286,25 +286,125 @@ def token_table(docs: DataFrame, row_id: str, source: str = "source") -> DataFra
     return docs.select(row_id, F.posexplode(found).alias("ix", "_t")).select(row_id, "ix", "_t.*")
 
 
-#: Commands that a formula may use besides letters and signs.
-MATH_COMMANDS = frozenset("frac sqrt sum prod int lim sin cos tan log ln exp alpha beta gamma delta epsilon theta lambda mu pi sigma phi omega Gamma Delta Theta Lambda Pi Sigma Phi Omega infty partial nabla cdot times leq geq neq approx equiv to rightarrow leftarrow in subset cup cap left right text mathrm mathbf overline hat bar vec ldots cdots quad".split())
+#: Commands with their number of braced arguments, symbols, environments, delimiters and limits of formulas.
+MATH_ARGUMENTS = dict.fromkeys("frac dfrac tfrac binom dbinom tbinom overset underset".split(), 2) | dict.fromkeys(
+    "sqrt mathrm mathbf mathit mathsf mathtt mathcal mathbb mathfrak text operatorname overline underline hat widehat bar vec dot ddot tilde widetilde overbrace underbrace boxed phantom".split(), 1
+)
+MATH_SYMBOLS = frozenset(
+    """alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi varpi rho varrho sigma varsigma tau upsilon phi varphi chi psi omega
+    Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega sum prod coprod int iint iiint oint lim min max sup inf sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh
+    log ln exp det gcd Pr dim ker hom arg deg infty partial nabla ell hbar imath jmath Re Im emptyset forall exists neg in notin ni subset supset subseteq supseteq cup cap setminus
+    land lor le leq ge geq ne neq approx sim simeq equiv cong propto pm mp times div cdot circ ast star to mapsto rightarrow leftarrow leftrightarrow Rightarrow Leftarrow Leftrightarrow
+    uparrow downarrow ldots cdots vdots ddots dots langle rangle lvert rvert lVert rVert vert Vert lbrace rbrace quad qquad limits nolimits
+    displaystyle textstyle scriptstyle scriptscriptstyle""".split()
+)
+MATH_ENVIRONMENTS = frozenset("matrix pmatrix bmatrix Bmatrix vmatrix Vmatrix smallmatrix cases aligned gathered".split())
+MATH_DELIMITERS = frozenset([*".()[]|{}", *"langle rangle lvert rvert lVert rVert vert Vert".split()])
+MATH_ESCAPES = frozenset(",;:! {}%_&$#")
+MOST_FORMULA, MOST_GROUPS, MOST_SCOPES = 65_536, 64, 16
+
+
+class _Formula:
+    """One pass with a stack of what is open: groups, environments and scalable delimiters must close in
+    the order they opened in. ``wanted`` holds, per depth, how many braced arguments the last command lacks."""
+
+    def __init__(self, value: str):
+        self.parts = [t for t in tokens(value) if not (t[0] == "text" and not t[1].strip())]
+        self.open: list[tuple[str, str]] = []
+        self.wanted = [0]
+        self.i = 0
 
+    def fault(self) -> str | None:
+        while self.i < len(self.parts):
+            kind, value, _, _ = self.parts[self.i]
+            self.i += 1
+            if self.wanted[-1] and (kind, value) != ("symbol", "{"):
+                return "missing-argument"
+            found = getattr(self, f"_{kind}", self._other)(value)
+            if found:
+                return found
+        if self.open:
+            return "unbalanced"
+        return "missing-argument" if self.wanted[-1] else None
+
+    def _other(self, value: str) -> str | None:
+        return None
 
-def math_fault(value: str | None) -> str | None:
-    """None for a formula of known commands with balanced groups."""
-    depth = 0
-    for kind, token, _, _ in tokens(value or ""):
-        if kind == "symbol" and token in "{}":
-            depth += 1 if token == "{" else -1
-            if depth < 0:
-                return "unbalanced"
-        elif kind == "symbol" and token in "$#":
+    def _paragraph(self, value: str) -> str:
+        return "paragraph"
+
+    def _text(self, value: str) -> str | None:
+        return "not-ascii" if any(ord(c) > 126 for c in value) else None
+
+    def _symbol(self, value: str) -> str | None:
+        if value in "$#~" or (value == "&" and not any(k == "environment" for k, _ in self.open)):
             return "bad-symbol"
-        elif kind == "paragraph":
-            return "paragraph"
-        elif kind == "command" and token.isalpha() and token not in MATH_COMMANDS:
-            return f"unknown {token}"
-    return "unbalanced" if depth else None
+        if value == "{":
+            if self.wanted[-1]:
+                self.wanted[-1] -= 1
+            self.open.append(("group", ""))
+            self.wanted.append(0)
+            return "too-deep" if sum(k == "group" for k, _ in self.open) > MOST_GROUPS else None
+        if value == "}":
+            return self._close("group", "")
+        return None
+
+    def _close(self, kind: str, name: str) -> str | None:
+        if not self.open or self.open.pop() != (kind, name):
+            return "unbalanced"
+        return "missing-argument" if self.wanted.pop() else None
+
+    def _command(self, name: str) -> str | None:
+        if name in ("begin", "end"):
+            inner = [v for _, v, _, _ in self.parts[self.i : self.i + 3]]
+            if len(inner) < 3 or inner[0] != "{" or inner[2] != "}" or inner[1] not in MATH_ENVIRONMENTS:
+                return "bad-environment"
+            self.i += 3
+            if name == "end":
+                return self._close("environment", inner[1])
+            self.open.append(("environment", inner[1]))
+            self.wanted.append(0)
+            return "too-deep" if sum(k == "environment" for k, _ in self.open) > MOST_SCOPES else None
+        if name in ("left", "right"):
+            return self._scaled(name)
+        if name == "\\":
+            return None if any(k == "environment" for k, _ in self.open) else "bad-row"
+        if name in MATH_ARGUMENTS:
+            if name == "sqrt":
+                self._root()
+            self.wanted[-1] = MATH_ARGUMENTS[name]
+            return None
+        return None if name in MATH_SYMBOLS or name in MATH_ESCAPES else f"unknown {name}"
+
+    def _scaled(self, name: str) -> str | None:
+        kind, value = self.parts[self.i][:2] if self.i < len(self.parts) else ("", "")
+        value = value.lstrip()[:1] if kind == "text" else value
+        if value not in MATH_DELIMITERS:
+            return "bad-delimiter"
+        if kind != "text":
+            self.i += 1
+        if name == "right":
+            return self._close("left", "")
+        self.open.append(("left", ""))
+        self.wanted.append(0)
+        return None
+
+    def _root(self) -> None:
+        """Over the optional degree of a root."""
+        if self.i < len(self.parts) and self.parts[self.i][1].lstrip().startswith("["):
+            while self.i < len(self.parts) and "]" not in self.parts[self.i][1]:
+                self.i += 1
+            self.i += 1
+
+
+def math_fault(value: str | None) -> str | None:
+    """None for a formula of the known commands, with balanced scopes and all arguments in braces."""
+    value = value or ""
+    if not value.strip() or len(value) > MOST_FORMULA or "^^" in value or any(ord(c) < 32 and c not in "\n\r\t" or ord(c) == 127 for c in value):
+        return "bad-source"
+    if re.search(r"(?<!\\)%[^\n]*$", value):
+        return "open-comment"
+    return _Formula(value).fault()
 
 
 def check_math(value: Column) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.sources.registry import Registry, default_registry
 
@@ -41,14 +37,8 @@ def sessions(events: DataFrame, time: str, by: list[str], gap: str = "30 minutes
 
 
 def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, total, largest) updated with every trigger; the state is three numbers a key."""
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, largest = state.get if state.exists else (0, 0.0, float("-inf"))
-        for b in batches:
-            n, total, largest = n + len(b), total + float(b[value].sum()), max(largest, float(b[value].max()))
-        state.update((n, total, largest))
-        yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total], "largest": [largest]})
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, n long, total double, largest double", "n long, total double, largest double", "update", GroupStateTimeout.NoTimeout)
+    """(key, n, total, largest), in update mode again with every trigger that brings rows of the key: plain
+    aggregates, whose state is a few numbers a key. Nulls count as rows and add nothing; a key that only has
+    nulls has a total of 0 and no largest value."""
+    v = F.col(value).cast("double")
+    return events.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.max(v).alias("largest"))
