@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def place_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """Add ``grid_col`` to cells (row_ix, cell_ix, row_span, col_span): a cell moves right past columns that a
-    cell of an earlier row still holds. A table is one group: its occupancy is a state of its rows."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row_ix", "cell_ix"])
+    cell of an earlier row still holds. A table's cells are one array: occupancy is a state of its rows; many
+    tables are worked on in a batch."""
+    rest = [c for c in cells.columns if c not in (*by, "row_ix", "cell_ix", "grid_col")]
+    whole = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("row_ix", "cell_ix", *rest))).alias("_c"))
+    part = lambda n: F.transform("_c", lambda c: c[n].cast("int"))
+    placed = whole.withColumn("_g", F.arrow_udf(_columns_of, "array<int>")(part("row_ix"), part("row_span"), part("col_span")))
+    out = placed.select(*by, F.explode(F.arrays_zip("_c", "_g")).alias("_x"))
+    return out.select(*[c if c in by else F.col("_x._c")[c].alias(c) for c in cells.columns if c != "grid_col"], F.col("_x._g").alias("grid_col"))
+
+
+def _columns_of(rows: pa.Array, high: pa.Array, wide: pa.Array) -> pa.Array:
+    """The column of each cell of each table, from their rows and spans in order."""
+    found = []
+    for table in zip(rows.to_pylist(), high.to_pylist(), wide.to_pylist(), strict=True):
         until: dict[int, int] = {}
         at, row, out = 0, None, []
-        for r, high, wide in zip(rows.row_ix, rows.row_span, rows.col_span, strict=True):
+        for r, h, w in zip(*table, strict=True):
             if r != row:
                 row, at = r, 0
-            while any(until.get(at + i, 0) > r for i in range(wide)):
+            while any(until.get(at + i, 0) > r for i in range(w)):
                 at += 1
-            for i in range(wide):
-                until[at + i] = r + high
+            until.update(dict.fromkeys(range(at, at + w), r + h))
             out.append(at)
-            at += wide
-        return rows.assign(grid_col=pd.Series(out, index=rows.index, dtype="int32"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name != "grid_col") + ", grid_col int"
-    return cells.drop("grid_col").groupBy(*by).applyInPandas(run, schema)
+            at += w
+        found.append(out)
+    return pa.array(found, pa.list_(pa.int32()))
 
 
 def merge_down(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -347,26 +347,34 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html")
 
 
-@query()
+_BLOCKS = r"""body AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->', '', 'g'), '</?(a|b|br)( [^>]*)?>', '', 'g') AS b FROM pages),
+seg AS (SELECT page_id, lang, i, regexp_extract(segs[i], '^<([a-z0-9]+)', 1) AS el, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(segs[i], '^<[^>]*>', ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, lang, segs, unnest(range(1, len(segs) + 1)) AS i FROM (SELECT page_id, lang, regexp_extract_all(b, '<(?:li|div|h1|p|footer)\b[^>]*>[^<]+') AS segs FROM body))),
+blk AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, CASE WHEN el IN ('div', 'footer') THEN '' ELSE el END AS tag FROM seg WHERE text <> '')"""
+
+
+@query(rf"""WITH {_BLOCKS}, k AS (SELECT *, regexp_replace(lower(text), '\b[0-9]+\b', '#', 'g') AS key FROM blk), r AS (SELECT key FROM k GROUP BY key HAVING count(DISTINCT page_id) >= greatest(2, 0.5 * (SELECT count(DISTINCT page_id) FROM k)))
+SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS plain FROM k WHERE key NOT IN (SELECT key FROM r) GROUP BY page_id""")
 def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's text without blocks that half of all pages have, numbers aside."""
     found = Scratch(spark, "pages").keep(pages.blocks(_pages(spark, sf_dir), "page_id").select("page_id", "pos", "text"))
     return pages.plain_text(pages.without_boilerplate(found, pages.boilerplate(found, "page_id")), "page_id")
 
 
-@query()
+@query(rf"""WITH {_BLOCKS} SELECT page_id, pos, 'paragraph' AS kind, tag, (tag = 'h1')::INT AS level, text, NULL::VARCHAR AS align, lang, CASE WHEN tag = 'li' THEN 0 END AS list_id, CASE WHEN tag = 'li' THEN 0 END AS list_level,
+  CASE WHEN tag = 'li' THEN row_number() OVER (PARTITION BY page_id, tag ORDER BY pos)::INT END AS list_value, NULL::INT AS table_ix FROM blk""")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.blocks(_pages(spark, sf_dir), "page_id")
 
 
-@query()
+@query(rf"""WITH {_BLOCKS} SELECT page_id, pos, 0 AS ix, text, NULL::VARCHAR AS link, NULL::VARCHAR AS anchor, tag IN ('h1', 'p') AS bold, false AS italic, false AS underline, NULL::VARCHAR AS shift, 'black' AS color, CASE WHEN tag = 'h1' THEN 24 ELSE 12 END::DOUBLE AS size, NULL::VARCHAR AS family FROM blk""")
 def html_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_table(_pages(spark, sf_dir), "runs", "page_id")
 
 
-@query()
+@query(r"""SELECT page_id, 'css,link' AS codes, (1 + len(list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: left(h, 80)))))::BIGINT AS n_issues, false AS assessment_complete FROM pages""")
 def html_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.ledger(html_table(_pages(spark, sf_dir), "issues", "page_id"), "page_id")
+    return pages.ledger(html_table(_pages(spark, sf_dir), "issues", "page_id"), "page_id").withColumn("codes", F.array_join("codes", ","))
 
 
 @query(r"""SELECT page_id, (unnest(range(1, len(h) + 1)) - 1)::INT AS ix, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")
@@ -520,7 +528,14 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("iou", F.round(geometry.iou(geometry.Box.of(), geometry.Box.of("b_")), 9)).where("iou > 0").select("doc_id", "page", "na", "nb", "iou")
 
 
-@query()
+_OCR = "(SELECT bool_and(coalesce(i / nullif(u - i, 0), 0) <= 0.3) FROM (SELECT greatest(least(o.x1, t.x1) - greatest(o.x0, t.x0), 0) * greatest(least(o.y1, t.y1) - greatest(o.y0, t.y0), 0) AS i, (o.x1 - o.x0) * (o.y1 - o.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) AS u FROM {0} t WHERE t.doc_id = o.doc_id AND t.page = o.page))"
+_OCR_STEPS = "a0 AS (SELECT * FROM b WHERE number % 2 = 0 OR number = 9)"
+for _n, _k in enumerate((1, 3, 5, 7)):
+    _OCR_STEPS += f", a{_n + 1} AS (SELECT * FROM a{_n} UNION ALL SELECT * FROM b o WHERE number = {_k} AND coalesce({_OCR.format(f'a{_n}')}, true))"
+
+
+@query(rf"""WITH {_BOXES}, {_OCR_STEPS}, g AS (SELECT doc_id, page, length(trim(string_agg(text, ' ' ORDER BY number))) >= 200 OR least(sum((x1 - x0) * (y1 - y0)) / (300 * 400), 1) >= 0.02 AS good FROM b WHERE number % 2 = 0 GROUP BY doc_id, page)
+SELECT doc_id, page, CASE WHEN number % 2 = 0 THEN 'text' ELSE 'ocr' END AS source, number AS ix, text, x0, y0, x1, y1, CASE WHEN number % 2 = 1 THEN round(x0 / 200, 4) WHEN good THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence FROM a4 LEFT JOIN g USING (doc_id, page) WHERE number <> 9""")
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even blocks as the text layer, odd ones as recognised, the last as a table."""
     boxes = _boxes(spark, sf_dir)
@@ -649,10 +664,15 @@ def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_text(cells, ["t"])
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT l_orderkey AS t, l_linenumber // 2 AS r, l_linenumber % 2 AS k, 1 + min(l_partkey) % 3 AS rs, 1 + min(l_suppkey) % 2 AS cs, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
+s(t, n, r, k, rs, cs, g, held) AS (SELECT t, n, r, k, rs, cs, 0::BIGINT, list_transform(range(0, cs), lambda i: {'c': i, 'u': r + rs}) FROM c WHERE n = 1 UNION ALL
+  SELECT t, n, r, k, rs, cs, g, list_concat(held, list_transform(range(g, g + cs), lambda i: {'c': i, 'u': r + rs})) FROM (
+    SELECT c.*, s.held, list_min(list_filter(range(0, 40), lambda x: x >= (CASE WHEN c.r = s.r THEN s.g + s.cs ELSE 0 END) AND len(list_filter(s.held, lambda h: h.u > c.r AND h.c >= x AND h.c < x + c.cs)) = 0)) AS g FROM s JOIN c ON c.t = s.t AND c.n = s.n + 1))
+SELECT t, r::INT AS row_ix, k::INT AS cell_ix, rs::INT AS row_span, cs::INT AS col_span, g::INT AS grid_col FROM s""")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem")
-    cells = i.select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") / 2).cast("int").alias("row_ix"), (F.col("l_linenumber") % 2).cast("int").alias("cell_ix"), (1 + F.col("l_partkey") % 3).cast("int").alias("row_span"), (1 + F.col("l_suppkey") % 2).cast("int").alias("col_span"))
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    n = F.col("l_linenumber")
+    cells = i.select(F.col("l_orderkey").alias("t"), (n / 2).cast("int").alias("row_ix"), (n % 2).cast("int").alias("cell_ix"), (1 + F.col("p") % 3).cast("int").alias("row_span"), (1 + F.col("s") % 2).cast("int").alias("col_span"))
     return tables.place_cells(cells, ["t"])
 
 
@@ -825,7 +845,13 @@ def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(faults.where("fault IS NULL"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query()
+_SQUEEZED = r"trim(regexp_replace(line, '[ \t\r\x0B\x0C\x1C-\x1F\x85\xA0]+', ' ', 'g'))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i - 1 AS p, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+s AS (SELECT doc_id, p, {_SQUEEZED} AS text, p // 5 AS chapter FROM l), t AS (SELECT doc_id, chapter, text AS title FROM s WHERE p % 5 = 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS ix, chapter::INT AS chapter, nullif(title, '') AS title, (row_number() OVER (PARTITION BY doc_id, chapter ORDER BY p) - 1)::INT AS pos,
+  CASE WHEN p % 5 = 0 THEN 'h1' ELSE 'p' END AS tag, (p % 5 = 0)::INT AS level, text FROM s JOIN t USING (doc_id, chapter) WHERE text <> ''""")
 def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents published as EPUB and read back as chapters."""
     docs = table(spark, sf_dir, "documents")
@@ -834,10 +860,15 @@ def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.posexplode("e.blocks").alias("ix", "b")).select("doc_id", "ix", "b.*")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, ps[i] AS line, i FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n\s*') AS ps FROM documents))),
+s AS (SELECT doc_id, i, nfc_normalize(trim(regexp_replace(line, '[ \t\n]+', ' ', 'g'))) AS text FROM p)
+SELECT doc_id, 0 AS pos, 'heading' AS kind, 1 AS level, lang AS text FROM documents UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT, 'paragraph', 0, text FROM s WHERE text <> ''""")
 def tex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as LaTeX sources, read back by the lexer and reader."""
     docs = table(spark, sf_dir, "documents")
     source = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\section{"), "lang", F.lit("}\n"), text.escape_latex(F.col("text")), F.lit("\n\\end{document}\n"))
     read = docs.select("doc_id", read_tex(source).alias("t"))
-    return read.select("doc_id", F.explode("t.blocks").alias("b")).select("doc_id", "b.*")
+    return read.select("doc_id", F.explode("t.blocks").alias("b")).select("doc_id", "b.pos", "b.kind", "b.level", "b.text")
+
+
+from quire import source_queries  # noqa: E402, F401  registers its own

@@ -97,24 +97,30 @@ class Registry:
     def files(self, spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
         """(path, modificationTime, length, content, format); the format is by suffix, null for others."""
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-        df = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+        return self.typed((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+
+    def typed(self, files: DataFrame) -> DataFrame:
+        """Add ``format`` by the path's suffix, null for others."""
         names = F.create_map(*[x for k, v in self.suffixes.items() for x in (F.lit(k), F.lit(v))])
-        return df.withColumn("format", F.try_element_at(names, F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))))
+        return files.withColumn("format", F.try_element_at(names, F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))))
 
     def read(self, files: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
-        """(path, format, blocks, issues, fault). Too large files and unknown formats are refused unread."""
-        kept = files.select("path", "format", F.when(F.col("length") <= most_bytes, F.col("content")).alias("_c"), (F.col("length") > most_bytes).alias("_big"))
-        parts = []
+        """(path, format, blocks, issues, fault). Too large files and unknown formats are refused unread: the
+        scan that reads contents has a filter on ``length`` and ``format``, the other one reads no content.
+
+        Contents are read once, in one pass: each format's reader gets those of its own files and nulls for
+        all others."""
+        wanted = (F.col("length") <= most_bytes) & F.col("format").isNotNull()
+        rows = files.where(wanted).select("path", "format", "content")
+        found = F.lit(None).cast(f"struct<blocks: {BLOCK}, issues: array<string>, fault: string>")
         for fmt in self.formats.values():
-            own = kept.where(F.col("format") == fmt.name)
-            found = F.when(F.col("_c").isNotNull(), fmt.read(F.col("_c")))
-            parts.append(own.select("path", "format", "_big", found.alias("_r")))
-        none = F.lit(None).cast(f"struct<blocks: {BLOCK}, issues: array<string>, fault: string>")
-        out = kept.where(F.col("format").isNull()).select("path", "format", "_big", none.alias("_r"))
-        for p in parts:
-            out = out.unionByName(p)
-        fault = F.when(F.col("_big"), "too-large").when(F.col("format").isNull(), "unknown-format").otherwise(F.col("_r.fault"))
-        return out.select("path", "format", "_r.blocks", "_r.issues", fault.alias("fault"))
+            own = F.when(F.col("format") == fmt.name, F.col("content"))
+            found = F.when(F.col("format") == fmt.name, fmt.read(own)).otherwise(found)
+        read = rows.select("path", "format", found.alias("_r")).select("path", "format", "_r.blocks", "_r.issues", "_r.fault")
+        refused = F.when(F.col("length") > most_bytes, "too-large").otherwise("unknown-format")
+        none = lambda kind: F.lit(None).cast(kind)
+        rest = files.where(~F.coalesce(wanted, F.lit(False))).select("path", "format", none(BLOCK).alias("blocks"), none("array<string>").alias("issues"), refused.alias("fault"))
+        return read.unionByName(rest)
 
 
 def default_registry() -> Registry:
@@ -129,8 +135,8 @@ def default_registry() -> Registry:
 
 
 def file_table(files: DataFrame) -> DataFrame:
-    """(path, name, suffix, size_mb, modified) without reading any content."""
+    """(path, name, suffix, size_mb, modified) without reading any content; sort by ``name, path`` to list them."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.col("modificationTime").alias("modified")).orderBy("name", "path")
+    return files.select("path", name.alias("name"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.col("modificationTime").alias("modified"))
 
 

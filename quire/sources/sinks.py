@@ -31,6 +31,13 @@ def to_json(blocks: DataFrame, row_id: str) -> DataFrame:
     return blocks.groupBy(row_id).agg(F.encode(F.to_json(F.struct(rows.alias("blocks"))), "UTF-8").alias("content"))
 
 
+def from_json(rendered: DataFrame, row_id: str, kind: str = "pos int, text string, level int, list_level int, lang string") -> DataFrame:
+    """(row_id, the fields of ``kind``) of the blocks in canonical JSON; a field that is left out is null. What
+    isn't such an object gives no rows."""
+    found = F.from_json(F.decode("content", "UTF-8"), f"blocks array<struct<{kind}>>")
+    return rendered.select(row_id, F.inline(found["blocks"]))
+
+
 def render_lists(rows: list[dict]) -> str:
     """Flat paragraphs to nested lists, by an explicit stack of open levels."""
     out, open_tags = [], []

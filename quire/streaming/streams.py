@@ -13,8 +13,7 @@ def arriving_documents(spark: SparkSession, path: str, registry: Registry | None
     registry = registry or default_registry()
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    names = F.create_map(*[x for k, v in registry.suffixes.items() for x in (F.lit(k), F.lit(v))])
-    return registry.read(files.withColumn("format", F.try_element_at(names, F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))))
+    return registry.read(registry.typed(files))
 
 
 def first_seen(rows: DataFrame, content: str, time: str, delay: str = "1 hour") -> DataFrame:
