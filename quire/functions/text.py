@@ -180,3 +180,46 @@ def latex_paragraphs(raw: Column) -> Column:
     """Blocks between blank lines that have a word character."""
     blocks = F.split(normalize_newlines(raw), "\n[ \t]*\n", -1)
     return F.size(F.filter(blocks, lambda b: b.rlike("[\\p{L}\\p{N}_]"))).cast("long")
+
+
+#: Paper sizes in points by a class option, and environments that hold mathematics.
+PAPER_SIZES = {"a3paper": (841.89, 1190.55), "a4paper": (595.28, 841.89), "a5paper": (419.53, 595.28), "letterpaper": (612.0, 792.0), "legalpaper": (612.0, 1008.0)}
+MATH_ENVIRONMENTS = ("equation", "equation*", "align", "align*", "gather", "gather*", "alignat", "alignat*", "eqnarray", "eqnarray*", "multline", "multline*")
+_DISPLAY = r"(?s)\$\$.*?\$\$|\\\[.*?\\\]"
+_INLINE = r"(?<!\\)\$(?!\$)[^$\n]+(?<!\\)\$"
+
+
+def class_options(raw: Column) -> Column:
+    """The options of a LaTeX source's document class, trimmed; none where it has no class or no options."""
+    inside = F.regexp_extract(raw, r"\\documentclass\s*\[([^\]]*)\]\s*\{[^{}]*\}", 1)
+    return F.filter(F.transform(F.split(inside, ",", -1), lambda o: F.trim(o)), lambda o: o != "")
+
+
+def latex_paper_size(raw: Column) -> Column:
+    """struct(width, height) in points of the first known paper that the document class names; null without one."""
+    head = F.regexp_extract(raw, r"(\\documentclass\s*(?:\[[^\]]*\])?\s*\{[^{}]*\})", 1)
+    out = F.lit(None).cast("struct<width:double,height:double>")
+    for name, (w, h) in reversed(PAPER_SIZES.items()):
+        out = F.when(F.contains(head, F.lit(name)), F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"))).otherwise(out)
+    return out
+
+
+def latex_formulas(raw: Column) -> Column:
+    """How many formulas a LaTeX source has: displayed, inline, and environments of mathematics."""
+    begins = "|".join(e.replace("*", r"\*") for e in MATH_ENVIRONMENTS)
+    return (F.regexp_count(raw, F.lit(_DISPLAY)) + F.regexp_count(raw, F.lit(_INLINE)) + F.regexp_count(raw, F.lit(rf"\\begin\{{(?:{begins})\}}"))).cast("long")
+
+
+def strip_latex(raw: Column) -> Column:
+    """The words of a LaTeX source: without comments, mathematics, references and commands; what formatting
+    commands and links hold stays."""
+    begins = "|".join(e.replace("*", r"\*") for e in MATH_ENVIRONMENTS)
+    t = F.regexp_replace(raw, r"(?m)(?<!\\)%.*$", "")
+    for pattern, by in (
+        (_DISPLAY, " "), (rf"(?s)\\begin\{{({begins})\}}.*?\\end\{{\1\}}", " "), (_INLINE, " "), (r"\\href\{[^{}]*\}\{([^{}]*)\}", "$1"), (r"\\[a-zA-Z@]*cite[a-zA-Z@]*\{", " "),
+        (r"\\(?:eqref|pageref|cref|vref|label|ref)\{", " "), (r"\\(?:begin|end)\{[a-zA-Z*]+\}", " "), (r"\\(?:textbf|textit|emph|text|mbox|mathrm|mathsf|mathtt|mathcal|underline|url)\{([^{}]*)\}", "$1"), (r"\\[a-zA-Z@]+\*?", " "),
+    ):
+        t = F.regexp_replace(t, pattern, by)
+    for c in "%&_#${}":
+        t = F.replace(t, F.lit("\\" + c), F.lit(c))
+    return F.trim(F.regexp_replace(F.translate(t, "~{}", "   "), r"(?U)\s+", " "))

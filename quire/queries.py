@@ -871,4 +871,4 @@ def tex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", F.explode("t.blocks").alias("b")).select("doc_id", "b.pos", "b.kind", "b.level", "b.text")
 
 
-from quire import source_queries  # noqa: E402, F401  registers its own
+from quire import model_queries, source_queries  # noqa: E402, F401  they register their own
