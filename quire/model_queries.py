@@ -182,7 +182,7 @@ def theme_color_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.theme_colors(slides, layouts, masters, palette, ["deck"])
 
 
-@query(r"""WITH c AS (SELECT p_partkey, p_partkey * 31 % 256 AS v, p_size * 2000 AS m FROM part), x AS (SELECT *, v / 255.0::DOUBLE AS l, CASE p_partkey % 4 WHEN 0 THEN 'lumMod' WHEN 1 THEN 'lumOff' WHEN 2 THEN 'tint' ELSE 'shade' END AS kind, least(m / 100000.0::DOUBLE, 1) AS w FROM c),
+@query(r"""WITH c AS (SELECT p_partkey, p_partkey * 31 % 256 AS v, p_size * 2000 + 700 AS m FROM part), x AS (SELECT *, v / 255.0::DOUBLE AS l, CASE p_partkey % 4 WHEN 0 THEN 'lumMod' WHEN 1 THEN 'lumOff' WHEN 2 THEN 'tint' ELSE 'shade' END AS kind, least(m / 100000.0::DOUBLE, 1) AS w FROM c),
 lin AS (SELECT *, CASE WHEN l <= 0.04045 THEN l / 12.92 ELSE power((l + 0.055) / 1.055, 2.4) END AS li FROM x), o AS (SELECT *, CASE kind WHEN 'lumMod' THEN floor(least(l * (m / 100000.0::DOUBLE), 1) * 255) / 255 WHEN 'lumOff' THEN floor(least(l + m / 100000.0::DOUBLE, 1) * 255) / 255 ELSE NULL END AS out, CASE kind WHEN 'tint' THEN li * w + 1 - w ELSE li * w END AS lo FROM lin),
 r AS (SELECT *, round(coalesce(out, CASE WHEN lo <= 0.0031308 THEN lo * 12.92 ELSE 1.055 * power(lo, 1 / 2.4) - 0.055 END) * 255)::INT AS n FROM o)
 SELECT p_partkey, '#' || lpad(format('{:x}', n), 2, '0') || lpad(format('{:x}', n), 2, '0') || lpad(format('{:x}', n), 2, '0') AS hex, 0.4::DOUBLE AS alpha FROM r""")
@@ -192,7 +192,7 @@ def resolved_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.lpad(F.lower(F.hex(k * 31 % 256)), 2, "0")
     name = F.element_at(F.array(*map(F.lit, ("lumMod", "lumOff", "tint", "shade"))), (k % 4 + 1).cast("int"))
     change = lambda n, v: F.struct(n.alias("name"), v.cast("double").alias("value"))
-    c = styles.resolve_color(F.concat(F.lit("#"), two, two, two), F.array(change(F.lit("alpha"), F.lit(40_000)), change(name, F.col("p_size") * 2000)))
+    c = styles.resolve_color(F.concat(F.lit("#"), two, two, two), F.array(change(F.lit("alpha"), F.lit(40_000)), change(name, F.col("p_size") * 2000 + 700)))
     return table(spark, sf_dir, "part").select("p_partkey", c["hex"].alias("hex"), c["alpha"].alias("alpha"))
 
 
