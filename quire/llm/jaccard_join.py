@@ -205,12 +205,12 @@ def _pair_up(percent: int):
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.int64)
-        held = {c: empty for c in ("key", "uid", "n", "lead")}  # the run at the end, up to SHORT + 1 rows of it
+        held = {c: empty for c in ("key", "uid", "size")}  # the run at the end, up to SHORT + 1 rows of it
 
         def emit(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             sizes = np.diff([*starts, len(rows["key"])])
             a, b = _small_pairs(starts, sizes)
-            n, lead, uid = rows["n"], rows["lead"].astype(bool), rows["uid"]
+            n, lead, uid = rows["size"] >> 1, (rows["size"] & 1).astype(bool), rows["uid"]
             near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             a, b = a[near], b[near]
             # the smaller set of a pair leads by fewer shingles
@@ -485,11 +485,15 @@ def _link(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, broadca
     routed = texts.mapInArrow(_route(k, percent, frequent), f"doc_id {kind}, td string, n long, sig binary, keys array<long>, leads int, fresh long, point binary")
     routed = scratch.keep(routed.withColumn("uid", F.monotonically_increasing_id()))
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "td")
+    rows = scratch.keep(routed.select("doc_id", "td", "n", "sig"))
     classes = scratch.keep(routed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("uid").alias("uid"), F.min(first).alias("first")))
     firsts = classes.select("uid")
     firsts = F.broadcast(firsts) if classes.count() <= broadcast_ids else firsts
     ones = scratch.keep(routed.join(firsts, "uid").select("uid", "n", "keys", "leads", "fresh", "point"))
-    keyed = ones.select("uid", "n", "leads", "fresh", F.posexplode("keys").alias("pos", "key")).select("key", "uid", "n", (F.col("pos") < F.col("leads")).alias("lead"), (F.col("pos") >= F.col("fresh")).alias("_often"))
+    scratch.drop(routed)
+    # a set's size, and whether it leads by the shingle, as one number
+    size = (2 * F.col("n") + (F.col("pos") < F.col("leads")).cast("long")).alias("size")
+    keyed = ones.select("uid", "n", "leads", "fresh", F.posexplode("keys").alias("pos", "key")).select("key", "uid", size, (F.col("pos") >= F.col("fresh")).alias("_often"))
     # tiles of shingles that are known to be frequent are dealt out; no other shingle can be in very many documents
     rare = keyed.where("NOT _often").drop("_often")
     met = scratch.keep(rare.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(percent), "a long, b long, need long, met long, key long"))
@@ -500,16 +504,19 @@ def _link(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, broadca
     large = scratch.keep(met.where("key IS NOT NULL").select("key"))
     side = F.broadcast(large) if large.count() <= broadcast_ids else large
     busy = scratch.keep(keyed.where("_often").drop("_often").unionByName(rare.join(side, "key")))
-    tiles = scratch.keep(busy.join(busy.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key").withColumn("cap", F.lit(TILE_ROWS)))
+    busy = busy.select("key", "uid", F.shiftright("size", 1).alias("n"), (F.col("size") % 2 == 1).alias("lead"))
+    sized = scratch.keep(busy.join(busy.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key").withColumn("cap", F.lit(TILE_ROWS)))
     points = ones.select("uid", "point")
     columns = ["key", "cell_i", "cell_j", "chunk", "label", "uid", "n", "lead", "point"]
-    small = _one_cell(tiles.where("rows <= cap")).join(points, "uid").select(*columns)
-    tiles, found = _with_large(small, tiles.where("rows > cap"), points, _star_points(percent), ["key", "chunk", "uid", "pivot", "n", "lead", "point"], scratch, broadcast_ids)
+    small = _one_cell(sized.where("rows <= cap")).join(points, "uid").select(*columns)
+    tiles, found = _with_large(small, sized.where("rows > cap"), points, _star_points(percent), ["key", "chunk", "uid", "pivot", "n", "lead", "point"], scratch, broadcast_ids)
     tiles = tiles.repartition("key", "cell_i", "cell_j").sortWithinPartitions("key", "cell_i", "cell_j", "n")
     near = near.unionByName(tiles.mapInArrow(_search(percent), "a long, b long"))
     for edges in found:
         near = near.unionByName(edges)
-    blocks = scratch.keep(connected_components(spark, scratch.keep(near), scratch).select(F.col("node").alias("uid"), F.col("component").alias("key")))
+    near = scratch.keep(near)
+    scratch.drop(met, sized, ones)
+    blocks = scratch.keep(connected_components(spark, near, scratch).select(F.col("node").alias("uid"), F.col("component").alias("key")))
     active = scratch.keep(blocks.join(classes.select("uid", "sig", "first"), "uid"))
     n_active = active.count()
     ids = active.select(F.col("first.doc_id").alias("_id"), F.col("first.td").alias("_td")).distinct()
@@ -538,7 +545,9 @@ def _link(docs: DataFrame, k: int, percent: int, text: str, doc_id: str, broadca
     least = scratch.keep(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first").alias("whole")))
     named = linked.join(least, "component").select("uid", "component_id", "whole")
     final = classes.join(named, "uid", "left").select("sig", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("whole", "first").alias("first"))
-    return routed.select("doc_id", "td", "n", "sig"), scratch.keep(final)
+    final = scratch.keep(final)
+    scratch.drop(near, sets)
+    return rows, final
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", broadcast_ids: int = 500_000) -> DataFrame:
