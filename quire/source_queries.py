@@ -12,8 +12,9 @@ from quire.functions import color, geometry, text
 from quire.operators import charts, fonts, layout, pages, tables
 from quire.plans.scratch import Scratch
 from quire.queries import _ESCAPED, query, table
-from quire.sources import archive, binary, build, epub, office, sinks, tex
+from quire.sources import archive, binary, build, epub, office, pdf, sinks, tex
 from quire.sources.archive import build_archive
+from quire.sources.exporters import ImportOptions, default_exporters
 from quire.sources.html import html_table
 from quire.sources.registry import default_registry, file_table
 from quire.sources.text import TextProfile, comparable, decode_with_fallback, encode_string, fold
@@ -273,6 +274,15 @@ def pdf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[F.try_element_at("i", F.lit(k)).alias(n) for n, k in (("version", "version"), ("pages", "pages"), ("title", "Title"), ("author", "Author"))], "xmp")
 
 
+@query(r"""SELECT doc_id, o::INT AS object, 0 AS generation, CASE WHEN o = 4 THEN 'stream' ELSE 'dict' END AS kind, CASE o WHEN 1 THEN 'Catalog' WHEN 2 THEN 'Pages' WHEN 3 THEN NULL WHEN 4 THEN 'Metadata' ELSE 'Page' END AS type, CASE WHEN o = 4 THEN length('<x>' || doc_id || '</x>') END::BIGINT AS stream_size
+FROM (SELECT doc_id, unnest(range(1, 5 + doc_id % 7)) AS o FROM documents)""")
+def pdf_object_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of PDF files by their cross-reference tables."""
+    make = lambda i, source: build.render_pdf({"Title": source}, i % 7, f"<x>{i}</x>")
+    d = table(spark, sf_dir, "documents").select("doc_id", build.binary_kernel(make, F.col("doc_id"), F.col("source")).alias("content"))
+    return pdf.object_table(d, "doc_id").where("fault IS NULL").select("doc_id", "object", "generation", "kind", "type", "stream_size")
+
+
 @query(r"""SELECT doc_id, name AS path, greatest(4096, octet_length(encode(body)))::BIGINT AS size, true AS complete FROM (SELECT doc_id, '/Text' AS name, text AS body FROM documents UNION ALL SELECT doc_id, '/Language', lang FROM documents UNION ALL SELECT doc_id, '/Src', source FROM documents)""")
 def compound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of compound files made of the documents."""
@@ -311,6 +321,16 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_table(_files(spark, sf_dir)).drop("modified")
 
 
+@query(rf"""WITH {_FILES}, g AS (SELECT *, octet_length(encode(body)) > 20000 AS big, trim(regexp_replace(plain, '[ \n]+', ' ', 'g')) AS one FROM f)
+SELECT regexp_replace(path, '\.[^.]+$', '') || '.json' AS path, CASE WHEN big THEN 'too-large' WHEN format IS NULL THEN 'unknown-format' END AS fault, CASE WHEN big OR format IS NULL THEN NULL WHEN format = 'txt' THEN len(string_split(text, chr(10))) ELSE 1 + (one <> '')::INT END::INT AS n_blocks,
+  CASE WHEN big OR format IS NULL THEN NULL WHEN format = 'txt' THEN string_split(text, chr(10))[1] WHEN format = 'html' THEN 'T' ELSE 'S' END AS first FROM g""")
+def converted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several formats converted to JSON, and what the new files hold."""
+    out = default_exporters().convert(_files(spark, sf_dir), "json", read=ImportOptions(most_bytes=20_000))
+    found = F.from_json(F.decode("content", "UTF-8"), "blocks array<struct<pos int, text string>>")
+    return out.select("path", "fault", found["blocks"].alias("b")).select("path", "fault", F.size("b").alias("n_blocks"), F.try_element_at("b", F.lit(1))["text"].alias("first"))
+
+
 # ---------------------------------------------------------------- sinks
 
 
