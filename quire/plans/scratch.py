@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: In local mode, the temporary folder of each application.
+_local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,10 +24,11 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not conf.get("spark.master", "local").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="quire-")
-    spark.sparkContext._conf.set("spark.checkpoint.dir", root)
-    _made.append((spark, root))
-    return root
+    name = spark.sparkContext.applicationId
+    if name not in _local:
+        _local[name] = "file://" + tempfile.mkdtemp(prefix="quire-")
+        _made.append((spark, _local[name]))
+    return _local[name]
 
 
 def delete(spark: SparkSession, path: str) -> None:
