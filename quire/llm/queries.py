@@ -151,6 +151,28 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+ORACLES["op4_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT x, y FROM p JOIN n i ON i.k = x JOIN n j ON j.k = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+u AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, label) USING KEY (node) AS (SELECT k, doc_id FROM d UNION (
+  SELECT u.y, min(r.label) FROM r JOIN u ON u.x = r.node JOIN recurring.r AS old ON old.node = u.y WHERE r.label < old.label GROUP BY u.y))
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.label AS component_id FROM d JOIN r ON r.node = d.k LEFT JOIN n ON n.k = d.k
+"""
+
+
 @_query
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+ORACLES["op10_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(node, label) USING KEY (node) AS (SELECT vec_id, vec_id FROM embeddings UNION (
+  SELECT u.y, min(r.label) FROM r JOIN u ON u.x = r.node JOIN recurring.r AS old ON old.node = u.y WHERE r.label < old.label GROUP BY u.y))
+SELECT e.vec_id, (SELECT count(*) FROM u WHERE u.x = e.vec_id)::BIGINT AS n_links, r.label AS component_id, r.label = e.vec_id AS kept FROM embeddings e JOIN r ON r.node = e.vec_id
+"""
