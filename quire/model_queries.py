@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import styles
+from quire.operators import pages, styles
 from quire.plans.scratch import Scratch
 from quire.queries import query, table
 from quire.source_queries import _LINES, _docx, _pptx
@@ -325,6 +325,13 @@ def latex_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", text.strip_latex(body).alias("plain"), text.latex_paper_size(F.replace("r", F.lit("{}"), F.lit("{article}")))["width"].alias("width"), text.latex_formulas(F.col("r")).alias("n_formulas"), F.array_join(text.class_options(F.replace("r", F.lit("{}"), F.lit("{article}"))), ",").alias("options"))
 
 
+@query(r"""SELECT p_partkey // 10 AS d, p_brand AS family, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY count(*) DESC, min(p_partkey))::INT AS place FROM part GROUP BY p_partkey // 10, p_brand""")
+def font_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of each document by frequency, then first use."""
+    runs = table(spark, sf_dir, "part").select((F.col("p_partkey") / 10).cast("long").alias("d"), F.col("p_brand").alias("family"), F.col("p_partkey").alias("pos"), F.lit(0).alias("ix"))
+    return pages.families(runs, "d")
+
+
 # ---------------------------------------------------------------- embedded XML and containers
 
 

@@ -119,9 +119,10 @@ def inspection(docs: DataFrame, row_id: str, html: str = "html") -> DataFrame:
 
 
 def families(runs: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, family, n): font families by frequency, then first use."""
-    first = F.min(F.struct("pos", "ix"))
-    return runs.where("family IS NOT NULL").groupBy(row_id, "family").agg(F.count("*").alias("n"), first.alias("_f")).orderBy(row_id, F.desc("n"), "_f").drop("_f")
+    """(row_id, family, n, place): font families with their place, from 1, by frequency, then first use."""
+    found = runs.where("family IS NOT NULL").groupBy(row_id, "family").agg(F.count("*").alias("n"), F.min(F.struct("pos", "ix")).alias("_f"))
+    place = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("n"), "_f"))
+    return found.withColumn("place", place).drop("_f")
 
 
 def characters_used(runs: DataFrame, by: list[str]) -> DataFrame:

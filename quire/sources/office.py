@@ -187,7 +187,9 @@ def docx_patch(data: bytes, patches: list[dict]) -> bytes:
 
 
 def pptx_flat(data: bytes, include_tables: bool = True) -> dict:
-    """{slides, plain}: texts of each slide in the presentation's order; a slide named twice is a ValueError."""
+    """{slides, plain}: texts of each slide's own shapes (not those in groups) and tables in the presentation's order,
+    without white space at their ends; a line break is a vertical tab, as the format's flat texts have it. A slide
+    that is named twice, isn't there or has no shape tree is a ValueError."""
     package = Package(data)
     main = package.main()
     targets = {r["id"]: r["target"] for r in package.relations(main) if r["mode"] == "Internal"}
@@ -196,23 +198,30 @@ def pptx_flat(data: bytes, include_tables: bool = True) -> dict:
         raise ValueError("bad-slides")
     slides = []
     for name in order:
+        tree = parse_xml(package.parts[name]).find(f"{P}cSld/{P}spTree")
+        if tree is None:
+            raise ValueError("no-shape-tree")
         lines = []
-        for e in parse_xml(package.parts[name]).iter():
-            if e.tag == P + "txBody":
-                lines += [_drawing_text(p) for p in e.iter(A + "p")]
-            elif e.tag == A + "tbl" and include_tables:
-                lines += [" | ".join("\n".join(_drawing_text(p) for p in c.iter(A + "p")) for c in row.findall(A + "tc")) for row in e.findall(A + "tr")]
+        for e in tree:
+            if e.tag == P + "sp" and (body := e.find(P + "txBody")) is not None:
+                lines.append(_body_text(body).strip())
+            elif e.tag == P + "graphicFrame" and include_tables and (table := e.find(f"{A}graphic/{A}graphicData/{A}tbl")) is not None:
+                lines += [" | ".join(_body_text(c.find(A + "txBody")) for c in row.findall(A + "tc")) for row in table.findall(A + "tr")]
         slides.append("\n".join(x for x in lines if x))
     return {"slides": slides, "plain": "\n".join(s for s in slides if s)}
 
 
-def _drawing_text(p: ET.Element) -> str:
+def _body_text(body: ET.Element | None) -> str:
+    return "\n".join(_drawing_text(p, "\v") for p in body.findall(A + "p")) if body is not None else ""
+
+
+def _drawing_text(p: ET.Element, break_: str = "\n") -> str:
     out = []
     for e in p:
         if e.tag in (A + "r", A + "fld"):
             out.append("".join(t.text or "" for t in e.iter(A + "t")))
         elif e.tag == A + "br":
-            out.append("\n")
+            out.append(break_)
     return "".join(out)
 
 

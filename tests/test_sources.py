@@ -47,14 +47,16 @@ def test_docx():
 
 def pptx(texts):
     a, pp, r = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    slides = [(f"ppt/slides/s{i}.xml", f'<p:sld xmlns:p="{pp}" xmlns:a="{a}"><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sld>'.encode()) for i, t in enumerate(texts)]
+    slides = [(f"ppt/slides/s{i}.xml", f'<p:sld xmlns:p="{pp}" xmlns:a="{a}"><p:cSld><p:spTree><p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r><a:br/><a:r><a:t>x</a:t></a:r></a:p></p:txBody></p:sp><p:grpSp><p:sp><p:txBody><a:p><a:r><a:t>grouped</a:t></a:r></a:p></p:txBody></p:sp></p:grpSp></p:spTree></p:cSld></p:sld>'.encode()) for i, t in enumerate(texts)]
     ids = "".join(f'<p:sldId r:id="r{i}"/>' for i in reversed(range(len(texts))))
     rels = "".join(f'<Relationship Id="r{i}" Type="slide" Target="slides/s{i}.xml"/>' for i in range(len(texts)))
     return build_archive([("[Content_Types].xml", TYPES.encode()), ("_rels/.rels", RELS.format(MAIN.format("ppt/p.xml")).encode()), ("ppt/p.xml", f'<p:presentation xmlns:p="{pp}" xmlns:r="{r}"><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>'.encode()), ("ppt/_rels/p.xml.rels", RELS.format(rels).encode()), *slides])
 
 
 def test_pptx():
-    assert office.pptx_flat(pptx(["first", "second"]))["slides"] == ["second", "first"]
+    assert office.pptx_flat(pptx(["first", "second"]))["slides"] == ["second\vx", "first\vx"]
+    with pytest.raises(ValueError, match="no-shape-tree"):
+        office.pptx_flat(build_archive([(n, b.replace(b"spTree", b"other")) for n, b in members(pptx(["a"])).items()]))
 
 
 def test_archives(spark):
@@ -165,7 +167,7 @@ def test_registry_reads_files_of_any_kind(spark, tmp_path):
     got = {x.path.rpartition("/")[2]: x for x in r.read(r.files(spark, str(tmp_path))).collect()}
     assert len(got) == len(files)
     assert [b.text for b in got["a.txt"].blocks] == ["x", "y"] and [b.text for b in got["b.html"].blocks] == ["T", "x"]
-    assert got["d.docx"].blocks[-1].text == "a | c" and got["e.pptx"].blocks[0].text == "s" and got["j.epub"].blocks[0].text == "C"
+    assert got["d.docx"].blocks[-1].text == "a | c" and got["e.pptx"].blocks[0].text == "s\vx" and got["j.epub"].blocks[0].text == "C"
     assert got["g.bin"].fault == "unknown-format" and got["h.txt"].fault == "ambiguous-encoding" and got["i.docx"].fault == "not-an-archive"
     assert "width=3" in [b.text for b in got["f.png"].blocks]
     assert all(x.fault == "too-large" for x in r.read(r.files(spark, str(tmp_path), glob="*.tex"), most_bytes=3).collect())
