@@ -7,10 +7,10 @@ import html
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.core_queries import query, table
 from quire.functions import text
 from quire.operators import pages, styles
 from quire.plans.scratch import Scratch
-from quire.queries import query, table
 from quire.source_queries import _LINES, _docx, _pptx
 from quire.sources import archive, build, clean, office, ooxml, sinks
 from quire.sources.archive import build_archive
