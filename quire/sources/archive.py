@@ -119,11 +119,13 @@ def resolve_target(owner: str, target: str) -> str:
 
 
 def build_archive(files: list[tuple[str, bytes]], stored: tuple[str, ...] = ()) -> bytes:
-    """A reproducible archive: given order, fixed dates; ``stored`` names aren't compressed."""
+    """A reproducible archive: given order, fixed dates; ``stored`` names aren't compressed, and neither is what
+    shrinks so far that the readers' limits would refuse it."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, data in files:
             info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
             info.compress_type = zipfile.ZIP_STORED if name in stored else zipfile.ZIP_DEFLATED
             z.writestr(info, data)
-    return out.getvalue()
+        tight = tuple(i.filename for i in z.infolist() if i.file_size > ArchiveLimits.ratio * max(i.compress_size, 1))
+    return build_archive(files, (*stored, *tight)) if tight else out.getvalue()

@@ -6,6 +6,10 @@ from pathlib import Path
 
 import pytest
 
+from quire.queries import QUERIES
+from quire.sources.archive import build_archive, members
+from quire.sources.sinks import render_epub
+
 REPO = str(Path(__file__).resolve().parents[1])
 
 
@@ -13,3 +17,17 @@ REPO = str(Path(__file__).resolve().parents[1])
 def test_modules_import_first(module):
     """A worker imports the module of the kernel that it gets, and no other before it."""
     subprocess.run([sys.executable, "-c", f"import quire.{module}; from quire.queries import QUERIES; assert 'font_tables' in QUERIES"], cwd=REPO, check=True)
+
+
+def test_archives_of_repeated_words_can_be_read():
+    """A text of one word over and over shrinks beyond the ratio that readers refuse."""
+    files = [("a", b"Von " * 50_000), ("b", b"x")]
+    assert members(build_archive(files)) == dict(files)
+    assert b"Von Von" in members(render_epub([{"text": "Von " * 50_000, "level": 1}, {"text": "y", "level": 0}], "1", "t"))["c0.xhtml"]
+
+
+@pytest.mark.parametrize("name", ["epub_blocks", "epub_chapters", "epub_metadata"])
+def test_books_of_repeated_words(spark, tmp_path, name):
+    spark.createDataFrame([(1, "Von " * 50_000 + "\nend", "de"), (2, "a\nb", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.doc_id for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == ([1, 2] if name == "epub_metadata" else [1, 1, 2, 2])
