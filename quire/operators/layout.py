@@ -220,14 +220,14 @@ def match_strokes(strokes: DataFrame, sides: DataFrame, tolerance: float = 0.001
     cell = lambda c: F.floor(c / (2 * tolerance) + 0.5)
     s = strokes.select(*PAGE, "axis", F.col("at").alias("s_at"), F.col("start").alias("s0"), F.col("end").alias("s1"), "style").withColumn("_k", F.explode(F.array(cell(F.col("s_at")) - 1, cell(F.col("s_at")), cell(F.col("s_at")) + 1)))
     d = sides.withColumn("_k", cell(F.col("at")))
-    on = d.join(s, [*PAGE, "axis", "_k"]).where((F.abs(F.col("at") - F.col("s_at")) <= tolerance) & (F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")))
-    one = on.groupBy(*PAGE, "side_id").agg(F.count_distinct("style").alias("_n"), F.first("style").alias("style")).where("_n = 1").select(*PAGE, "side_id", "style")
+    # sizes are estimated without the exploded rows, so either side could be taken for small enough to be broadcast
+    on = d.join(s.hint("merge"), [*PAGE, "axis", "_k"]).where((F.abs(F.col("at") - F.col("s_at")) <= tolerance) & (F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")))
     w = Window.partitionBy(*PAGE, "side_id").orderBy("s0", "s1")
     reach = F.greatest(F.coalesce(F.max("s1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start")), F.col("start"))
     hole = F.greatest(F.least(F.col("s0"), F.col("end")) - reach, F.lit(0.0))
-    full = on.withColumn("_hole", hole).groupBy(*PAGE, "side_id").agg(F.sum("_hole").alias("_holes"), F.max("s1").alias("_last"), F.max("end").alias("_end"))
-    full = full.where((F.col("_holes") + F.greatest(F.col("_end") - F.col("_last"), F.lit(0.0))) <= 0.0001).select(*PAGE, "side_id")
-    return one.join(full, [*PAGE, "side_id"])
+    sums = on.withColumn("_hole", hole).groupBy(*PAGE, "side_id").agg(F.min("style").alias("style"), F.max("style").alias("_other"), F.sum("_hole").alias("_holes"), F.max("s1").alias("_last"), F.max("end").alias("_end"))
+    full = (F.col("_holes") + F.greatest(F.col("_end") - F.col("_last"), F.lit(0.0))) <= 0.0001
+    return sums.where(full & (F.col("style") == F.col("_other"))).select(*PAGE, "side_id", "style")
 
 
 def table_overlap_area(blocks: DataFrame, tables: DataFrame) -> DataFrame:

@@ -31,3 +31,9 @@ def test_books_of_repeated_words(spark, tmp_path, name):
     spark.createDataFrame([(1, "Von " * 50_000 + "\nend", "de"), (2, "a\nb", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(r.doc_id for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert got == ([1, 2] if name == "epub_metadata" else [1, 1, 2, 2])
+
+
+def test_strokes_are_not_broadcast(spark):
+    """They are exploded to their neighbours, which estimated sizes leave out; small inputs show in the plan only."""
+    df = QUERIES["stroke_sides"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
