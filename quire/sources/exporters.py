@@ -68,7 +68,8 @@ class Exporters:
         blocks = found.where("fault IS NULL").select("path", F.inline("blocks")).withColumns({"list_level": F.lit(None).cast("int"), "lang": F.lit(None).cast("string")})
         made = self.render(blocks, "path", name)
         renamed = F.concat(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit(self.known[name].suffix))
-        return found.select("path", fault.alias("fault")).join(made, "path", "left").select(renamed.alias("path"), "content", "fault")
+        # a file counts as a hundred bytes where sizes are estimated, so the contents would be broadcast
+        return found.select("path", fault.alias("fault")).join(made.hint("merge"), "path", "left").select(renamed.alias("path"), "content", "fault")
 
 
 def default_exporters() -> Exporters:

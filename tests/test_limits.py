@@ -37,3 +37,9 @@ def test_strokes_are_not_broadcast(spark):
     """They are exploded to their neighbours, which estimated sizes leave out; small inputs show in the plan only."""
     df = QUERIES["stroke_sides"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_converted_files_are_not_broadcast(spark):
+    """Contents count as a hundred bytes in estimated sizes, whatever their length."""
+    df = QUERIES["converted_files"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
