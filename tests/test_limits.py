@@ -4,9 +4,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from quire.queries import QUERIES
+from quire.sources import html
 from quire.sources.archive import build_archive, members
 from quire.sources.sinks import render_epub
 
@@ -43,3 +45,28 @@ def test_converted_files_are_not_broadcast(spark):
     """Contents count as a hundred bytes in estimated sizes, whatever their length."""
     df = QUERIES["converted_files"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_equal_pages_are_read_once(monkeypatch):
+    """What was read of a page is kept within bounds, and a page is never taken for another."""
+    monkeypatch.setattr(html, "_kept", {})
+    monkeypatch.setattr(html, "MOST_KEPT_CHARACTERS", 400)
+    read, seen = html._read, []
+    monkeypatch.setattr(html, "_read", lambda h, wanted: seen.append(h) or read(h, wanted))
+    kind = pa.struct([("flat", pa.string()), ("title", pa.string())])
+    for k in (0, 0, 1, 30, 0, 60):
+        rows = [f"<head><title>t{i % 7 + k}</title></head><p>x{i % 7 + k}</p>" if i % 5 else None for i in range(40)]
+        got = html._read_batch(pa.array(rows, pa.string()), ("flat", "title"), kind).to_pylist()
+        assert got == [{"flat": f"x{i % 7 + k}", "title": f"t{i % 7 + k}"} if i % 5 else {"flat": None, "title": None} for i in range(40)]
+    assert 7 < len([h for h in seen if h]) < 6 * 7
+
+
+PAGES = ["<p>a</p><table><caption>c</caption><tr><td>1<td>2<tr><td><p>x</p><table><tr><td>in</td></tr></table></table><p> </p><p>z</p>", "<table></table>", "", None, "<p></p>", "<table><tr><td></td></tr></table>b", "<ul><li>1<li><table><tr><td>q</table></ul>"]
+
+
+def test_flat_text_is_the_flat_projection(spark):
+    from quire.operators import pages
+
+    df = spark.createDataFrame(list(enumerate(PAGES)), "id long, html string")
+    want = pages.flat_projection(pages.blocks(df, "id"), html.html_table(df, "cells", "id"), "id").collect()
+    assert len(want) >= 3 and sorted(map(tuple, pages.flat_pages(df, "id").collect())) == sorted(map(tuple, want))
