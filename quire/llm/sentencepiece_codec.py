@@ -296,6 +296,14 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined and read as UTF-8 (bad ones become U+FFFD), control pieces
         vanish, and the prefix that encoding added is taken off."""
+        table = self._texts
+        try:
+            text = "".join(map(table.__getitem__, ids))
+        except TypeError:  # a byte that is part of a character
+            text = self._with_bytes(ids)
+        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+
+    def _with_bytes(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
         table = self._texts
         for i in ids:
@@ -308,12 +316,13 @@ class PieceModel:
             out.append(b)
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return "".join(out)
 
     @cached_property
     def _texts(self) -> list[str | int]:
-        shown = {CONTROL: lambda p: "", UNKNOWN: lambda p: " ⁇ ", BYTE: lambda p: int(p[3:5], 16)}
+        """Bytes under 128 are characters whatever stands beside them; the others stay numbers."""
+        byte = lambda b: chr(b) if b < 128 else b
+        shown = {CONTROL: lambda p: "", UNKNOWN: lambda p: " ⁇ ", BYTE: lambda p: byte(int(p[3:5], 16))}
         return [shown.get(k, lambda p: p.replace(SPACE, " "))(p) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
 

@@ -70,3 +70,13 @@ def test_flat_text_is_the_flat_projection(spark):
     df = spark.createDataFrame(list(enumerate(PAGES)), "id long, html string")
     want = pages.flat_projection(pages.blocks(df, "id"), html.html_table(df, "cells", "id"), "id").collect()
     assert len(want) >= 3 and sorted(map(tuple, pages.flat_pages(df, "id").collect())) == sorted(map(tuple, want))
+
+
+def test_decoding_joins_texts_at_once(monkeypatch):
+    """Line ends are bytes in the model, and don't need the way for bytes that are part of a character."""
+    queries = pytest.importorskip("quire.llm.queries")
+    model = queries.load_model(queries.tokenizer_path())
+    odd = "a͸b\U0001f9ff\n\x00é"
+    assert model.decode(model.encode(odd)) == odd
+    monkeypatch.setattr(type(model), "_with_bytes", None)
+    assert model.decode(model.encode("one\ntwo\tthree ")) == "one\ntwo\tthree "
